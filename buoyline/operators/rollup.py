@@ -43,15 +43,6 @@ def smooth(points: DataFrame, every: str = "1 hour") -> DataFrame:
     )
 
 
-def moving_mean(points: DataFrame, samples: int = 10) -> DataFrame:
-    """Mean of the last ``samples`` samples of each (series, field), per sample (X8, sample window)."""
-    from pyspark.sql import Window
-
-    resolved = resolve_long(points)
-    w = Window.partitionBy(*SERIES_KEYS, "field").orderBy("time").rowsBetween(-(samples - 1), 0)
-    return resolved.withColumn("mean_value", F.avg("value").over(w))
-
-
 def range_flags(points: DataFrame, ranges: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """Resolved points with ``low``/``high`` and ``in_range`` (NULL for fields without a range)."""
     ranges = SENSOR_RANGES if ranges is None else ranges

@@ -391,6 +391,255 @@ def q_active_devices(spark, sf_dir):
     return act.select("device_id", "last_seen")
 
 
+# --------------------------------------------------------------------------- legacy dialect
+
+
+def _legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.classify(TB.legacy_messages(spark, sf_dir))
+
+
+def _legacy_parsed_oracle(kind: str) -> str:
+    from buoyline.schemas import legacy_spec
+
+    spec = legacy_spec(kind)
+    keys = sorted(f.key for f in spec)
+    by_key = {f.key: f for f in spec}
+    typed = ", ".join(f"{O.cast(f.key, f.type)} AS {f.key}" for f in spec)
+    raw_keys = ", ".join(
+        f"CASE WHEN {O.jt(k)} IS NOT NULL AND {O.cast(k, by_key[k].type)} IS NULL THEN '{k}' END" for k in keys
+    )
+    known = ", ".join(f"'{k}'" for k in keys)
+    ts = O.as_int("ts")
+    return f"""
+WITH {O.legacy_classified()}
+SELECT arrival_seq, sensor_id, {typed},
+       concat_ws(',', {raw_keys}) AS raw_keys,
+       array_to_string(list_sort(list_filter(json_keys(j), lambda x: x NOT IN ({known}))), ',') AS extra_keys,
+       {O.ts_out(f"CASE WHEN {ts} IS NOT NULL THEN epoch_ms({ts}) WHEN {O.jt('ts')} = 'NULL' THEN TIMESTAMP '2024-02-01 00:00:00' END")} AS time
+FROM lc WHERE status = 'parsed' AND kind = '{kind}'
+"""
+
+
+def _legacy_parsed(spark, sf_dir, kind: str) -> DataFrame:
+    from buoyline.schemas import legacy_spec
+
+    parsed = L.parse(_legacy(spark, sf_dir), kind, P.INGEST_TIME)
+    return parsed.select(
+        "arrival_seq", "sensor_id", *[f.key for f in legacy_spec(kind)],
+        F.concat_ws(",", F.sort_array(F.map_keys("raw_values"))).alias("raw_keys"),
+        F.concat_ws(",", "extra_keys").alias("extra_keys"),
+        to_iso_z("time").alias("time"),
+    )
+
+
+@register("legacy_decode", _legacy_parsed_oracle("measurement"))
+def q_legacy_decode(spark, sf_dir):
+    """Spec-driven decode of measurement payloads: casts, raw values kept, unknown keys passed."""
+    return _legacy_parsed(spark, sf_dir, "measurement")
+
+
+@register("legacy_diag", _legacy_parsed_oracle("diag"))
+def q_legacy_diag(spark, sf_dir):
+    """Spec-driven decode of diag payloads."""
+    return _legacy_parsed(spark, sf_dir, "diag")
+
+
+def _legacy_points_oracle() -> str:
+    parts = []
+    for kind, table in (("measurement", "sensor_measurement"), ("diag", "sensor_diag")):
+        value, value_string, value_type = O.legacy_value_sql(kind)
+        ts = O.as_int("ts")
+        parts.append(f"""
+  SELECT '{table}' AS measurement, sensor_id,
+         {O.ts_out(f"CASE WHEN {ts} IS NOT NULL THEN epoch_ms({ts}) WHEN {O.jt('ts')} = 'NULL' THEN TIMESTAMP '2024-02-01 00:00:00' END")} AS time,
+         key AS field, {value} AS value, {value_string} AS value_string, {value_type} AS value_type, arrival_seq
+  FROM (SELECT lc.*, e.key AS key, e.value AS v FROM lc, json_each(lc.j) e
+        WHERE lc.status = 'parsed' AND lc.kind = '{kind}') x
+  WHERE key <> 'ts' AND ({O.jt('ts')} = 'NULL' OR {ts} IS NOT NULL)""")
+    body = "\n  UNION ALL".join(parts)
+    return f"""
+WITH {O.legacy_classified()}, pts AS ({body})
+SELECT * FROM pts WHERE value IS NOT NULL OR value_string IS NOT NULL
+"""
+
+
+@register("legacy_points", _legacy_points_oracle())
+def q_legacy_points(spark, sf_dir):
+    """Both point tables (measurements, diagnostics): every non-ts number or string is a field."""
+    cls = _legacy(spark, sf_dir)
+    pts = L.to_points(cls, "measurement", P.INGEST_TIME).unionByName(L.to_points(cls, "diag", P.INGEST_TIME))
+    return pts.select(
+        "measurement", "sensor_id", to_iso_z("time").alias("time"), "field", "value", "value_string", "value_type",
+        "arrival_seq",
+    )
+
+
+@register(
+    "legacy_sensors",
+    f"""
+WITH {O.legacy_classified()},
+h AS (SELECT * FROM lc WHERE status IN ('registered', 'parsed')),
+base AS (SELECT sensor_id, arg_max(arrival_ts, arrival_seq) AS last_seen, bool_or(kind = 'registerMe') AS registered
+         FROM h GROUP BY sensor_id),
+m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY arrival_seq DESC) AS rn
+                     FROM h WHERE status = 'parsed' AND kind = 'measurement') WHERE rn = 1),
+d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY arrival_seq DESC) AS rn
+                     FROM h WHERE status = 'parsed' AND kind = 'diag') WHERE rn = 1)
+SELECT base.sensor_id, {O.ts_out('base.last_seen')} AS last_seen, base.registered,
+       m.arrival_seq AS measurement_seq, {O.as_float('t', 'm.j')} AS t, {O.as_float('h', 'm.j')} AS h,
+       {O.as_int('p', 'm.j')} AS p,
+       d.arrival_seq AS diag_seq, {O.as_float('V', 'd.j')} AS V, {O.as_int('rssi', 'd.j')} AS rssi,
+       {O.as_str('fw', 'd.j')} AS fw
+FROM base LEFT JOIN m ON m.sensor_id = base.sensor_id LEFT JOIN d ON d.sensor_id = base.sensor_id
+""",
+)
+def q_legacy_sensors(spark, sf_dir):
+    """Per-sensor state: last seen, registered, last measurement and last diag kept independently."""
+    st = L.sensors(_legacy(spark, sf_dir))
+    return st.select(
+        "sensor_id", to_iso_z("last_seen").alias("last_seen"), "registered",
+        F.col("last_measurement.seq").alias("measurement_seq"), F.col("last_measurement.t").alias("t"),
+        F.col("last_measurement.h").alias("h"), F.col("last_measurement.p").alias("p"),
+        F.col("last_diag.seq").alias("diag_seq"), F.col("last_diag.V").alias("V"),
+        F.col("last_diag.rssi").alias("rssi"), F.col("last_diag.fw").alias("fw"),
+    )
+
+
+@register(
+    "legacy_active",
+    f"""
+WITH {O.legacy_classified()},
+h AS (SELECT * FROM lc WHERE status IN ('registered', 'parsed')),
+base AS (SELECT sensor_id, arg_max(arrival_ts, arrival_seq) AS last_seen FROM h GROUP BY sensor_id)
+SELECT sensor_id, {O.ts_out('last_seen')} AS last_seen FROM base
+WHERE epoch_us(TIMESTAMP '{P.NOW[:10]} {P.NOW[11:19]}') - epoch_us(last_seen) < {P.ACTIVE_TIMEOUT_S * 1_000_000}
+""",
+)
+def q_legacy_active(spark, sf_dir):
+    """Sensors seen within the timeout (strict) before ``now``."""
+    st = L.sensors(_legacy(spark, sf_dir))
+    act = S.active_devices(st, P.NOW, P.ACTIVE_TIMEOUT_S)
+    return act.select("sensor_id", to_iso_z("last_seen").alias("last_seen"))
+
+
+@register(
+    "legacy_dispatch",
+    f"""
+WITH {O.legacy_classified()}
+SELECT coalesce(kind, '') AS kind, status,
+       coalesce(CASE WHEN sensor_id IS NULL THEN 'unexpected_topic'
+                     WHEN kind NOT IN ('registerMe', 'measurement', 'diag') THEN 'no_handler'
+                     WHEN kind = 'registerMe' THEN NULL
+                     WHEN NOT obj THEN 'not_an_object'
+                     WHEN missing <> '' THEN 'missing_fields' END, '') AS reason,
+       count(*) AS n
+FROM lc GROUP BY ALL
+""",
+)
+def q_legacy_dispatch(spark, sf_dir):
+    """Routing by kind: handled, invalid and ignored counts per kind."""
+    cls = _legacy(spark, sf_dir)
+    return cls.groupBy(
+        F.coalesce("kind", F.lit("")).alias("kind"), "status", F.coalesce("reason", F.lit("")).alias("reason")
+    ).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "legacy_remap",
+    f"""
+WITH {O.legacy_classified()}
+SELECT arrival_seq, sensor_id AS sensor_id,
+       strftime(epoch_ms({O.as_int('ts')}), '%Y-%m-%dT%H:%M:%S.%gZ') AS timestamp,
+       {O.as_float('t')} AS temperature, {O.as_float('h')} AS humidity,
+       CAST({O.as_int('p')} AS DOUBLE) / 100.0 AS pressure
+FROM lc WHERE status = 'parsed' AND kind = 'measurement'
+""",
+)
+def q_legacy_remap(spark, sf_dir):
+    """Legacy names -> documented target names, pressure in hPa (extension)."""
+    parsed = L.parse(_legacy(spark, sf_dir), "measurement", P.INGEST_TIME)
+    out = L.remap(parsed.select("arrival_seq", "sensor_id", "ts", "t", "h", "p"), pressure_unit="hPa")
+    return out
+
+
+# --------------------------------------------------------------------------- extensions: rollups, smoothing, ranges
+
+_RESOLVED_LONG = f"""
+{O.CLASSIFIED}, {O.POINTS},
+rl AS (SELECT measurement, device_id, firmware, location, time, field,
+              arg_max(value, arrival_seq) AS value, max(arrival_seq) AS arrival_seq
+       FROM points GROUP BY measurement, device_id, firmware, location, time, field)"""
+
+
+@register(
+    "rollup_daily",
+    f"""
+WITH {_RESOLVED_LONG}
+SELECT device_id, field, {O.ts_out("date_trunc('day', time)")} AS bucket,
+       round(avg(value), 6) AS avg_value, min(value) AS min_value, max(value) AS max_value, count(value) AS n
+FROM rl GROUP BY device_id, field, date_trunc('day', time)
+""",
+)
+def q_rollup_daily(spark, sf_dir):
+    """Daily avg/min/max/count per device and field over resolved points (extension X7)."""
+    r = R.rollup(_raw_points(spark, sf_dir), "1 day")
+    return r.select(
+        "device_id", "field", to_iso_z("bucket").alias("bucket"), F.round("avg_value", 6).alias("avg_value"),
+        "min_value", "max_value", "n",
+    )
+
+
+@register(
+    "smooth_weekly",
+    f"""
+WITH {_RESOLVED_LONG}
+SELECT device_id, field, {O.ts_out("time_bucket(INTERVAL '7 days', time, TIMESTAMP '1970-01-01')")} AS bucket,
+       round(avg(value), 6) AS mean_value, round(median(value), 6) AS median_value, count(value) AS n
+FROM rl GROUP BY device_id, field, time_bucket(INTERVAL '7 days', time, TIMESTAMP '1970-01-01')
+""",
+)
+def q_smooth_weekly(spark, sf_dir):
+    """Mean and median per 7-day bucket (extension X8)."""
+    r = R.smooth(_raw_points(spark, sf_dir), "7 days")
+    return r.select(
+        "device_id", "field", to_iso_z("bucket").alias("bucket"), F.round("mean_value", 6).alias("mean_value"),
+        F.round("median_value", 6).alias("median_value"), "n",
+    )
+
+
+@register(
+    "range_flags",
+    f"""
+WITH {_RESOLVED_LONG}
+SELECT device_id, {O.ts_out('time')} AS time, field, value,
+       {O.RANGE_LOW} AS low, {O.RANGE_HIGH} AS high,
+       value BETWEEN {O.RANGE_LOW} AND {O.RANGE_HIGH} AS in_range
+FROM rl
+""",
+)
+def q_range_flags(spark, sf_dir):
+    """Quality flags from the documented sensor ranges (extension X9)."""
+    r = R.range_flags(_raw_points(spark, sf_dir))
+    return r.select("device_id", to_iso_z("time").alias("time"), "field", "value", "low", "high", "in_range")
+
+
+@register(
+    "out_of_range",
+    f"""
+WITH {_RESOLVED_LONG}
+SELECT device_id, field, count(*) AS n, min(value) AS min_value, max(value) AS max_value FROM rl
+WHERE NOT (value BETWEEN {O.RANGE_LOW} AND {O.RANGE_HIGH})
+GROUP BY device_id, field
+""",
+)
+def q_out_of_range(spark, sf_dir):
+    """Out-of-range counts per device and field (threshold filter, extension X9)."""
+    r = R.out_of_range(_raw_points(spark, sf_dir))
+    return r.groupBy("device_id", "field").agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("min_value"), F.max("value").alias("max_value")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
