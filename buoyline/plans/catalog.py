@@ -640,6 +640,170 @@ def q_out_of_range(spark, sf_dir):
     )
 
 
+# --------------------------------------------------------------------------- extensions: status and diagnostics streams
+
+
+def _status_rows(spark, sf_dir, kind: str):
+    from buoyline.operators import status as ST
+    from buoyline.operators.decode import decode
+    from buoyline.schemas import DIAGNOSTICS_SPEC, STATUS_SPEC
+
+    spec = STATUS_SPEC if kind == "status" else DIAGNOSTICS_SPEC
+    return ST.classify_kind(decode(TB.status_messages(spark, sf_dir)), kind, spec)
+
+
+def _status_oracle_cte() -> str:
+    return f"""
+sraw AS ({P.STATUS_MESSAGES}),
+sd AS (SELECT arrival_seq, arrival_ts, topic, payload,
+              CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS j FROM sraw)"""
+
+
+@register(
+    "status_latest",
+    f"""
+WITH {_status_oracle_cte()},
+s AS (SELECT arrival_seq, {O.jtext('device_id')} AS device_id, {O.jtext('timestamp')} AS timestamp,
+             {O.jtext('state')} AS state, {O.jtext('firmware_version')} AS firmware_version,
+             {O.as_int('uptime_s')} AS uptime_s, {O.iso_ts(O.jtext('timestamp'))} AS event_time
+      FROM sd WHERE topic LIKE '%/status' AND j IS NOT NULL AND json_type(j) = 'OBJECT'
+        AND {O.truthy('device_id')} AND {O.truthy('timestamp')} AND {O.truthy('state')}
+        AND {O.jtext('state')} IN ('online', 'offline', 'booting', 'error')),
+r AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY arrival_seq DESC) AS rn FROM s WHERE event_time IS NOT NULL)
+SELECT device_id, state, firmware_version, uptime_s, timestamp, arrival_seq,
+       CASE WHEN state = 'offline' THEN 'offline'
+            WHEN NOT (epoch_us(TIMESTAMP '{P.NOW[:10]} {P.NOW[11:19]}') - epoch_us(event_time) < {P.ACTIVE_TIMEOUT_S * 1_000_000}) THEN 'offline'
+            ELSE state END AS effective_state
+FROM r WHERE rn = 1
+""",
+)
+def q_status_latest(spark, sf_dir):
+    """Latest valid status per device with last-will/timeout state (extension X1, X3)."""
+    from buoyline.operators import status as ST
+
+    latest = ST.latest_status(_status_rows(spark, sf_dir, "status"), P.NOW, P.ACTIVE_TIMEOUT_S)
+    return latest.select("device_id", "state", "firmware_version", "uptime_s", "timestamp", "arrival_seq",
+                         "effective_state")
+
+
+@register(
+    "status_rejects",
+    f"""
+WITH {_status_oracle_cte()}
+SELECT arrival_seq, split_part(topic, '/', 3) AS kind,
+       CASE WHEN j IS NULL THEN 'invalid_json'
+            WHEN json_type(j) <> 'OBJECT' THEN 'not_an_object'
+            WHEN NOT ({O.truthy('device_id')} AND {O.truthy('timestamp')} AND
+                      (split_part(topic, '/', 3) = 'diagnostics' OR {O.truthy('state')})) THEN 'missing_fields'
+            WHEN split_part(topic, '/', 3) = 'status' AND {O.jtext('state')} NOT IN ('online', 'offline', 'booting', 'error') THEN 'invalid_state'
+            ELSE 'invalid_timestamp' END AS reason
+FROM sd
+WHERE j IS NULL OR json_type(j) <> 'OBJECT' OR NOT {O.truthy('device_id')} OR NOT {O.truthy('timestamp')}
+   OR (split_part(topic, '/', 3) = 'status' AND (NOT {O.truthy('state')} OR {O.jtext('state')} NOT IN ('online', 'offline', 'booting', 'error')))
+   OR {O.iso_ts(O.jtext('timestamp'))} IS NULL
+""",
+)
+def q_status_rejects(spark, sf_dir):
+    """Rejected status and diagnostics messages with reasons (extension X1, X2)."""
+    rows = _status_rows(spark, sf_dir, "status").unionByName(
+        _status_rows(spark, sf_dir, "diagnostics"), allowMissingColumns=True
+    )
+    return rows.where(F.col("status") == "rejected").select(
+        "arrival_seq", TP.topic_kind("topic").alias("kind"), "reason"
+    )
+
+
+@register(
+    "diagnostics_points",
+    f"""
+WITH {_status_oracle_cte()},
+s AS (SELECT arrival_seq, {O.jtext('device_id')} AS device_id, {O.iso_ts(O.jtext('timestamp'))} AS time, j
+      FROM sd WHERE topic LIKE '%/diagnostics' AND j IS NOT NULL AND json_type(j) = 'OBJECT'
+        AND {O.truthy('device_id')} AND {O.truthy('timestamp')}),
+p AS (
+  SELECT device_id, time, 'battery_v' AS field, {O.as_float('battery_v')} AS value, arrival_seq FROM s
+  UNION ALL SELECT device_id, time, 'rssi_dbm', CAST({O.as_int('rssi_dbm')} AS DOUBLE), arrival_seq FROM s
+  UNION ALL SELECT device_id, time, 'free_heap', CAST({O.as_int('free_heap')} AS DOUBLE), arrival_seq FROM s)
+SELECT 'diagnostics' AS measurement, device_id, {O.ts_out('time')} AS time, field, value, arrival_seq
+FROM p WHERE value IS NOT NULL AND time IS NOT NULL
+""",
+)
+def q_diagnostics_points(spark, sf_dir):
+    """Valid diagnostics as points in their own table (extension X2)."""
+    from buoyline.operators import status as ST
+
+    pts = ST.diagnostics_points(_status_rows(spark, sf_dir, "diagnostics"))
+    return pts.select("measurement", "device_id", to_iso_z("time").alias("time"), "field", "value", "arrival_seq")
+
+
+# --------------------------------------------------------------------------- free SQL over stored points
+
+
+@register(
+    "sql_over_points",
+    f"""
+WITH {O.CLASSIFIED}, {O.POINTS}, w AS ({O.wide_from()})
+SELECT device_id, count(*) AS n_rows, max(temperature) AS max_temperature, min(humidity) AS min_humidity
+FROM w GROUP BY device_id
+""",
+)
+def q_sql_over_points(spark, sf_dir):
+    """A free SQL query over the resolved ``telemetry`` view of the point store."""
+    from buoyline.plans.views import query
+
+    return query(
+        spark,
+        "SELECT device_id, count(*) AS n_rows, max(temperature) AS max_temperature, min(humidity) AS min_humidity "
+        "FROM {telemetry} GROUP BY device_id",
+        points=_raw_points(spark, sf_dir),
+    )
+
+
+# --------------------------------------------------------------------------- streaming
+
+
+def _stream_run(spark: SparkSession, sf_dir: str) -> str:
+    """Drop the raw messages as files, run the ingest stream to completion, return its output folder.
+
+    The files are cut by arrival order and read one per trigger, so the
+    stream runs several micro-batches; each run uses fresh folders below the
+    checkpoint root.
+    """
+    from buoyline.session import scratch_path
+    from buoyline.streaming import jobs
+
+    base = scratch_path(spark, "stream")
+    src, out, ckpt = f"{base}/source", f"{base}/out", f"{base}/checkpoint"
+    raw = TB.raw_messages(spark, sf_dir).select(
+        "arrival_seq", F.col("arrival_ts").cast("timestamp").alias("arrival_ts"), "topic", "payload"
+    )
+    raw.repartitionByRange(4, "arrival_seq").write.parquet(src)
+    q = jobs.start_ingest(jobs.raw_stream(spark, src, max_files=1), out, ckpt, ingest_time=P.INGEST_TIME,
+                          available_now=True)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return out
+
+
+@register("stream_history", ORACLES["history_device"])
+def q_stream_history(spark, sf_dir):
+    """The flagship history, with the points written by the streaming ingest."""
+    from buoyline.streaming import jobs
+
+    out = _stream_run(spark, sf_dir)
+    return H.history(jobs.read_points(spark, out), P.HISTORY_DEVICE, P.HISTORY_FROM, P.HISTORY_TO, P.HISTORY_LIMIT)
+
+
+@register("stream_latest", ORACLES["latest_by_arrival"])
+def q_stream_latest(spark, sf_dir):
+    """Latest state per device from the streaming ingest's per-batch candidates."""
+    from buoyline.streaming import jobs
+
+    out = _stream_run(spark, sf_dir)
+    return jobs.read_latest(spark, out).select(*_LATEST_OUT)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

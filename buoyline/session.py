@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -47,17 +48,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Jobs that cut lineage or keep streaming state write below it. There is no
-    machine-local fallback: on a cluster that would lose data with the node.
+    Jobs that cut lineage or keep streaming state write below it. Only a
+    local-mode session (tests, a laptop) without the setting gets a folder of
+    its own; on a cluster an unset value is an error, since a machine-local
+    folder would be lost with its node.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        raise RuntimeError(
-            "spark.checkpoint.dir is not set; point it at a folder every executor shares"
-        )
-    spark.sparkContext.setCheckpointDir(root)
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set; point it at a folder every executor shares")
+        root = tempfile.mkdtemp(prefix="buoyline-ckpt-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 

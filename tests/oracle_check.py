@@ -86,7 +86,10 @@ def main():
     qs, os_ = E.queries(), E.oracle_sql()
     bad = 0
     for name in names or list(qs):
-        r = check(spark, name, qs[name], os_.get(name), sf_dir)
+        try:
+            r = check(spark, name, qs[name], os_.get(name), sf_dir)
+        except Exception as exc:  # report and go on
+            r = {"name": name, "ok": False, "error": str(exc)[:400]}
         if r["ok"] is False:
             bad += 1
         print(r, flush=True)
