@@ -60,31 +60,45 @@ def _names(cond_by_name: dict[str, Column]) -> Column:
 
 def extract(decoded: DataFrame, ingest_time: str, keep_tags: bool = False,
             fields: tuple[str, ...] = TELEMETRY_FIELDS) -> DataFrame:
-    """Everything the rules need from a parsed payload, extracted once per message."""
-    j = F.col("json")
-    ts_truthy = J.truthy(j, "timestamp")
-    present = {f: J.is_present(j, f) for f in fields}
-    values = {f: J.as_float(j, f) for f in fields}
-    timestamp = F.when(ts_truthy, J.as_text(j, "timestamp")).otherwise(F.lit(ingest_time))
+    """Everything the rules need from a parsed payload, extracted once per message.
+
+    Step 1 pulls every member the rules read out of the payload in one pass
+    (NULL when the payload is not an object); step 2 applies the rules to the
+    small member VARIANTs behind an evaluate-once barrier.
+    """
+    keys = (*TELEMETRY_REQUIRED, "timestamp", *fields, "firmware", "location")
+    step1 = decoded.select(
+        "arrival_seq", "arrival_ts", "topic", "text",
+        F.col("json").isNotNull().alias("_json_ok"),
+        J.members(F.col("json"), dict.fromkeys(keys)).alias("_m"),
+    )
+
+    def m(k: str) -> Column:
+        return F.col("_m")[k]
+
+    ts_truthy = J.v_truthy(m("timestamp"))
+    present = {f: J.v_present(m(f)) for f in fields}
+    values = {f: J.v_float(m(f)) for f in fields}
+    timestamp = F.when(ts_truthy, J.v_text(m("timestamp"))).otherwise(F.lit(ingest_time))
     return evaluate_once(
-        decoded,
+        step1,
         F.col("arrival_seq"),
         F.col("arrival_ts"),
         F.col("topic"),
         F.col("text").alias("payload"),
-        j.isNotNull().alias("_json_ok"),
+        F.col("_json_ok"),
         is_telemetry_topic("topic").alias("_telemetry"),
-        J.is_object(j).alias("_object"),
-        _names({k: ~J.truthy(j, k) for k in TELEMETRY_REQUIRED}).alias("_missing"),
-        J.as_text(j, "device_id").alias("device_id"),
+        F.col("_m").isNotNull().alias("_object"),
+        _names({k: ~J.v_truthy(m(k)) for k in TELEMETRY_REQUIRED}).alias("_missing"),
+        J.v_text(m("device_id")).alias("device_id"),
         timestamp.alias("timestamp"),
         (~ts_truthy).alias("ts_defaulted"),
         parse_iso(timestamp).alias("event_time"),
         *[values[f].alias(f) for f in fields],
         _names({f: present[f] & values[f].isNull() for f in fields}).alias("_failed"),
         sum((present[f].cast("int") for f in fields), F.lit(0)).alias("_n_fields"),
-        (J.as_text(j, "firmware") if keep_tags else F.lit(None).cast("string")).alias("firmware"),
-        (J.as_text(j, "location") if keep_tags else F.lit(None).cast("string")).alias("location"),
+        (J.v_text(m("firmware")) if keep_tags else F.lit(None).cast("string")).alias("firmware"),
+        (J.v_text(m("location")) if keep_tags else F.lit(None).cast("string")).alias("location"),
     )
 
 

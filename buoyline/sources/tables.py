@@ -7,8 +7,22 @@ from pyspark.sql import DataFrame, SparkSession
 from buoyline.sources import fixtures
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a scan with fewer splits than cores over all of them.
+
+    A single small file is one split, so the CPU-heavy decode that follows
+    would run on one core. Below the cluster's parallelism the rows are dealt
+    round-robin to every core (a small shuffle); a large input, with more
+    splits than cores, is returned untouched.
+    """
+    if df.isStreaming:
+        return df
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
