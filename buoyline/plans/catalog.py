@@ -256,6 +256,20 @@ def q_history_device(spark, sf_dir):
     return H.history(_raw_points(spark, sf_dir), P.HISTORY_DEVICE, P.HISTORY_FROM, P.HISTORY_TO, P.HISTORY_LIMIT)
 
 
+def _recent_oracle() -> str:
+    start, stop = "2024-01-24 00:00:00", "2024-01-31 00:00:00"  # the last 168 hours before NOW
+    return f"""
+WITH {O.CLASSIFIED}, {O.POINTS}, w AS ({O.wide_from(where=f"measurement = 'environment' AND device_id = '{P.HISTORY_DEVICE}' AND time >= TIMESTAMP '{start}' AND time < TIMESTAMP '{stop}'")})
+SELECT device_id, {O.ts_out('time')} AS timestamp, {_fields_out()} FROM w ORDER BY time DESC, arrival_seq DESC LIMIT 100
+"""
+
+
+@register("history_recent", _recent_oracle())
+def q_history_recent(spark, sf_dir):
+    """The UI window: the last 168 hours before ``now``, limit 100."""
+    return H.recent_history(_raw_points(spark, sf_dir), P.HISTORY_DEVICE, P.NOW, hours=168, limit=100)
+
+
 @register("history_resolved_device", _history_oracle(O.TLONG_POINTS, P.HISTORY_DEVICE, P.HISTORY_LIMIT))
 def q_history_resolved_device(spark, sf_dir):
     """History over colliding writes: last write wins per field, then pivot, top-k."""

@@ -57,3 +57,12 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
+
+
+def publish(messages: DataFrame, path: str, mode: str = "append") -> None:
+    """Record publisher sink (A7): (topic, payload) messages as JSON lines for a broker bridge.
+
+    ``messages`` comes from ``normalize.encode_messages``; a Kafka sink takes
+    the same two columns as key/value with ``format("kafka")``.
+    """
+    messages.select("topic", "payload").write.mode(mode).json(path)
