@@ -15,6 +15,8 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # History limits go up to 5000: keep the per-task top-k (window group limit) for all of them.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
 }
 
 

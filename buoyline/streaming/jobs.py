@@ -22,6 +22,7 @@ from buoyline.operators.points import to_points
 from buoyline.plans.ingest import ingest
 from buoyline.schemas import RAW_SCHEMA
 from buoyline.sources import store
+from buoyline.sources.tables import spread
 
 
 def raw_stream(spark: SparkSession, source_dir: str, fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
@@ -50,7 +51,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, out_dir: str, ingest_time: str
                  keep_tags: bool = False) -> None:
     """One micro-batch: classify once, write points, latest candidates and rejects."""
     out = out_dir.rstrip("/")
-    recs = ingest(batch, ingest_time or _now_z(), keep_tags=keep_tags).records.persist()
+    recs = ingest(spread(batch), ingest_time or _now_z(), keep_tags=keep_tags).records.persist()
     try:
         store.write_points_batch(to_points(recs), f"{out}/points", batch_id)
         _write_batch_partition(state.latest(recs), f"{out}/latest_updates", batch_id)
