@@ -637,6 +637,25 @@ def q_range_flags(spark, sf_dir):
     return r.select("device_id", to_iso_z("time").alias("time"), "field", "value", "low", "high", "in_range")
 
 
+@register(
+    "retention_split",
+    f"""
+WITH {_RESOLVED_LONG}
+SELECT CASE WHEN time >= TIMESTAMP '2024-01-24 00:00:00' THEN 'kept' ELSE 'expired' END AS part,
+       count(*) AS n, count(DISTINCT device_id) AS devices
+FROM rl GROUP BY 1
+""",
+)
+def q_retention_split(spark, sf_dir):
+    """Retention: points newer than 7 days before ``now`` are kept, the rest archived (extension X7)."""
+    from buoyline.operators.points import resolve_long
+
+    kept, expired = R.split_by_age(resolve_long(_raw_points(spark, sf_dir)), P.NOW, 7)
+    tag = lambda df, name: df.select(F.lit(name).alias("part"), "device_id")
+    both = tag(kept, "kept").unionByName(tag(expired, "expired"))
+    return both.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("device_id").alias("devices"))
+
+
 @register(
     "out_of_range",
     f"""

@@ -96,3 +96,27 @@ def read_rejects(spark: SparkSession, out_dir: str) -> DataFrame:
 def latest_stream(raw: DataFrame, ingest_time: str, by: str = "arrival") -> DataFrame:
     """Native stateful latest-per-device (update/complete mode): one state row per device."""
     return state.latest(ingest(raw, ingest_time).records, by=by)
+
+
+def rollup_stream(points: DataFrame, every: str = "1 day", delay: str = "1 hour") -> DataFrame:
+    """Windowed rollup of a point stream (extension X7), for ``append`` output.
+
+    The watermark on event time closes a window once no point older than
+    ``delay`` can arrive; state is one running aggregate per open window,
+    series and field. Points arrive unresolved here: a value rewritten for the
+    same (series, time, field) inside one window counts twice, unlike the
+    batch ``rollup``; the batch form over the stored table is exact.
+    """
+    from buoyline.schemas import SERIES_KEYS
+
+    return (
+        points.withWatermark("time", delay)
+        .groupBy(*SERIES_KEYS, "field", F.window("time", every).alias("w"))
+        .agg(
+            F.avg("value").alias("avg_value"),
+            F.min("value").alias("min_value"),
+            F.max("value").alias("max_value"),
+            F.count("value").alias("n"),
+        )
+        .select(*SERIES_KEYS, "field", F.col("w.start").alias("bucket"), "avg_value", "min_value", "max_value", "n")
+    )
