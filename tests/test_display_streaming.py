@@ -87,7 +87,9 @@ def test_stream_rollup_closed_windows_equal_batch(spark, tmp_path):
             for d in range(1, 6) for h in range(0, 24, 6)]
     df = spark.createDataFrame(rows, "device_id string, time timestamp, field string, value double, arrival_seq long")
     src = str(tmp_path / "pts")
-    PT.from_long(df).repartitionByRange(3, "time").write.parquet(src)  # files arrive in time order
+    # One append per pair of days: the file source reads files by modification time, so they arrive in time order.
+    for lo in (1, 3, 5):
+        PT.from_long(df).where(F.dayofmonth("time").between(lo, lo + 1)).coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(PT.from_long(df).schema).option("maxFilesPerTrigger", 1).parquet(src)
     q = (jobs.rollup_stream(stream, "1 day", "1 hour").writeStream.outputMode("append").format("memory")
          .queryName("rollup_mem").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
