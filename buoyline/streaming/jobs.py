@@ -33,6 +33,33 @@ def raw_stream(spark: SparkSession, source_dir: str, fmt: str = "parquet", max_f
     return reader.load(source_dir)
 
 
+def subscribe(raw: DataFrame, pattern: str) -> DataFrame:
+    """Keep messages whose topic matches an MQTT subscription filter (``root/#``, ``ws/hub1/+/#``)."""
+    from buoyline.functions.topics import topic_matches
+
+    return raw.where(topic_matches("topic", pattern))
+
+
+OFFSET_BITS = 44  # 17.6e12 offsets per partition; 2^19 partitions
+
+
+def from_kafka(records: DataFrame) -> DataFrame:
+    """Kafka records (key, value, topic, partition, offset, timestamp) -> RAW messages.
+
+    The MQTT topic travels as the record key (a broker bridge writes it there);
+    without a key the Kafka topic is used. Arrival order is the offset inside a
+    partition: with records keyed by device, all messages of a device share a
+    partition, so ``arrival_seq = partition << 44 | offset`` orders each
+    device's messages exactly as the broker received them.
+    """
+    return records.select(
+        (F.shiftleft(F.col("partition").cast("long"), OFFSET_BITS) + F.col("offset").cast("long")).alias("arrival_seq"),
+        F.col("timestamp").cast("timestamp").alias("arrival_ts"),
+        F.coalesce(F.col("key").cast("string"), F.col("topic")).alias("topic"),
+        F.col("value").cast("string").alias("payload"),
+    )
+
+
 def _now_z() -> str:
     return _dt.datetime.now(_dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
@@ -78,9 +105,22 @@ def read_points(spark: SparkSession, out_dir: str) -> DataFrame:
     return store.read_points(spark, f"{out_dir.rstrip('/')}/points").drop("batch_id")
 
 
-def read_latest(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Latest state per device from the per-batch candidates: newest arrival wins."""
-    upd = spark.read.parquet(f"{out_dir.rstrip('/')}/latest_updates").drop("batch_id")
+def _fs_list_snapshots(spark: SparkSession, root: str) -> list[int]:
+    """Versions ``v=<n>`` below ``root`` whose write committed (``_SUCCESS`` present)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    out = []
+    for st in fs.listStatus(path):
+        name = st.getPath().getName()
+        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            out.append(int(name[2:]))
+    return sorted(out)
+
+
+def _newest(upd: DataFrame) -> DataFrame:
     cols = [c for c in upd.columns if c != "device_id"]
     return (
         upd.groupBy("device_id")
@@ -89,6 +129,43 @@ def read_latest(spark: SparkSession, out_dir: str) -> DataFrame:
     )
 
 
+def _latest_inputs(spark: SparkSession, out_dir: str, upto: int | None = None) -> tuple[DataFrame, int | None]:
+    out = out_dir.rstrip("/")
+    upd = spark.read.parquet(f"{out}/latest_updates")
+    versions = [v for v in _fs_list_snapshots(spark, f"{out}/latest_snapshot") if upto is None or v <= upto]
+    if versions:
+        v = versions[-1]
+        snap = spark.read.parquet(f"{out}/latest_snapshot/v={v}")
+        upd = upd.where(F.col("batch_id") > v)
+        if upto is not None:
+            upd = upd.where(F.col("batch_id") <= upto)
+        return snap.unionByName(upd.drop("batch_id")), v
+    if upto is not None:
+        upd = upd.where(F.col("batch_id") <= upto)
+    return upd.drop("batch_id"), None
+
+
+def read_latest(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Latest state per device: the newest committed snapshot plus later per-batch candidates."""
+    rows, _ = _latest_inputs(spark, out_dir)
+    return _newest(rows)
+
+
+def compact_latest(spark: SparkSession, out_dir: str, upto_batch: int) -> str:
+    """Fold the candidates of batches ``<= upto_batch`` into snapshot ``v=<upto_batch>``.
+
+    Idempotent (a rerun overwrites the same version) and safe against a crash:
+    readers only use versions whose write committed, so reads stay bounded by
+    the number of devices plus the batches since the last snapshot. Old
+    ``batch_id`` folders below the snapshot are no longer read and can be
+    expired by the storage's retention.
+    """
+    rows, _ = _latest_inputs(spark, out_dir, upto=upto_batch)
+    path = f"{out_dir.rstrip('/')}/latest_snapshot/v={int(upto_batch)}"
+    _newest(rows).write.mode("overwrite").parquet(path)
+    return path
+
+
 def read_rejects(spark: SparkSession, out_dir: str) -> DataFrame:
     return spark.read.parquet(f"{out_dir.rstrip('/')}/rejects").drop("batch_id")
 

@@ -98,3 +98,36 @@ def test_stream_rollup_closed_windows_equal_batch(spark, tmp_path):
     want = {(r["bucket"].day, r["n"], r["avg_value"]) for r in R.rollup(PT.from_long(df), "1 day").collect()}
     assert got and got <= want  # windows still open at the end are not emitted in append mode
     assert len(want - got) <= 1
+
+
+def test_kafka_adapter_and_subscribe(spark):
+    from buoyline.streaming import jobs
+
+    recs = spark.createDataFrame(
+        [(b"sensors/D1/telemetry", b'{"device_id":"D1","temperature":1}', "bridge", 3, 10, dt.datetime(2024, 1, 1)),
+         (None, b'{"device_id":"D2"}', "bridge", 0, 11, dt.datetime(2024, 1, 1))],
+        "key binary, value binary, topic string, partition int, offset long, timestamp timestamp")
+    raw = jobs.from_kafka(recs)
+    rows = {r["payload"]: r for r in raw.collect()}
+    r1 = rows['{"device_id":"D1","temperature":1}']
+    assert r1["topic"] == "sensors/D1/telemetry" and r1["arrival_seq"] == (3 << 44) + 10
+    assert rows['{"device_id":"D2"}']["topic"] == "bridge"
+    assert jobs.subscribe(raw, "sensors/#").count() == 1
+    assert ingest(raw, "2024-02-01T00:00:00Z").points.count() == 1
+
+
+def test_latest_compaction(spark, raw_df, tmp_path):
+    from buoyline.streaming import jobs
+
+    out = str(tmp_path / "out")
+    for b in range(3):
+        rows = [(b * 10 + i, f"floatingsensor/D{i}/telemetry", f'{{"device_id":"D{i}","temperature":{b}}}')
+                for i in range(3)]
+        jobs.ingest_batch(raw_df(rows), b, out, "2024-02-01T00:00:00Z")
+    before = sorted(tuple(r) for r in jobs.read_latest(spark, out).select("device_id", "temperature").collect())
+    jobs.compact_latest(spark, out, 1)
+    jobs.compact_latest(spark, out, 1)  # idempotent
+    after = sorted(tuple(r) for r in jobs.read_latest(spark, out).select("device_id", "temperature").collect())
+    assert before == after == [("D0", 2.0), ("D1", 2.0), ("D2", 2.0)]
+    jobs.compact_latest(spark, out, 2)
+    assert sorted(tuple(r) for r in jobs.read_latest(spark, out).select("device_id", "temperature").collect()) == before
