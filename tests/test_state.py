@@ -56,3 +56,16 @@ def test_active_is_strict(raw_df):
     latest = _latest(raw_df, rows)
     assert S.active_devices(latest, NOW, 120).count() == 0
     assert S.active_devices(latest, NOW, 121).count() == 1
+
+
+def test_tags_reach_points_and_device_view_when_kept(raw_df):
+    p = '{"device_id":"FS-001","timestamp":"2026-08-05T10:15:00Z","firmware":"1.0.0","temperature":22.4}'
+    res = ingest(raw_df([(1, _t("FS-001"), p)]), NOW, keep_tags=True)
+    pt = res.points.collect()[0]
+    assert (pt["measurement"], pt["device_id"], pt["firmware"], pt["field"], pt["value"]) == (
+        "environment", "FS-001", "1.0.0", "temperature", 22.4)
+    view = S.device_info(S.lookup(res.latest())).collect()[0]  # no id: the sole device
+    assert (view["device_id"], view["firmware_version"], view["last_seen"]) == (
+        "FS-001", "1.0.0", "2026-08-05T10:15:00Z")
+    lat = S.latest_view(res.latest()).collect()[0]
+    assert (lat["device_id"], lat["timestamp"], lat["temperature"]) == ("FS-001", "2026-08-05T10:15:00Z", 22.4)
