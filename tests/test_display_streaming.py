@@ -66,7 +66,6 @@ def test_stream_equals_batch(spark, raw_df, tmp_path):
 
 
 def test_native_streaming_latest(spark, raw_df, tmp_path):
-    from buoyline.schemas import RAW_SCHEMA
     from buoyline.streaming import jobs
 
     rows = [(i, "floatingsensor/D/telemetry", f'{{"device_id":"D","temperature":{i}}}') for i in range(1, 6)]
