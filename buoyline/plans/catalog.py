@@ -792,6 +792,36 @@ def q_sql_over_points(spark, sf_dir):
     )
 
 
+# --------------------------------------------------------------------------- batch jobs over the stored tables
+
+
+@register("store_history", ORACLES["history_device"])
+def q_store_history(spark, sf_dir):
+    """The flagship history read from the point store that the batch ingest job wrote."""
+    from buoyline.plans.ingest import ingest_to
+    from buoyline.session import scratch_path
+    from buoyline.sources import store
+
+    paths = ingest_to(TB.raw_messages(spark, sf_dir), scratch_path(spark, "ingest"), P.INGEST_TIME)
+    pts = store.read_points(spark, paths["points"])
+    return H.history(pts, P.HISTORY_DEVICE, P.HISTORY_FROM, P.HISTORY_TO, P.HISTORY_LIMIT)
+
+
+@register(
+    "legacy_register",
+    f"""
+WITH {O.legacy_classified()}
+SELECT arrival_seq, sensor_id, payload AS text, j IS NOT NULL AS is_json FROM lc WHERE status = 'registered'
+""",
+)
+def q_legacy_register(spark, sf_dir):
+    """Registration messages with the lenient decode: stripped text, kept even when it is not JSON (B2)."""
+    cls = _legacy(spark, sf_dir)
+    return cls.where(F.col("status") == "registered").select(
+        "arrival_seq", "sensor_id", F.col("payload").alias("text"), F.col("json").isNotNull().alias("is_json")
+    )
+
+
 # --------------------------------------------------------------------------- streaming
 
 
