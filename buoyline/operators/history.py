@@ -64,14 +64,20 @@ def newest_times(points: DataFrame, limit: int, per_series: bool) -> DataFrame:
     """Only the points whose time is among the ``limit`` newest distinct times (per series).
 
     Every result row is one (series, time), so no other point can reach the
-    answer. ``dense_rank() <= limit`` plans as a window group limit whose
-    partial step runs in every task before the shuffle: a device with a third
-    of all rows sends at most ``limit`` times per task instead of its whole
-    range to the aggregation.
+    answer. The cut runs in two levels, both ``dense_rank() <= limit`` and
+    both planned as window group limits whose partial step runs in every
+    task before its shuffle: first per (series, day), then per series (or
+    over everything). A time among the newest ``limit`` of its series is
+    also among the newest ``limit`` of its day, so the first level keeps
+    every candidate. The final merge then sees at most ``limit`` times per
+    day of the range, however many tasks the range was read with.
     """
-    w = Window.partitionBy(*SERIES_KEYS) if per_series else Window.partitionBy(F.lit(0))
-    w = w.orderBy(F.col("time").desc())
-    return points.withColumn("_dr", F.dense_rank().over(w)).where(F.col("_dr") <= limit).drop("_dr")
+    newest = F.col("time").desc()
+    keys = list(SERIES_KEYS) if per_series else []
+    by_day = Window.partitionBy(*keys, F.to_date("time")).orderBy(newest)
+    whole = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(newest)
+    daily = points.withColumn("_d", F.dense_rank().over(by_day)).where(F.col("_d") <= limit).drop("_d")
+    return daily.withColumn("_r", F.dense_rank().over(whole)).where(F.col("_r") <= limit).drop("_r")
 
 
 def history_rows(

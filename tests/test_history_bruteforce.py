@@ -36,8 +36,8 @@ def test_history_matches_brute_force(spark, seed):
     rnd = random.Random(seed)
     base = dt.datetime(2024, 1, 1)
     rows = []
-    for seq in range(400):
-        rows.append((rnd.choice("ABC"), base + dt.timedelta(hours=rnd.randrange(40)), rnd.choice(FIELDS),
+    for seq in range(600):
+        rows.append((rnd.choice("ABC"), base + dt.timedelta(hours=rnd.randrange(240)), rnd.choice(FIELDS),
                      float(rnd.randrange(1000)) / 10, seq * 7 + rnd.randrange(5)))
     pts = PT.from_long(spark.createDataFrame(
         rows, "device_id string, time timestamp, field string, value double, arrival_seq long"))
