@@ -226,6 +226,7 @@ def sensors(classified: DataFrame) -> DataFrame:
     parsed = F.col("status") == "parsed"
     aggs = [
         F.max_by("arrival_ts", "arrival_seq").alias("last_seen"),
+        F.max("arrival_seq").alias("last_seq"),
         F.bool_or(F.col("kind") == LEGACY_REGISTER).alias("registered"),
     ]
     for kind, prefix in ((LEGACY_MEASUREMENT, "measurement"), (LEGACY_DIAG, "diag")):
@@ -235,6 +236,21 @@ def sensors(classified: DataFrame) -> DataFrame:
     return handled.groupBy("sensor_id").agg(*aggs)
 
 
+def merge_sensors(states: DataFrame) -> DataFrame:
+    """Merge sensor states computed over separate slices (micro-batches) into one per sensor.
+
+    Each part keeps its own clock: the newest ``last_seq`` gives ``last_seen``,
+    each payload kind keeps its newest ``seq``, registration is sticky.
+    """
+    return states.groupBy("sensor_id").agg(
+        F.max_by("last_seen", "last_seq").alias("last_seen"),
+        F.max("last_seq").alias("last_seq"),
+        F.bool_or("registered").alias("registered"),
+        F.max_by("last_measurement", "last_measurement.seq").alias("last_measurement"),
+        F.max_by("last_diag", "last_diag.seq").alias("last_diag"),
+    )
+
+
 def remap(parsed_kind: DataFrame, pressure_unit: str = "Pa") -> DataFrame:
     """Documented legacy -> target names (extension). Pressure unit is a parameter: Pa or hPa."""
     if pressure_unit not in ("Pa", "hPa"):

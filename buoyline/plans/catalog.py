@@ -867,6 +867,36 @@ def q_stream_latest(spark, sf_dir):
     return jobs.read_latest(spark, out).select(*_LATEST_OUT)
 
 
+def _sensor_columns(st: DataFrame) -> DataFrame:
+    return st.select(
+        "sensor_id", to_iso_z("last_seen").alias("last_seen"), "registered",
+        F.col("last_measurement.seq").alias("measurement_seq"), F.col("last_measurement.t").alias("t"),
+        F.col("last_measurement.h").alias("h"), F.col("last_measurement.p").alias("p"),
+        F.col("last_diag.seq").alias("diag_seq"), F.col("last_diag.V").alias("V"),
+        F.col("last_diag.rssi").alias("rssi"), F.col("last_diag.fw").alias("fw"),
+    )
+
+
+@register("stream_legacy_sensors", ORACLES["legacy_sensors"])
+def q_stream_legacy_sensors(spark, sf_dir):
+    """Sensor state from the legacy hub run as a stream (per-batch candidates merged on read)."""
+    from buoyline.session import scratch_path
+    from buoyline.streaming import jobs
+
+    base = scratch_path(spark, "hub-stream")
+    src = f"{base}/source"
+    raw = TB.legacy_messages(spark, sf_dir).select(
+        "arrival_seq", F.col("arrival_ts").cast("timestamp").alias("arrival_ts"), "topic", "payload"
+    )
+    raw.repartitionByRange(4, "arrival_seq").write.parquet(src)
+    q = jobs.start_hub(jobs.raw_stream(spark, src, max_files=1), f"{base}/out", f"{base}/checkpoint",
+                       ingest_time=P.INGEST_TIME, available_now=True)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return _sensor_columns(jobs.read_sensors(spark, f"{base}/out"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

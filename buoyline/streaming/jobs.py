@@ -197,3 +197,43 @@ def rollup_stream(points: DataFrame, every: str = "1 day", delay: str = "1 hour"
         )
         .select(*SERIES_KEYS, "field", F.col("w.start").alias("bucket"), "avg_value", "min_value", "max_value", "n")
     )
+
+
+def hub_batch(batch: DataFrame, batch_id: int, out_dir: str, ingest_time: str | None = None) -> None:
+    """One micro-batch of the legacy hub: classify once, write both point tables, sensor candidates, rejects."""
+    from buoyline.plans.hub import hub
+    from buoyline.schemas import LEGACY_BUCKETS, LEGACY_DIAG, LEGACY_MEASUREMENT
+
+    out = out_dir.rstrip("/")
+    h = hub(spread(batch), ingest_time or _now_z())
+    cls = h.classified.persist()
+    try:
+        from buoyline.plans.hub import Hub
+
+        h = Hub(cls, h.ingest_time)
+        for kind, pts in ((LEGACY_MEASUREMENT, h.measurements), (LEGACY_DIAG, h.diagnostics)):
+            store.write_points_batch(pts, f"{out}/{LEGACY_BUCKETS[kind]}", batch_id, key="sensor_id")
+        _write_batch_partition(h.sensors, f"{out}/sensor_updates", batch_id)
+        _write_batch_partition(h.rejects, f"{out}/rejects", batch_id)
+    finally:
+        cls.unpersist()
+
+
+def start_hub(raw: DataFrame, out_dir: str, checkpoint: str, ingest_time: str | None = None,
+              available_now: bool = False, processing_time: str | None = None) -> StreamingQuery:
+    """Start the legacy hub as a stream (one foreachBatch, persisted once, four writes)."""
+    writer = raw.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
+        lambda df, bid: hub_batch(df, bid, out_dir, ingest_time)
+    )
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    elif processing_time:
+        writer = writer.trigger(processingTime=processing_time)
+    return writer.start()
+
+
+def read_sensors(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Sensor state from the per-batch candidates."""
+    from buoyline.operators.legacy import merge_sensors
+
+    return merge_sensors(spark.read.parquet(f"{out_dir.rstrip('/')}/sensor_updates").drop("batch_id"))

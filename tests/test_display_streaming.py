@@ -130,3 +130,25 @@ def test_latest_compaction(spark, raw_df, tmp_path):
     assert before == after == [("D0", 2.0), ("D1", 2.0), ("D2", 2.0)]
     jobs.compact_latest(spark, out, 2)
     assert sorted(tuple(r) for r in jobs.read_latest(spark, out).select("device_id", "temperature").collect()) == before
+
+
+def test_stream_hub_equals_batch(spark, tmp_path):
+    from buoyline.operators import legacy as L
+    from buoyline.plans.hub import hub
+    from buoyline.sources import store
+    from buoyline.sources import tables as TB
+    from buoyline.streaming import jobs
+
+    raw = TB.legacy_messages(spark, "/root/testdata/sf0.001").select(
+        "arrival_seq", F.col("arrival_ts").cast("timestamp").alias("arrival_ts"), "topic", "payload")
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    raw.repartitionByRange(3, "arrival_seq").write.parquet(src)
+    q = jobs.start_hub(jobs.raw_stream(spark, src, max_files=1), out, str(tmp_path / "ck"),
+                       ingest_time="2024-02-01T00:00:00Z", available_now=True)
+    q.awaitTermination()
+    batch = hub(raw, "2024-02-01T00:00:00Z")
+    cols = ["sensor_id", "last_seen", "registered", "last_measurement", "last_diag"]
+    assert sorted(map(tuple, jobs.read_sensors(spark, out).select(*cols).collect())) == \
+        sorted(map(tuple, L.sensors(batch.classified).select(*cols).collect()))
+    assert store.read_points(spark, f"{out}/measurements").count() == batch.measurements.count()
+    assert store.read_points(spark, f"{out}/diagnostics").count() == batch.diagnostics.count()
