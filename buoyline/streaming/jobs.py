@@ -106,8 +106,15 @@ def read_points(spark: SparkSession, out_dir: str) -> DataFrame:
 
 
 def _fs_list_snapshots(spark: SparkSession, root: str) -> list[int]:
-    """Versions ``v=<n>`` below ``root`` whose write committed (``_SUCCESS`` present)."""
-    jvm = spark.sparkContext._jvm
+    """Versions ``v=<n>`` below ``root`` whose write committed (``_SUCCESS`` present).
+
+    Without a driver context (Spark Connect) no snapshot is used: still
+    correct, since compaction never removes the per-batch candidates.
+    """
+    try:
+        jvm = spark.sparkContext._jvm
+    except Exception:
+        return []
     path = jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
