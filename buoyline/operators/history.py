@@ -100,7 +100,7 @@ def history_rows(
     (``newest_times``), so the aggregation never sees a device's whole range.
     """
     check_params(start, stop, limit)
-    selected = select_points(points, device_id, start, stop, measurement)
+    selected = select_points(points, device_id, start, stop, measurement).where(F.col("field").isin(*fields))
     wide = resolve_wide(newest_times(selected, limit, per_series), fields)
     order = [F.col("time").desc(), F.col("arrival_seq").desc()]
     if per_series:

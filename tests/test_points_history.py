@@ -88,3 +88,10 @@ def test_history_prunes_scan(spark, tmp_path):
         .executedPlan().toString()
     assert "PushedFilters" in plan and "device_id" in plan and "PartitionFilters" in plan
     assert H.history(scan, "A", "2024-01-01T00:00:00Z", "2024-01-02T00:00:00Z").count() == 1
+
+
+def test_history_limit_counts_only_requested_fields(spark):
+    rows = [("A", f"2024-01-0{d} 00:00:00", "humidity", float(d), d) for d in range(5, 10)]
+    rows += [("A", f"2024-01-0{d} 00:00:00", "temperature", float(d), 100 + d) for d in range(1, 5)]
+    hist = H.history(_points(spark, rows), "A", None, None, limit=3, fields=("temperature",)).collect()
+    assert [r["timestamp"][:10] for r in hist] == ["2024-01-04", "2024-01-03", "2024-01-02"]
