@@ -100,18 +100,6 @@ def typed_fields(spec: tuple[FieldSpec, ...], json: Column | None = None) -> lis
     return [J.cast_member(json, f.key, f.type).alias(f.key) for f in spec]
 
 
-def raw_values(spec: tuple[FieldSpec, ...], json: Column | None = None) -> Column:
-    """Map key -> raw JSON text of present fields whose cast failed (the raw value is kept)."""
-    json = F.col("json") if json is None else json
-    empty = F.create_map().cast("map<string,string>")
-    maps = []
-    for f in spec:
-        v = J.member(json, f.key)
-        failed = v.isNotNull() & J.cast_member(json, f.key, f.type).isNull()
-        maps.append(F.when(failed, F.create_map(F.lit(f.key), F.to_json(v))).otherwise(empty))
-    return F.map_concat(*maps)
-
-
 def extra_keys(spec: tuple[FieldSpec, ...], json: Column | None = None) -> Column:
     """Unknown keys, passed through (sorted)."""
     json = F.col("json") if json is None else json
@@ -128,16 +116,27 @@ def parse(classified: DataFrame, kind: str, ingest_time: str) -> DataFrame:
     """Parsed payloads of one kind: typed spec fields, failed-cast raw values, unknown keys, time."""
     spec = legacy_spec(kind)
     j = F.col("json")
-    ts = J.as_int(j, LEGACY_TIME_KEY)
-    ts_null = F.is_variant_null(J.member(j, LEGACY_TIME_KEY))
-    return classified.where((F.col("kind") == kind) & (F.col("status") == "parsed")).select(
+    mine = classified.where((F.col("kind") == kind) & (F.col("status") == "parsed")).select(
+        "arrival_seq", "arrival_ts", "sensor_id", "payload", "json",
+        J.members(j, [f.key for f in spec]).alias("_m"),
+    )
+    m = {f.key: F.col("_m")[f.key] for f in spec}
+    cast = {f.key: J.v_cast(m[f.key], f.type) for f in spec}
+    empty = F.create_map().cast("map<string,string>")
+    raw = F.map_concat(*[
+        F.when(m[f.key].isNotNull() & cast[f.key].isNull(), F.create_map(F.lit(f.key), F.to_json(m[f.key])))
+        .otherwise(empty)
+        for f in spec
+    ])
+    t = m[LEGACY_TIME_KEY] if LEGACY_TIME_KEY in m else J.member(j, LEGACY_TIME_KEY)
+    return mine.select(
         "arrival_seq",
         "arrival_ts",
         "sensor_id",
-        *typed_fields(spec, j),
-        raw_values(spec, j).alias("raw_values"),
+        *[cast[f.key].alias(f.key) for f in spec],
+        raw.alias("raw_values"),
         extra_keys(spec, j).alias("extra_keys"),
-        event_time(ts, ts_null, ingest_time).alias("time"),
+        event_time(J.v_int(t), F.is_variant_null(t), ingest_time).alias("time"),
         "payload",
     )
 

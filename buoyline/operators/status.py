@@ -23,17 +23,25 @@ def classify_kind(decoded: DataFrame, kind: str, spec=STATUS_SPEC) -> DataFrame:
     """Messages on ``…/<kind>`` topics -> typed rows with ``status`` ok/rejected and a reason."""
     j = F.col("json")
     required = [k for k, _t, r in spec if r]
-    missing = F.concat_ws(", ", *[F.when(~J.truthy(j, k), F.lit(k)) for k in required])
+    step1 = decoded.where(F.col("topic").endswith("/" + kind)).select(
+        "arrival_seq", "arrival_ts", "topic", "text", j.isNotNull().alias("_json_ok"),
+        J.members(j, [k for k, _t, _r in spec]).alias("_m"),
+    )
+
+    def m(k: str):
+        return F.col("_m")[k]
+
+    missing = F.concat_ws(", ", *[F.when(~J.v_truthy(m(k)), F.lit(k)) for k in required])
     x = evaluate_once(
-        decoded.where(F.col("topic").endswith("/" + kind)),
+        step1,
         F.col("arrival_seq"),
         F.col("arrival_ts"),
         F.col("topic"),
         F.col("text").alias("payload"),
-        j.isNotNull().alias("_json_ok"),
-        J.is_object(j).alias("_object"),
+        F.col("_json_ok"),
+        F.col("_m").isNotNull().alias("_object"),
         missing.alias("_missing"),
-        *[(J.as_text(j, k) if t == "str" else J.cast_member(j, k, t)).alias(k) for k, t, _r in spec],
+        *[(J.v_text(m(k)) if t == "str" else J.v_cast(m(k), t)).alias(k) for k, t, _r in spec],
     )
     reason = (
         F.when(~F.col("_json_ok"), F.lit("invalid_json"))
