@@ -94,12 +94,6 @@ def route(classified: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
-def typed_fields(spec: tuple[FieldSpec, ...], json: Column | None = None) -> list[Column]:
-    """Typed columns for a spec: the cast value, NULL when absent or when the cast failed."""
-    json = F.col("json") if json is None else json
-    return [J.cast_member(json, f.key, f.type).alias(f.key) for f in spec]
-
-
 def extra_keys(spec: tuple[FieldSpec, ...], json: Column | None = None) -> Column:
     """Unknown keys, passed through (sorted)."""
     json = F.col("json") if json is None else json
@@ -220,8 +214,10 @@ def sensors(classified: DataFrame) -> DataFrame:
 
     Invalid payloads do not touch the state (and do not create a sensor).
     """
-    j = F.col("json")
-    handled = classified.where(F.col("status").isin("registered", "parsed"))
+    keys = list(dict.fromkeys(f.key for k in PARSED_KINDS for f in legacy_spec(k)))
+    handled = classified.where(F.col("status").isin("registered", "parsed")).select(
+        "sensor_id", "kind", "status", "arrival_seq", "arrival_ts", J.members(F.col("json"), keys).alias("_m")
+    )
     parsed = F.col("status") == "parsed"
     aggs = [
         F.max_by("arrival_ts", "arrival_seq").alias("last_seen"),
@@ -230,8 +226,11 @@ def sensors(classified: DataFrame) -> DataFrame:
     ]
     for kind, prefix in ((LEGACY_MEASUREMENT, "measurement"), (LEGACY_DIAG, "diag")):
         spec = legacy_spec(kind)
-        rec = F.struct(F.col("arrival_seq").alias("seq"), *typed_fields(spec, j))
-        aggs.append(F.max_by(rec, F.when(parsed & (F.col("kind") == kind), F.col("arrival_seq"))).alias(f"last_{prefix}"))
+        rec = F.struct(
+            F.col("arrival_seq").alias("seq"), *[J.v_cast(F.col("_m")[f.key], f.type).alias(f.key) for f in spec]
+        )
+        mine = parsed & (F.col("kind") == kind)
+        aggs.append(F.max_by(F.when(mine, rec), F.when(mine, F.col("arrival_seq"))).alias(f"last_{prefix}"))
     return handled.groupBy("sensor_id").agg(*aggs)
 
 
