@@ -125,3 +125,15 @@ def test_classification_is_evaluated_once(raw_df):
     res = ingest(raw_df([(1, T, '{"device_id":"A","temperature":1}')]), NOW)
     plan = res.rejects._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson") + plan.count("parse_json") == 1
+
+
+def test_invalid_utf8_bytes(spark):
+    from buoyline.operators.decode import decode
+
+    df = spark.createDataFrame([(b'{"device_id":"A\xff","temperature":1}',), (b'  {"a":1} ',)], "payload binary")
+    strict = decode(df).collect()
+    assert strict[0]["text"] is None and strict[0]["json"] is None  # rejected as invalid_json
+    assert strict[1]["json"] is not None
+    lenient = decode(df, lenient=True).collect()
+    assert lenient[0]["text"] == '{"device_id":"A�","temperature":1}' and lenient[0]["json"] is not None
+    assert lenient[1]["text"] == '{"a":1}'
