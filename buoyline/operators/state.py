@@ -18,15 +18,19 @@ from buoyline.schemas import DEVICE_STATE, TELEMETRY_FIELDS, UNKNOWN_FIRMWARE
 LATEST_COLUMNS = ("device_id", "timestamp", *TELEMETRY_FIELDS, "firmware", "location", "arrival_seq", "arrival_ts", "payload")
 
 
-def latest(records: DataFrame, by: str = "arrival", columns: tuple[str, ...] = LATEST_COLUMNS) -> DataFrame:
+def latest(records: DataFrame, by: str = "arrival", columns: tuple[str, ...] = LATEST_COLUMNS,
+           only_stored: bool = False) -> DataFrame:
     """One row per device: the whole last record.
 
     ``by='arrival'`` (the reference): order of arrival, so a late message
     moves ``last_seen`` backwards. ``by='event_time'``: newest event time,
-    ties broken by arrival.
+    ties broken by arrival. State is updated before the store write, so by
+    default a record the store refused still counts; ``only_stored=True``
+    gives the view consistent with the stored points.
     """
     if "status" in records.columns:
-        records = records.where(F.col("status").isin("stored", "latest"))
+        keep = ("stored",) if only_stored else ("stored", "latest")
+        records = records.where(F.col("status").isin(*keep))
     cols = [c for c in columns if c in records.columns]
     rec = F.struct(*[F.col(c) for c in cols])
     if by == "arrival":

@@ -30,8 +30,8 @@ class Ingested:
     def points(self) -> DataFrame:
         return points.to_points(self.records)
 
-    def latest(self, by: str = "arrival") -> DataFrame:
-        return state.latest(self.records, by=by)
+    def latest(self, by: str = "arrival", only_stored: bool = False) -> DataFrame:
+        return state.latest(self.records, by=by, only_stored=only_stored)
 
     @property
     def rejects(self) -> DataFrame:

@@ -32,6 +32,7 @@ def test_latest_includes_records_the_store_refused(raw_df):
     rows = [(1, _t("A"), '{"device_id":"A","timestamp":"2024-01-02T00:00:00Z","temperature":"abc"}')]
     res = ingest(raw_df(rows), NOW)
     assert res.latest().count() == 1 and res.points.count() == 0
+    assert res.latest(only_stored=True).count() == 0  # the view consistent with the store
 
 
 def test_device_view_and_lookups(raw_df):
