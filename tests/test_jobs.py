@@ -47,3 +47,15 @@ def test_publish_round_trip(spark, tmp_path):
     assert back.count() == msgs.count()
     one = back.first()
     assert one["topic"].startswith("floatingsensor/") and "device_id" in json.loads(one["payload"])
+
+
+def test_spread_only_touches_small_inputs(spark, tmp_path):
+    from buoyline.sources.tables import spread
+
+    par = spark.sparkContext.defaultParallelism
+    big = spark.range(0, 10000, numPartitions=par * 2)
+    assert spread(big) is big  # enough splits already: the plan is left alone, no shuffle
+    one = spark.range(0, 10000, numPartitions=1)
+    spread_one = spread(one)
+    assert spread_one.rdd.getNumPartitions() == par
+    assert spread_one.count() == 10000
