@@ -353,6 +353,21 @@ def q_latest_by_event_time(spark, sf_dir):
     return _ingested(spark, sf_dir).latest("event_time").select(*_LATEST_OUT)
 
 
+@register(
+    "latest_stored",
+    f"""
+WITH {O.CLASSIFIED},
+lr AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY arrival_seq DESC) AS rn
+       FROM c WHERE status = 'stored'),
+l AS (SELECT * FROM lr WHERE rn = 1)
+SELECT device_id, timestamp, {_fields_out()}, arrival_seq, timestamp AS last_seen FROM l
+""",
+)
+def q_latest_stored(spark, sf_dir):
+    """Latest state consistent with the stored points: records the store refused do not count."""
+    return _ingested(spark, sf_dir).latest("arrival", only_stored=True).select(*_LATEST_OUT)
+
+
 @register(
     "device_info",
     f"""
