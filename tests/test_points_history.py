@@ -95,3 +95,21 @@ def test_history_limit_counts_only_requested_fields(spark):
     rows += [("A", f"2024-01-0{d} 00:00:00", "temperature", float(d), 100 + d) for d in range(1, 5)]
     hist = H.history(_points(spark, rows), "A", None, None, limit=3, fields=("temperature",)).collect()
     assert [r["timestamp"][:10] for r in hist] == ["2024-01-04", "2024-01-03", "2024-01-02"]
+
+
+def test_iso_bounds_and_relative_window(spark):
+    from buoyline.functions.timefmt import hours_back, is_iso
+
+    for ok in ("2024-01-02T00:00:00Z", "2024-01-02", "2024-01-02T10:15:00+02:00", "2024-01-02T10:15:00.123Z",
+               "2024-01-02 10:15:00"):
+        assert is_iso(ok), ok
+    for bad in ("invalid", "10:15", "2024-13-01T00:00:00Z", "2024-01-32", "", None, "2024/01/02"):
+        assert not is_iso(bad), bad
+    assert hours_back("2024-01-31T00:00:00Z", 6) == ("2024-01-30T18:00:00Z", "2024-01-31T00:00:00Z")
+    pts = _points(spark, [("A", "2024-01-30 20:00:00", "temperature", 1.0, 1),
+                          ("A", "2024-01-30 10:00:00", "temperature", 2.0, 2)])
+    got = H.recent_history(pts, "A", "2024-01-31T00:00:00Z", hours=6).collect()
+    assert [r["temperature"] for r in got] == [1.0]
+    for hours in (0, 169):
+        with pytest.raises(H.InvalidQuery):
+            H.recent_history(pts, "A", "2024-01-31T00:00:00Z", hours=hours)
