@@ -290,11 +290,11 @@ def q_history_all_devices(spark, sf_dir):
 
 @register(
     "history_envelope",
-    _history_oracle(O.TLONG_POINTS, None, P.HISTORY_LIMIT, per_series=True).replace(
-        f"SELECT device_id, {O.ts_out('time')} AS timestamp, {_fields_out()} FROM r WHERE rn <= {P.HISTORY_LIMIT}",
-        f"SELECT device_id, count(*) AS count, {O.ts_out('max(time)')} AS newest, {O.ts_out('min(time)')} AS oldest "
-        f"FROM r WHERE rn <= {P.HISTORY_LIMIT} GROUP BY device_id",
-    ),
+    f"""
+WITH h AS ({_history_oracle(O.TLONG_POINTS, None, P.HISTORY_LIMIT, per_series=True).strip()})
+SELECT device_id, count(*) AS count, max(timestamp) AS newest, min(timestamp) AS oldest
+FROM h GROUP BY device_id
+""",
 )
 def q_history_envelope(spark, sf_dir):
     hist = H.history(_tlong_points(spark, sf_dir), None, P.HISTORY_FROM, P.HISTORY_TO, P.HISTORY_LIMIT, per_series=True)
