@@ -59,3 +59,14 @@ def test_spread_only_touches_small_inputs(spark, tmp_path):
     spread_one = spread(one)
     assert spread_one.rdd.getNumPartitions() == par
     assert spread_one.count() == 10000
+
+
+def test_register_views_for_free_sql(spark):
+    from buoyline.plans.views import register_views
+
+    pts = ingest(TB.raw_messages(spark, SF), P.INGEST_TIME).points
+    names = register_views(spark, pts)
+    assert names == ["telemetry", "telemetry_points"]
+    n_wide = spark.sql("SELECT count(*) FROM telemetry").first()[0]
+    n_long = spark.sql("SELECT count(DISTINCT device_id, time) FROM telemetry_points").first()[0]
+    assert n_wide == n_long > 0
