@@ -70,3 +70,18 @@ def test_register_views_for_free_sql(spark):
     n_wide = spark.sql("SELECT count(*) FROM telemetry").first()[0]
     n_long = spark.sql("SELECT count(DISTINCT device_id, time) FROM telemetry_points").first()[0]
     assert n_wide == n_long > 0
+
+
+def test_retention_split_on_the_stored_table(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from buoyline.operators import rollup as R
+
+    pts = ingest(TB.raw_messages(spark, SF), P.INGEST_TIME).points
+    store.write_points(pts, str(tmp_path / "p"))
+    stored = store.read_points(spark, str(tmp_path / "p"))
+    kept, expired = R.split_by_age(stored, P.NOW, 7)
+    assert kept.count() + expired.count() == stored.count()
+    cutoff = F.lit("2024-01-24 00:00:00").cast("timestamp")
+    assert kept.where(F.col("time") < cutoff).count() == 0 and expired.where(F.col("time") >= cutoff).count() == 0
+    assert "PartitionFilters: [isnotnull(event_date" in kept._jdf.queryExecution().executedPlan().toString()
