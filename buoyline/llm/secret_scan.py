@@ -1,0 +1,150 @@
+"""Secret scans: candidate strings, and a random forest that removes false positives.
+
+Candidates are long strings of letters and digits. The forest is trained from
+labelled findings (candidate, the words around it, label) on the candidate's
+length, its character classes and transitions between them, how much of it
+dictionary words cover, whether it stands in a path, and the neighbouring words.
+All features are DataFrame expressions and the forest is Spark's own, so the
+scan runs without Python on the executors.
+
+A text is split into words once; a candidate's neighbours are the words before
+and after its own, so the cost is linear in the text.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+# Credentials with a fixed prefix, private-key blocks, and strings of 16 or more with at least one digit.
+CANDIDATE = (
+    r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}"
+    r"|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}|(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
+)
+KNOWN = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-.*|sk_live_.*|eyJ[^.]*\.[^.]*\..*)$"
+# Fixed lists: words that name a credential, words that name a digest or identifier, and words of placeholders.
+KEY_WORDS = r"token|secret|passw|pwd|api[_-]?key|access[_-]?key|auth|credential|private|bearer|client[_-]?key"
+DIGEST_WORDS = r"commit|sha-?1|sha-?256|md5|checksum|digest|etag|hash|integrity|uuid|guid|revision|build|trace|request[_-]?id|img|image|href|src|file|version"
+DICTIONARY = (
+    r"example|sample|test|dummy|change|changeme|your|my|here|insert|placeholder|password|secret|token|key|api|access|user|admin"
+    r"|default|value|string|config|data|image|file|path|name|home|index|page|local|server|build|release|version|lorem|ipsum|xxxx+|aaaa+|0000+|1234+|abcd"
+)
+TREES = 20
+DEPTH = 6
+LABELLED = 3000  # made labelled findings
+THRESHOLD = 0.5
+
+FEATURES = [
+    "length", "digit_share", "upper_share", "transitions", "distinct_share", "is_hex", "is_numeric", "covered", "known_format",
+    "in_path", "quoted", "assigned", "key_word", "digest_word", "extension",
+]
+
+
+def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, candidate, word, before, after) for every distinct candidate and surroundings in each whole text."""
+    rows = docs.select(F.col(key).alias("key"), F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), r"\s+").alias("words"))
+    # Short words cannot hold a candidate: the cheap test goes first.
+    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (F.length(F.get("words", i)) >= 16) & F.get("words", i).rlike(CANDIDATE))
+    spots = rows.select("key", F.transform(at, lambda i: F.struct(
+        F.get("words", i).alias("word"),
+        F.concat_ws(" ", F.get("words", i - 3), F.get("words", i - 2), F.get("words", i - 1)).alias("before"),
+        F.coalesce(F.get("words", i + 1), F.lit("")).alias("after"))).alias("spots"))
+    each = spots.select("key", F.explode(F.array_distinct("spots")).alias("s")).select("key", "s.*")
+    return each.select("key", "word", "before", "after", F.explode(F.array_distinct(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0)))).alias("candidate"))
+
+
+def _share(pattern: str) -> Column:
+    return (F.length("candidate") - F.length(F.regexp_replace("candidate", pattern, ""))) / F.greatest(F.length("candidate"), F.lit(1))
+
+
+def described(found: DataFrame) -> DataFrame:
+    """The findings with the columns of FEATURES."""
+    c, word, near = F.col("candidate"), F.col("word"), F.lower(F.concat_ws(" ", "before", "word"))
+    # What precedes the candidate: the rest of its own word, and the words before.
+    lead = F.concat_ws(" ", F.col("before"), F.expr("substring_index(word, candidate, 1)"))
+    changes = F.regexp_count(c, F.lit(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"))
+    flag = lambda cond: F.coalesce(cond.cast("double"), F.lit(0.0))
+    return found.withColumns({
+        "length": F.length(c).cast("double"),
+        "digit_share": _share("[0-9]"),
+        "upper_share": _share("[A-Z]"),
+        "transitions": changes / F.greatest(F.length(c), F.lit(1)),
+        "distinct_share": F.size(F.array_distinct(F.split(c, ""))) / F.greatest(F.length(c), F.lit(1)),
+        "is_hex": flag(c.rlike("^[0-9a-fA-F]+$")),
+        "is_numeric": flag(c.rlike("^[0-9_/-]+$")),
+        "covered": (F.length(c) - F.length(F.regexp_replace(F.lower(c), DICTIONARY, ""))) / F.greatest(F.length(c), F.lit(1)),
+        "known_format": flag(c.rlike(KNOWN)),
+        "in_path": flag(word.rlike(r"://|^[./~]|/[^/]*/|\\") | c.contains("/")),
+        "quoted": flag(F.concat(lead, F.lit("\u0001")).rlike("[\"'`]\u0001$")),
+        "assigned": flag(F.concat(lead, F.lit("\u0001")).rlike("[:=]\\s*[\"'`]?\u0001$")),
+        "key_word": flag(F.lower(lead).rlike(KEY_WORDS)),
+        "digest_word": flag(F.lower(lead).rlike(DIGEST_WORDS)),
+        "extension": flag(F.concat_ws(" ", word, "after").rlike(r"\.(html?|png|jpe?g|gif|css|js|py|txt|pdf|zip)\b")),
+    })
+
+
+def made_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
+    """Seeded labelled findings: secrets in assignments, and digests, paths, identifiers and placeholders that are none.
+
+    Pairs of equal shape differ only in their neighbouring words, so the forest
+    has to look at those.
+    """
+    row = spark.range(n, numPartitions=1)
+    h = lambda salt: F.xxhash64("id", F.lit(salt))
+    pick = lambda salt, *x: F.element_at(F.array(*[v if isinstance(v, Column) else F.lit(v) for v in x]), (F.pmod(h(salt), F.lit(len(x))) + 1).cast("int"))
+    text = lambda salt: F.concat(F.col("id").cast("string"), F.lit(salt))
+    hexes = F.sha1(text("a").cast("binary"))
+    mixed = F.substring(F.translate(F.base64(F.unhex(F.sha2(text("b").cast("binary"), 256))), "+/=", "xYz"), 1, 32)
+    digits = F.substring(F.regexp_replace(F.sha2(text("c").cast("binary"), 512), "[a-f]", "7"), 1, 16)
+    uuid = F.concat_ws("-", F.substring(hexes, 1, 8), F.substring(hexes, 9, 4), F.substring(hexes, 13, 4), F.substring(hexes, 17, 4), F.substring(hexes, 21, 12))
+    words = pick("w", "the and of", "is set to", "und der die", "les des une", "see also the", "run with a")
+    key = pick("k", "token =", "secret =", "password:", "api_key =", "access_key:", "auth_token =", "client_key =", "Bearer token:")
+    other = pick("o", "commit", "sha1", "md5:", "checksum =", "etag:", "revision", "build", "file", "image", "request_id =", "digest:")
+    shape = F.pmod(h("shape"), F.lit(10))
+    random = pick("r", hexes, mixed, F.substring(hexes, 1, 32), F.concat(F.lit("AKIA"), F.upper(F.substring(hexes, 1, 16))), F.concat(F.lit("ghp_"), F.substring(F.concat(mixed, mixed), 1, 36)))
+    plain = pick("p", hexes, mixed, F.substring(hexes, 1, 32), uuid)
+    fake = pick("f", "your-api-key-here-1234", "changeme1234567890", "xxxxxxxxxxxxxxxx1234", "example_token_value_1", "insert-secret-here-00", "test_password_12345678")
+    path = F.concat(pick("d", "/usr/share/", "https://example.com/static/", "/home/user/data/", "./build/"), F.substring(hexes, 1, 20), pick("e", ".png", ".html", ".js", ""))
+    quote = pick("q", '"', '"', "'", "")
+    case = lambda before, body, label, q: F.struct(before.alias("before"), F.concat(q, body, q).alias("word"), body.alias("body"), F.lit(label).alias("label"))
+    none = F.lit("")
+    made = (
+        F.when(shape < 4, case(F.concat_ws(" ", words, key), random, 1.0, quote))
+        .when(shape == 4, case(F.concat_ws(" ", words, key), fake, 0.0, quote))
+        .when(shape < 7, case(F.concat_ws(" ", words, other), plain, 0.0, quote))
+        .when(shape == 7, case(words, path, 0.0, none))
+        .when(shape == 8, case(words, digits, 0.0, none))
+        .otherwise(case(words, plain, 0.0, none))
+    )
+    return row.select(made.alias("m")).select(
+        F.col("m.before").alias("before"), F.col("m.word").alias("word"), F.lit("").alias("after"), F.col("m.label").alias("label"),
+        F.regexp_extract("m.word", CANDIDATE, 0).alias("candidate")).where("candidate != ''")
+
+
+def fit(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 17) -> RandomForestClassificationModel:
+    """A random forest from labelled findings (candidate, word, before, after, label 0 or 1)."""
+    data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(described(findings)).select("features", "label")
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="5").fit(data)
+
+
+def findings(docs: DataFrame, model: RandomForestClassificationModel, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, candidate, before, probability, is_secret) for every candidate of every whole text."""
+    data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(described(candidates(docs, key, text)))
+    p = vector_to_array(F.col("probability"))[1]
+    scored = model.transform(data).select(F.col("key").alias(key), "candidate", "before", p.alias("probability"))
+    return scored.withColumn("is_secret", F.col("probability") >= THRESHOLD)
+
+
+def scan(docs: DataFrame, model: RandomForestClassificationModel, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_candidates, n_secrets, secrets) for every row with a candidate.
+
+    `secrets` holds the confirmed strings once each, in order. Rows of equal
+    keys are one document here; null, empty and blank texts have no candidate.
+    """
+    found = findings(docs, model, key, text)
+    return found.groupBy(key).agg(
+        F.count_distinct("candidate").alias("n_candidates"),
+        F.count_distinct(F.when(F.col("is_secret"), F.col("candidate"))).alias("n_secrets"),
+        F.sort_array(F.collect_set(F.when(F.col("is_secret"), F.col("candidate")))).alias("secrets"))
