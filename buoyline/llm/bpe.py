@@ -28,6 +28,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from buoyline.llm import common
 
@@ -250,7 +251,7 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     """
     rows = docs.select(common.column(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     out = rows.select("key").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    out = out.add("ids", "array<int>") if with_ids else out
+    out = out.add("ids", ArrayType(IntegerType())) if with_ids else out
 
     def run(batches):
         for batch in batches:

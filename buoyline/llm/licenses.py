@@ -1,13 +1,14 @@
 """License scans: templates retrieved through MinHash bands over text windows, verified by exact containment.
 
-Words are runs of letters and digits, lower-cased. Windows over the document
-overlap by half: blocks of M words, two adjacent blocks to a window, for block
-sizes M of 4, 8, 16, ... A template is looked for in windows of the smallest
-block size that holds its words, so each of its occurrences lies whole in one
-window, where its resemblance to the window is at least CONTAINED * m / (2 * M)
-for m of its shingles. Every one of BANDS MinHash values is a band of one row:
-the chance that none collides is (1 - resemblance) ** BANDS, below 1e-5 for all
-templates here. Retrieved windows are verified by exact shingle containment.
+Words are runs of letters and digits, lower-cased; a document is its run of
+5-word shingles. Windows overlap by half: blocks of M shingles, two adjacent
+blocks to a window, for block sizes M of 4, 8, 16, ... A template of m shingles
+is looked for in windows of the smallest M of 1.25 * m or more, so each of its
+occurrences, small edits included, lies whole in one window, where its
+resemblance to the window is at least CONTAINED * m / (2 * M + m / 5). Every one
+of BANDS MinHash values is a band of one row: the chance that none collides is
+(1 - resemblance) ** BANDS, below 1e-4 for every template. Retrieved windows are
+verified by exact shingle containment.
 """
 
 from __future__ import annotations
@@ -85,7 +86,7 @@ def build(templates: dict[str, list[str]]) -> Index:
     if (np.diff(woff) < SHINGLE).any():
         raise ValueError(f"a template needs {SHINGLE} words at least")
     sets = [np.unique(h[a:b]) for a, b in zip(soff[:-1], soff[1:])]
-    block = [max(LEAST_BLOCK, 1 << (int(n) - 1).bit_length()) for n in np.diff(woff)]
+    block = [max(LEAST_BLOCK, 1 << (-(-5 * len(x) // 4) - 1).bit_length()) for x in sets]
     mins = np.array([[(s * a + b).min() for a, b in zip(_MUL, _ADD)] for s in sets], np.uint64).reshape(len(sets), BANDS)
     rivals = np.array([[2 * np.isin(a, b).sum() >= min(len(a), len(b)) for b in sets] for a in sets], bool).reshape(len(sets), len(sets))
     return Index([n for n, _ in flat], sets, block, mins, sorted(set(block)), rivals)

@@ -128,10 +128,10 @@ def mix(docs: DataFrame, epochs: int = 3, key: str = "doc_id", source: str = "so
     full = F.floor(rate).cast("long")
     rest = F.col("target") - full * F.col("source_size")
     copies = full + F.when(F.col("through") - F.col("size") / 2.0 <= rest, F.lit(1)).otherwise(F.lit(0))
-    run = run.withColumn("copies", F.least(copies, F.lit(epochs)).cast("int")).withColumn("parts", pieces(F.col("schedule")))
+    run = run.withColumn("copies", F.when(F.col("target") > 0, F.least(copies, F.lit(epochs))).otherwise(F.lit(0)).cast("int")).withColumn("parts", pieces(F.col("schedule")))
     middle = F.col("through") - F.col("size") / 2.0
     places = F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda i: invert(
-        F.col("parts"), F.least((middle + i * F.col("source_size")) / F.col("target"), F.lit(1.0)) * F.col("weight")))
+        F.col("parts"), F.least(F.try_divide(middle + i * F.col("source_size"), F.col("target")), F.lit(1.0)) * F.col("weight")))
     return run.select(
         "row.*", F.col("size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"),
         (F.col("size") * F.col("copies")).alias("mix_taken"),

@@ -297,7 +297,7 @@ def made_examples(n: int = 500, seed: int = 3) -> list[tuple[str, tuple[int, int
 
     none = [lambda: f"{pick('19', '20')}{num(2)}-0{pick(*'123456789')}-1{num(1)}", lambda: f"{num(8)}", lambda: f"{num(11)}", lambda: f"{num(16)}",
             lambda: f"{num(4)}-{num(4)}", lambda: f"{num(3)} {num(3)} {num(3)}", lambda: f"{num(2)}.{num(2)}.{num(2)}.{num(2)}.{num(2)}",
-            lambda: f"{name()} at {name()} dot {name()}{name()}{name()}", lambda: f"978-{num(1)}-{num(3)}-{num(5)}-{num(1)}", lambda: num(20),
+            lambda: f"978-{num(1)}-{num(3)}-{num(5)}-{num(1)}", lambda: num(20),
             lambda: f"{num(3)}.{num(3)}.{num(4)}", lambda: f"{num(3)}-{num(3)}-{num(4)}"]
     out = []
     while len(out) < n:

@@ -107,7 +107,7 @@ WITH sized AS (
 ), counted AS (
   SELECT *, CAST(floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END) AS BIGINT) AS whole FROM running
 ), copied AS (
-  SELECT *, least(whole + CASE WHEN through - size / 2.0::DOUBLE <= target - whole * source_size THEN 1 ELSE 0 END, 3) AS copies FROM counted
+  SELECT *, CASE WHEN target > 0 THEN least(whole + CASE WHEN through - size / 2.0::DOUBLE <= target - whole * source_size THEN 1 ELSE 0 END, 3) ELSE 0 END AS copies FROM counted
 ), placed AS (
   SELECT *, least((through - size / 2.0::DOUBLE) / target, 1.0::DOUBLE) * weight AS demand FROM copied
 ), rooted AS (
