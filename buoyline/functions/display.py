@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,15 +33,28 @@ def local_time_label(ts_text: Column | str, zone: str = DISPLAY_ZONE) -> Column:
     return F.when(s.isNull() | (s == ""), F.lit(EMPTY_DISPLAY)).when(utc.isNull(), s).otherwise(text)
 
 
+def _exact_digits(digits: int):
+    """Rounds the stored binary value half-even (1.005 -> 1.00), which the JVM's formatter does not.
+
+    Display rows are few (a history limit at most), so an Arrow-batched UDF is no cost here.
+    """
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: None if x is None or x != x else f"{x:.{digits}f}")
+
+    return run
+
+
 def fixed_digits(value: Column | str, digits: int = 2, numeric: bool = True) -> Column:
     """Number -> fixed-digit text; NULL -> empty-display mark; non-number text unchanged."""
     v = _col(value)
-    fmt = f"%.{digits}f"
+    fmt = _exact_digits(digits)
     if numeric:
-        return F.when(v.isNull(), F.lit(EMPTY_DISPLAY)).otherwise(F.format_string(fmt, v.cast("double")))
+        return F.when(v.isNull(), F.lit(EMPTY_DISPLAY)).otherwise(fmt(v.cast("double")))
     d = F.trim(v.cast("string")).try_cast("double")
     return F.when(v.isNull(), F.lit(EMPTY_DISPLAY)).when(d.isNull(), v.cast("string")).otherwise(
-        F.format_string(fmt, d)
+        fmt(d)
     )
 
 

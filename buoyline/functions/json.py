@@ -20,6 +20,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+FLOAT_TEXT = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)\s*$"
+
+
 def _path(key: str) -> str:
     # Keys of the contract are plain identifiers; quote anything else.
     if key.replace("_", "").isalnum():
@@ -84,8 +87,14 @@ def v_text(v: Column) -> Column:
 
 
 def v_float(v: Column) -> Column:
-    """``float(value)``: numbers, numeric text and booleans cast; anything else NULL."""
-    return F.try_variant_get(v, "$", "double")
+    """``float(value)``: numbers, numeric text and booleans cast; anything else NULL.
+
+    Text has to be spelled as a decimal number: the cast alone would also take
+    Java's suffixes and hexadecimal floats (``"22.4d"``, ``"0x1p3"``).
+    """
+    text = F.try_variant_get(v, "$", "string")
+    foreign = (json_type(v) == "STRING") & ~text.rlike(FLOAT_TEXT)
+    return F.when(F.coalesce(foreign, F.lit(False)), F.lit(None).cast("double")).otherwise(F.try_variant_get(v, "$", "double"))
 
 
 def v_int(v: Column) -> Column:
@@ -131,7 +140,7 @@ def as_text(json: Column, key: str) -> Column:
 
 
 def as_float(json: Column, key: str) -> Column:
-    return F.try_variant_get(json, _path(key), "double")
+    return v_float(member(json, key))
 
 
 def as_int(json: Column, key: str) -> Column:

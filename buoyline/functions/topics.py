@@ -32,8 +32,8 @@ def topic_kind(topic: Column | str) -> Column:
 
 
 def topic_device(topic: Column | str) -> Column:
-    """Second level of ``<root>/<device>/<kind>``."""
-    return F.element_at(F.split(_col(topic), "/"), 2)
+    """Second level of ``<root>/<device>/<kind>``; NULL for a topic of one level."""
+    return F.get(F.split(_col(topic), "/"), F.lit(1))
 
 
 def legacy_topic(target: Column | str, source: Column | str, small_topic: Column | str) -> Column:

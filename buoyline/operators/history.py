@@ -27,9 +27,9 @@ def check_params(start: str | None, stop: str | None, limit: int) -> None:
     """Bounds must be ISO 8601, 1 <= limit <= 5000. ``start > stop`` is allowed (empty)."""
     for b in (start, stop):
         if b is not None and not is_iso(b):
-            raise InvalidQuery("INVALID_QUERY: Parameter 'from' and 'to' must be ISO 8601 UTC timestamp.")
+            raise InvalidQuery(f"INVALID_QUERY: range bound {b!r} is no ISO 8601 time")
     if not isinstance(limit, int) or isinstance(limit, bool) or limit < 1 or limit > HISTORY_MAX_LIMIT:
-        raise InvalidQuery(f"INVALID_QUERY: Parameter 'limit' must be between 1 and {HISTORY_MAX_LIMIT}.")
+        raise InvalidQuery(f"INVALID_QUERY: limit {limit!r} is outside 1..{HISTORY_MAX_LIMIT}")
 
 
 def select_points(
@@ -60,24 +60,16 @@ def select_points(
     return points.where(cond)
 
 
-def newest_times(points: DataFrame, limit: int, per_series: bool) -> DataFrame:
-    """Only the points whose time is among the ``limit`` newest distinct times (per series).
+def newest_times(points: DataFrame, limit: int) -> DataFrame:
+    """Only the points at or after the ``limit``-th newest distinct time.
 
-    Every result row is one (series, time), so no other point can reach the
-    answer. The cut runs in two levels, both ``dense_rank() <= limit`` and
-    both planned as window group limits whose partial step runs in every
-    task before its shuffle: first per (series, day), then per series (or
-    over everything). A time among the newest ``limit`` of its series is
-    also among the newest ``limit`` of its day, so the first level keeps
-    every candidate. The final merge then sees at most ``limit`` times per
-    day of the range, however many tasks the range was read with.
+    Every result row is one (series, time), so no older point can reach the
+    answer. Times are collapsed in every task before their shuffle and cut by
+    a top-k; the oldest one left is a scalar bound on the points, which thus
+    never pass through one task however many of them tie on a time.
     """
-    newest = F.col("time").desc()
-    keys = list(SERIES_KEYS) if per_series else []
-    by_day = Window.partitionBy(*keys, F.to_date("time")).orderBy(newest)
-    whole = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(newest)
-    daily = points.withColumn("_d", F.dense_rank().over(by_day)).where(F.col("_d") <= limit).drop("_d")
-    return daily.withColumn("_r", F.dense_rank().over(whole)).where(F.col("_r") <= limit).drop("_r")
+    newest = points.groupBy("time").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("time").desc()).limit(limit)
+    return points.where(F.col("time") >= newest.agg(F.min("time")).scalar())
 
 
 def history_rows(
@@ -95,13 +87,14 @@ def history_rows(
     ``per_series=False``: one limit over the whole result (the documented
     contract) -> a top-k that keeps ``limit`` rows per task before merging.
     ``per_series=True``: the limit applies per series (store table
-    semantics) -> ``row_number() <= limit``, planned as a window group limit.
-    Both first cut the points to the newest ``limit`` distinct times
-    (``newest_times``), so the aggregation never sees a device's whole range.
+    semantics) -> ``row_number() <= limit``, planned as a window group limit
+    whose partial step runs in every task.
+    Points are resolved by a hash aggregation that is partial before its
+    shuffle; the global form first cuts them by ``newest_times``.
     """
     check_params(start, stop, limit)
     selected = select_points(points, device_id, start, stop, measurement).where(F.col("field").isin(*fields))
-    wide = resolve_wide(newest_times(selected, limit, per_series), fields)
+    wide = resolve_wide(selected if per_series else newest_times(selected, limit), fields)
     order = [F.col("time").desc(), F.col("arrival_seq").desc()]
     if per_series:
         w = Window.partitionBy(*SERIES_KEYS).orderBy(*order)
@@ -140,8 +133,8 @@ def recent_history(points: DataFrame, device_id: str, now: str, hours: int = 6,
 def envelope(history_df: DataFrame, fields: tuple[str, ...] = TELEMETRY_FIELDS) -> DataFrame:
     """``{device_id, points, count}`` per device; points newest first.
 
-    Safe to collect per device: the input is already limited to at most
-    5000 rows (per device when per-series).
+    For histories only: their limit bounds the rows (of each series when
+    per-series), and with them what one device's list can hold.
     """
     pt = F.struct(F.col("timestamp"), *[F.col(f) for f in fields])
     return history_df.groupBy("device_id").agg(

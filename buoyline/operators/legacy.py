@@ -101,9 +101,10 @@ def extra_keys(spec: tuple[FieldSpec, ...], json: Column | None = None) -> Colum
     return F.sort_array(F.array_except(keys, F.array(*[F.lit(f.key) for f in spec])))
 
 
-def event_time(ts: Column, ts_present_null: Column, ingest_time: str) -> Column:
-    """ms epoch -> TIMESTAMP; a null ``ts`` means the processing time."""
-    return F.when(ts.isNotNull(), F.timestamp_millis(ts)).when(ts_present_null, ts_literal(ingest_time))
+def event_time(ts: Column, ts_present_null: Column, ingest_time: str | None) -> Column:
+    """ms epoch -> TIMESTAMP; a null ``ts`` means the processing time (None: the message's arrival time)."""
+    now = F.col("arrival_ts").cast("timestamp") if ingest_time is None else ts_literal(ingest_time)
+    return F.when(ts.isNotNull(), F.timestamp_millis(ts)).when(ts_present_null, now)
 
 
 def parse(classified: DataFrame, kind: str, ingest_time: str) -> DataFrame:
@@ -135,14 +136,15 @@ def parse(classified: DataFrame, kind: str, ingest_time: str) -> DataFrame:
     )
 
 
-def _value_columns(key: Column, v: Column, spec: tuple[FieldSpec, ...]):
+def _value_columns(kind: Column, key: Column, v: Column, specs: dict[str, tuple[FieldSpec, ...]]):
     """Stored value of one payload member: (value DOUBLE, value_string STRING, value_type)."""
     t = J.json_type(v)
     spec_type = F.lit(None).cast("string")
-    for f in spec:
-        spec_type = F.when(key == f.key, F.lit(f.type)).otherwise(spec_type)
+    for name, spec in specs.items():
+        for f in spec:
+            spec_type = F.when((kind == name) & (key == f.key), F.lit(f.type)).otherwise(spec_type)
     as_int = F.try_variant_get(v, "$", "bigint")
-    as_float = F.try_variant_get(v, "$", "double")
+    as_float = J.v_float(v)
     is_num = J.is_number_type(t)
     raw_num = F.when(is_num, as_float).when(t == "BOOLEAN", F.try_variant_get(v, "$", "double"))
     raw_type = F.when(is_num & t.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.lit("int")).when(
@@ -165,27 +167,32 @@ def _value_columns(key: Column, v: Column, spec: tuple[FieldSpec, ...]):
     return value, value_string, value_type
 
 
-def to_points(classified: DataFrame, kind: str, ingest_time: str) -> DataFrame:
+def to_points(classified: DataFrame, kind: str | None, ingest_time: str | None) -> DataFrame:
     """Parsed payloads of one kind -> long points (``ts`` excluded; null, arrays and objects skipped).
 
-    A ``ts`` that is present but not an integer fails the write: no points.
+    ``kind=None`` takes both kinds in one pass over the messages. A ``ts`` that
+    is present but not an integer fails the write: no points.
     """
-    spec = legacy_spec(kind)
+    specs = {k: legacy_spec(k) for k in (PARSED_KINDS if kind is None else (kind,))}
+    tables = F.lit(None).cast("string")
+    for k in specs:
+        tables = F.when(F.col("kind") == k, F.lit(LEGACY_TABLES[k])).otherwise(tables)
     j = F.col("json")
     ts = J.as_int(j, LEGACY_TIME_KEY)
     ts_member = J.member(j, LEGACY_TIME_KEY)
     ts_null = F.is_variant_null(ts_member)
-    base = classified.where((F.col("kind") == kind) & (F.col("status") == "parsed")).select(
+    base = classified.where(F.col("kind").isin(*specs) & (F.col("status") == "parsed")).select(
         "arrival_seq",
         "sensor_id",
+        "kind",
         event_time(ts, ts_null, ingest_time).alias("time"),
         F.explode(F.try_variant_get(j, "$", "map<string,variant>")).alias("key", "v"),
     )
-    value, value_string, value_type = _value_columns(F.col("key"), F.col("v"), spec)
+    value, value_string, value_type = _value_columns(F.col("kind"), F.col("key"), F.col("v"), specs)
     return (
         base.where((F.col("key") != LEGACY_TIME_KEY) & F.col("time").isNotNull())
         .select(
-            F.lit(LEGACY_TABLES[kind]).alias("measurement"),
+            tables.alias("measurement"),
             "sensor_id",
             "time",
             F.col("key").alias("field"),
@@ -220,7 +227,7 @@ def sensors(classified: DataFrame) -> DataFrame:
     )
     parsed = F.col("status") == "parsed"
     aggs = [
-        F.max_by("arrival_ts", "arrival_seq").alias("last_seen"),
+        F.max("arrival_ts").alias("last_seen"),
         F.max("arrival_seq").alias("last_seq"),
         F.bool_or(F.col("kind") == LEGACY_REGISTER).alias("registered"),
     ]
@@ -237,11 +244,10 @@ def sensors(classified: DataFrame) -> DataFrame:
 def merge_sensors(states: DataFrame) -> DataFrame:
     """Merge sensor states computed over separate slices (micro-batches) into one per sensor.
 
-    Each part keeps its own clock: the newest ``last_seq`` gives ``last_seen``,
-    each payload kind keeps its newest ``seq``, registration is sticky.
+    Each part keeps its own clock: ``last_seen`` is the newest arrival, each payload kind keeps its newest ``seq``, registration is sticky.
     """
     return states.groupBy("sensor_id").agg(
-        F.max_by("last_seen", "last_seq").alias("last_seen"),
+        F.max("last_seen").alias("last_seen"),
         F.max("last_seq").alias("last_seq"),
         F.bool_or("registered").alias("registered"),
         F.max_by("last_measurement", "last_measurement.seq").alias("last_measurement"),

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from buoyline.functions import json as J
 from buoyline.functions.columns import evaluate_once
-from buoyline.functions.timefmt import ISO_PATTERN, parse_iso
+from buoyline.functions.timefmt import parse_iso, to_iso_z
 from buoyline.functions.topics import build_topic, is_telemetry_topic, topic_device
 from buoyline.schemas import TELEMETRY_FIELDS, TELEMETRY_REQUIRED
 
@@ -58,7 +58,7 @@ def _names(cond_by_name: dict[str, Column]) -> Column:
     return F.concat_ws(", ", *[F.when(c, F.lit(n)) for n, c in cond_by_name.items()])
 
 
-def extract(decoded: DataFrame, ingest_time: str, keep_tags: bool = False,
+def extract(decoded: DataFrame, ingest_time: str | None, keep_tags: bool = False,
             fields: tuple[str, ...] = TELEMETRY_FIELDS) -> DataFrame:
     """Everything the rules need from a parsed payload, extracted once per message.
 
@@ -79,7 +79,8 @@ def extract(decoded: DataFrame, ingest_time: str, keep_tags: bool = False,
     ts_truthy = J.v_truthy(m("timestamp"))
     present = {f: J.v_present(m(f)) for f in fields}
     values = {f: J.v_float(m(f)) for f in fields}
-    timestamp = F.when(ts_truthy, J.v_text(m("timestamp"))).otherwise(F.lit(ingest_time))
+    default = to_iso_z("arrival_ts") if ingest_time is None else F.lit(ingest_time)
+    timestamp = F.when(ts_truthy, J.v_text(m("timestamp"))).otherwise(default)
     return evaluate_once(
         step1,
         F.col("arrival_seq"),
@@ -104,7 +105,7 @@ def extract(decoded: DataFrame, ingest_time: str, keep_tags: bool = False,
 
 def classify(
     decoded: DataFrame,
-    ingest_time: str,
+    ingest_time: str | None,
     keep_tags: bool = False,
     strict_time: bool = False,
     check_topic_device: bool = False,
@@ -113,7 +114,8 @@ def classify(
     """Decoded messages -> one typed telemetry record per message with its status.
 
     ``ingest_time`` replaces a missing or falsy timestamp (the live system uses
-    the wall clock; a parameter keeps batch runs repeatable).
+    the wall clock; a parameter keeps batch runs repeatable). Without it each
+    message's own arrival time does, which a replay does not change.
     ``keep_tags`` keeps ``firmware``/``location`` as tags (the documented
     contract; the reference code drops them). ``strict_time`` and
     ``check_topic_device`` are documented checks the reference code lacks.
@@ -128,10 +130,10 @@ def classify(
         .when(F.col("_missing") != "", F.lit("missing_fields"))
     )
     if check_topic_device:
-        validate = validate.when(topic_device("topic") != F.col("device_id"), F.lit("device_mismatch"))
+        validate = validate.when(~topic_device("topic").eqNullSafe(F.col("device_id")), F.lit("device_mismatch"))
     if strict_time:
         validate = validate.when(
-            ~F.col("ts_defaulted") & ~F.col("timestamp").rlike(ISO_PATTERN), F.lit("invalid_timestamp")
+            ~F.col("ts_defaulted") & F.col("event_time").isNull(), F.lit("invalid_timestamp")
         )
     store = (
         F.when(F.col("_failed") != "", F.lit("uncastable_field"))

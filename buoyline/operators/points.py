@@ -77,5 +77,13 @@ def resolve_wide(points: DataFrame, fields: tuple[str, ...] = TELEMETRY_FIELDS)
     )
 
 
+def resolve_legacy(points: DataFrame) -> DataFrame:
+    """Last write wins per (measurement, sensor, time, field) of legacy points: value, text and type together."""
+    kept = F.struct("value", "value_string", "value_type")
+    return points.groupBy("measurement", "sensor_id", "time", "field").agg(
+        F.max_by(kept, "arrival_seq").alias("kept"), F.max("arrival_seq").alias("arrival_seq")
+    ).select("measurement", "sensor_id", "time", "field", "kept.*", "arrival_seq")
+
+
 def with_event_date(points: DataFrame) -> DataFrame:
     return points.withColumn("event_date", F.to_date("time"))

@@ -6,7 +6,7 @@ written twice is counted once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from buoyline.functions.timefmt import parse_bound, ts_literal
@@ -34,12 +34,23 @@ def rollup(points: DataFrame, every: str = "1 day") -> DataFrame:
 
 
 def smooth(points: DataFrame, every: str = "1 hour") -> DataFrame:
-    """Mean and median of the samples in each time bucket."""
-    resolved = resolve_long(points)
-    return resolved.groupBy(*SERIES_KEYS, "field", _bucket(every)).agg(
-        F.avg("value").alias("mean_value"),
-        F.median("value").alias("median_value"),
-        F.count("value").alias("n"),
+    """Mean and exact median of the samples in each time bucket.
+
+    Equal values are counted first (partial before the shuffle); a running
+    count over the distinct values, in a window that spills, finds the middle.
+    """
+    keys = [*SERIES_KEYS, "field", "bucket"]
+    counted = resolve_long(points).groupBy(*SERIES_KEYS, "field", _bucket(every), "value").agg(F.count(F.lit(1)).alias("c"))
+    order = Window.partitionBy(*keys).orderBy("value")
+    ranked = counted.withColumn("upto", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
+        "n", F.sum("c").over(Window.partitionBy(*keys)))
+    # Ranks of the two middle samples (the same one for an odd count).
+    holds = lambda rank: ((F.col("upto") - F.col("c") < rank) & (rank <= F.col("upto"))).cast("int")
+    middles = holds(F.floor((F.col("n") + 1) / 2)) + holds(F.floor(F.col("n") / 2) + 1)
+    return ranked.groupBy(*keys).agg(
+        (F.sum(F.col("value") * F.col("c")) / F.sum("c")).alias("mean_value"),
+        (F.sum(F.when(middles > 0, F.col("value") * middles)) / 2).alias("median_value"),
+        F.sum("c").alias("n"),
     )
 
 
@@ -68,4 +79,21 @@ def split_by_age(points: DataFrame, now: str, keep_days: int) -> tuple[DataFrame
     if "event_date" in points.columns:
         d = (parse_bound(now)).date()
         kept = kept.where(F.col("event_date") >= F.date_sub(F.lit(d), int(keep_days) + 1))
+        expired = expired.where(F.col("event_date") <= F.date_sub(F.lit(d), int(keep_days)))
     return kept, expired
+
+
+def age_part(now: str, keep_days: int, time: str = "time") -> Column:
+    """'kept' or 'expired' by event age, to count both sides in one pass."""
+    cutoff = ts_literal(now) - F.expr(f"INTERVAL {int(keep_days)} DAYS")
+    return F.when(F.col(time) >= cutoff, F.lit("kept")).otherwise(F.lit("expired"))
+
+
+def archive(points: DataFrame, now: str, keep_days: int, path: str, key: str = "device_id") -> None:
+    """Write the expired points, resolved, as a point table of their own (X7); only their days are read."""
+    from buoyline.operators.points import resolve_legacy
+    from buoyline.sources import store
+
+    _, expired = split_by_age(points, now, keep_days)
+    resolved = resolve_legacy(expired) if key == "sensor_id" else resolve_long(expired)
+    store.write_points(resolved, path, mode="overwrite", key=key)

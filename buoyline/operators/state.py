@@ -47,6 +47,16 @@ def latest(records: DataFrame, by: str = "arrival", columns: tuple[str, ...] = L
     )
 
 
+def newest(candidates: DataFrame) -> DataFrame:
+    """One row per device out of latest-state candidates of several runs or batches."""
+    cols = [c for c in candidates.columns if c != "device_id"]
+    return (
+        candidates.groupBy("device_id")
+        .agg(F.max_by(F.struct(*[F.col(c) for c in cols]), F.col("arrival_seq")).alias("r"))
+        .select("device_id", "r.*")
+    )
+
+
 def device(latest_df: DataFrame, device_id: str) -> DataFrame:
     """State of one device (empty when unknown)."""
     return latest_df.where(F.col("device_id") == F.lit(device_id))

@@ -22,6 +22,7 @@ from buoyline.operators import normalize as N
 from buoyline.operators import points as PT
 from buoyline.operators import rollup as R
 from buoyline.operators import state as S
+from buoyline.operators.decode import decode
 from buoyline.plans import oracle_sql as O
 from buoyline.plans.ingest import ingest
 from buoyline.schemas import TELEMETRY_FIELDS
@@ -99,10 +100,10 @@ SELECT arrival_seq, topic, split_part(topic, '/', 2) AS topic_device FROM c WHER
 """,
 )
 def q_route_telemetry(spark, sf_dir):
-    recs = _ingested(spark, sf_dir).records
-    return recs.where(F.col("reason").isNull() | (F.col("reason") != "invalid_json")).where(
-        TP.is_telemetry_topic("topic")
-    ).select("arrival_seq", "topic", TP.topic_device("topic").alias("topic_device"))
+    """Topic and JSON validity only: the payload's members are not extracted."""
+    decoded = decode(TB.raw_messages(spark, sf_dir).where(TP.is_telemetry_topic("topic")))
+    return decoded.where(F.col("json").isNotNull()).select(
+        "arrival_seq", "topic", TP.topic_device("topic").alias("topic_device"))
 
 
 @register(
@@ -127,7 +128,7 @@ def q_normalize_records(spark, sf_dir):
     f"""
 WITH {O.CLASSIFIED}
 SELECT arrival_seq,
-       'floatingsensor/' || device_id || '/telemetry' AS topic,
+       'sensors/' || device_id || '/telemetry' AS topic,
        '{{"device_id":"' || device_id || '","timestamp":"' || timestamp || '"'
        || {' || '.join(f"coalesce(',\"{f}\":' || CAST({f} AS VARCHAR), '')" for f in FIELDS)} || '}}' AS payload
 FROM c WHERE status IN ('stored', 'latest')
@@ -146,11 +147,11 @@ def q_encode_messages(spark, sf_dir):
     f"""
 WITH raw AS ({P.RAW_MESSAGES})
 SELECT arrival_seq,
-       CASE WHEN split_part(topic, '/', 2) <> '' AND split_part(topic, '/', 3) IN ('status','telemetry','diagnostics')
-            THEN 'floatingsensor/' || split_part(topic, '/', 2) || '/' || split_part(topic, '/', 3) END AS topic,
-       'ws/hub1/' || split_part(topic, '/', 2) || '/' || split_part(topic, '/', 3) AS legacy_topic,
+       CASE WHEN parts[2] <> '' AND parts[-1] IN ('status','telemetry','diagnostics')
+            THEN 'sensors/' || parts[2] || '/' || parts[-1] END AS topic,
+       concat_ws('/', 'ws/hub1', parts[2], parts[-1]) AS legacy_topic,
        'ws/all/hub1/registerCall' AS register_call
-FROM raw
+FROM (SELECT arrival_seq, string_split(topic, '/') AS parts FROM raw)
 """,
 )
 def q_topic_build(spark, sf_dir):
@@ -496,7 +497,7 @@ SELECT * FROM pts WHERE value IS NOT NULL OR value_string IS NOT NULL
 def q_legacy_points(spark, sf_dir):
     """Both point tables (measurements, diagnostics): every non-ts number or string is a field."""
     cls = _legacy(spark, sf_dir)
-    pts = L.to_points(cls, "measurement", P.INGEST_TIME).unionByName(L.to_points(cls, "diag", P.INGEST_TIME))
+    pts = L.to_points(cls, None, P.INGEST_TIME)
     return pts.select(
         "measurement", "sensor_id", to_iso_z("time").alias("time"), "field", "value", "value_string", "value_type",
         "arrival_seq",
@@ -508,7 +509,7 @@ def q_legacy_points(spark, sf_dir):
     f"""
 WITH {O.legacy_classified()},
 h AS (SELECT * FROM lc WHERE status IN ('registered', 'parsed')),
-base AS (SELECT sensor_id, arg_max(arrival_ts, arrival_seq) AS last_seen, bool_or(kind = 'registerMe') AS registered
+base AS (SELECT sensor_id, max(arrival_ts) AS last_seen, bool_or(kind = 'registerMe') AS registered
          FROM h GROUP BY sensor_id),
 m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY arrival_seq DESC) AS rn
                      FROM h WHERE status = 'parsed' AND kind = 'measurement') WHERE rn = 1),
@@ -539,7 +540,7 @@ def q_legacy_sensors(spark, sf_dir):
     f"""
 WITH {O.legacy_classified()},
 h AS (SELECT * FROM lc WHERE status IN ('registered', 'parsed')),
-base AS (SELECT sensor_id, arg_max(arrival_ts, arrival_seq) AS last_seen FROM h GROUP BY sensor_id)
+base AS (SELECT sensor_id, max(arrival_ts) AS last_seen FROM h GROUP BY sensor_id)
 SELECT sensor_id, {O.ts_out('last_seen')} AS last_seen FROM base
 WHERE epoch_us(TIMESTAMP '{P.NOW[:10]} {P.NOW[11:19]}') - epoch_us(last_seen) < {P.ACTIVE_TIMEOUT_S * 1_000_000}
 """,
@@ -665,9 +666,7 @@ def q_retention_split(spark, sf_dir):
     """Retention: points newer than 7 days before ``now`` are kept, the rest archived (extension X7)."""
     from buoyline.operators.points import resolve_long
 
-    kept, expired = R.split_by_age(resolve_long(_raw_points(spark, sf_dir)), P.NOW, 7)
-    tag = lambda df, name: df.select(F.lit(name).alias("part"), "device_id")
-    both = tag(kept, "kept").unionByName(tag(expired, "expired"))
+    both = resolve_long(_raw_points(spark, sf_dir)).select(R.age_part(P.NOW, 7).alias("part"), "device_id")
     return both.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("device_id").alias("devices"))
 
 
@@ -822,6 +821,103 @@ def q_store_history(spark, sf_dir):
     return H.history(pts, P.HISTORY_DEVICE, P.HISTORY_FROM, P.HISTORY_TO, P.HISTORY_LIMIT)
 
 
+def _two_slices(raw: DataFrame) -> list[tuple[str, DataFrame]]:
+    """The messages in two runs that alternate by arrival, the first run once more at the end."""
+    odd = F.col("arrival_seq") % 20 < 10
+    first, second = ("first", raw.where(odd)), ("second", raw.where(~odd))
+    return [first, second, first]
+
+
+@register("store_latest", ORACLES["latest_by_arrival"])
+def q_store_latest(spark, sf_dir):
+    """Latest state after two batch runs into one folder, one of them repeated."""
+    from buoyline.plans.ingest import ingest_to, read_latest
+    from buoyline.session import scratch_path
+
+    out = scratch_path(spark, "ingest-runs")
+    for run, part in _two_slices(TB.raw_messages(spark, sf_dir)):
+        ingest_to(part, out, P.INGEST_TIME, run=run)
+    return read_latest(spark, out).select(*_LATEST_OUT)
+
+
+@register("hub_sensors", ORACLES["legacy_sensors"])
+def q_hub_sensors(spark, sf_dir):
+    """Sensor state after two batch runs of the hub into one folder, one of them repeated."""
+    from buoyline.plans.hub import hub_to, read_sensors
+    from buoyline.session import scratch_path
+
+    out = scratch_path(spark, "hub-runs")
+    for run, part in _two_slices(TB.legacy_messages(spark, sf_dir)):
+        hub_to(part, out, P.INGEST_TIME, run=run)
+    return _sensor_columns(read_sensors(spark, out))
+
+
+_STRICT = f"""
+WITH {O.CLASSIFIED}
+SELECT arrival_seq, split_part(topic, '/', 2) AS topic_device,
+       CASE WHEN topic_device IS DISTINCT FROM device_id THEN 'device_mismatch' ELSE 'invalid_timestamp' END AS reason
+FROM (SELECT *, string_split(topic, '/')[2] AS topic_device FROM c)
+WHERE status IN ('stored', 'latest') AND (topic_device IS DISTINCT FROM device_id OR (NOT ts_defaulted AND event_time IS NULL))
+"""
+
+
+@register("strict_rejects", _STRICT)
+def q_strict_rejects(spark, sf_dir):
+    """What the documented checks refuse beyond the code's: another device's topic, an impossible time."""
+    recs = _ingested(spark, sf_dir, strict_time=True, check_topic_device=True).records
+    return recs.where((F.col("status") == "rejected") & F.col("reason").isin("device_mismatch", "invalid_timestamp")).select(
+        "arrival_seq", TP.topic_device("topic").alias("topic_device"), "reason")
+
+
+@register("device_lookup", f"SELECT * FROM ({ORACLES['latest_by_arrival']}) WHERE device_id = '{P.HISTORY_DEVICE}'")
+def q_device_lookup(spark, sf_dir):
+    """State of one device."""
+    return S.device(_ingested(spark, sf_dir).latest(), P.HISTORY_DEVICE).select(*_LATEST_OUT)
+
+
+@register("sole_device_found", ORACLES["device_lookup"])
+def q_sole_device_found(spark, sf_dir):
+    """No device named and exactly one known: its state (G4). Messages of one device only."""
+    recs = _ingested(spark, sf_dir).records.where(F.col("device_id") == P.HISTORY_DEVICE)
+    return S.sole_device(S.latest(recs)).select(*_LATEST_OUT)
+
+
+@register(
+    "legacy_points_resolved",
+    f"""
+WITH lp AS ({ORACLES['legacy_points']})
+SELECT measurement, sensor_id, time, field, arg_max(value, arrival_seq) FILTER (WHERE newest) AS value,
+       max(value_string) FILTER (WHERE newest) AS value_string, max(value_type) FILTER (WHERE newest) AS value_type,
+       max(arrival_seq) AS arrival_seq
+FROM (SELECT *, arrival_seq = max(arrival_seq) OVER (PARTITION BY measurement, sensor_id, time, field) AS newest FROM lp)
+GROUP BY measurement, sensor_id, time, field
+""",
+)
+def q_legacy_points_resolved(spark, sf_dir):
+    """Legacy points, the last write of each (sensor, time, field) only (A6 on the tables of A4)."""
+    pts = PT.resolve_legacy(L.to_points(_legacy(spark, sf_dir), None, P.INGEST_TIME))
+    return pts.select("measurement", "sensor_id", to_iso_z("time").alias("time"), "field", "value", "value_string", "value_type", "arrival_seq")
+
+
+@register(
+    "sql_over_diagnostics",
+    f"""
+SELECT sensor_id, count(*) AS n, max(value) AS highest, count(DISTINCT value_string) AS texts
+FROM ({ORACLES['legacy_points_resolved']}) WHERE measurement = 'sensor_diag' GROUP BY sensor_id
+""",
+)
+def q_sql_over_diagnostics(spark, sf_dir):
+    """A free SQL query over the hub's stored diagnostics."""
+    from buoyline.plans.hub import hub_to
+    from buoyline.plans.views import query
+    from buoyline.session import scratch_path
+    from buoyline.sources import store
+
+    paths = hub_to(TB.legacy_messages(spark, sf_dir), scratch_path(spark, "hub"), P.INGEST_TIME)
+    return query(spark, "SELECT sensor_id, count(*) AS n, max(value) AS highest, count(DISTINCT value_string) AS texts "
+                 "FROM {diagnostics} GROUP BY sensor_id", diagnostics=store.read_points(spark, paths["diag"]))
+
+
 @register(
     "legacy_register",
     f"""
@@ -840,12 +936,15 @@ def q_legacy_register(spark, sf_dir):
 # --------------------------------------------------------------------------- streaming
 
 
+STREAM_FILE_ROWS = 2_000  # rows of one source file: what a broker bridge drops at a time
+STREAM_FILES = 32  # files of one micro-batch
+
+
 def _stream_run(spark: SparkSession, sf_dir: str) -> str:
     """Drop the raw messages as files, run the ingest stream to completion, return its output folder.
 
-    The files are cut by arrival order and read one per trigger, so the
-    stream runs several micro-batches; each run uses fresh folders below the
-    checkpoint root.
+    The files are cut by arrival order and read a bounded number per trigger;
+    each run uses fresh folders below the checkpoint root.
     """
     from buoyline.session import scratch_path
     from buoyline.streaming import jobs
@@ -855,8 +954,8 @@ def _stream_run(spark: SparkSession, sf_dir: str) -> str:
     raw = TB.raw_messages(spark, sf_dir).select(
         "arrival_seq", F.col("arrival_ts").cast("timestamp").alias("arrival_ts"), "topic", "payload"
     )
-    raw.repartitionByRange(4, "arrival_seq").write.parquet(src)
-    q = jobs.start_ingest(jobs.raw_stream(spark, src, max_files=1), out, ckpt, ingest_time=P.INGEST_TIME,
+    raw.repartitionByRange("arrival_seq").write.option("maxRecordsPerFile", STREAM_FILE_ROWS).parquet(src)
+    q = jobs.start_ingest(jobs.raw_stream(spark, src, max_files=STREAM_FILES), out, ckpt, ingest_time=P.INGEST_TIME,
                           available_now=True)
     q.awaitTermination()
     if q.exception() is not None:
@@ -903,8 +1002,8 @@ def q_stream_legacy_sensors(spark, sf_dir):
     raw = TB.legacy_messages(spark, sf_dir).select(
         "arrival_seq", F.col("arrival_ts").cast("timestamp").alias("arrival_ts"), "topic", "payload"
     )
-    raw.repartitionByRange(4, "arrival_seq").write.parquet(src)
-    q = jobs.start_hub(jobs.raw_stream(spark, src, max_files=1), f"{base}/out", f"{base}/checkpoint",
+    raw.repartitionByRange("arrival_seq").write.option("maxRecordsPerFile", STREAM_FILE_ROWS).parquet(src)
+    q = jobs.start_hub(jobs.raw_stream(spark, src, max_files=STREAM_FILES), f"{base}/out", f"{base}/checkpoint",
                        ingest_time=P.INGEST_TIME, available_now=True)
     q.awaitTermination()
     if q.exception() is not None:

@@ -9,9 +9,10 @@ from that table, so a lost executor costs a retry of one stage, not the job.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from buoyline.operators import legacy as L
@@ -22,7 +23,7 @@ from buoyline.sources import store
 @dataclass
 class Hub:
     classified: DataFrame
-    ingest_time: str
+    ingest_time: str | None
 
     @property
     def routes(self) -> dict[str, DataFrame]:
@@ -50,23 +51,32 @@ class Hub:
         )
 
 
-def hub(raw: DataFrame, ingest_time: str) -> Hub:
+def hub(raw: DataFrame, ingest_time: str | None) -> Hub:
     return Hub(L.classify(raw), ingest_time)
 
 
-def hub_to(raw: DataFrame, out_dir: str, ingest_time: str, mode: str = "append") -> dict[str, str]:
-    """Batch run of the hub into ``out_dir``: one folder per bucket, plus sensors/ and rejects/."""
+def hub_to(raw: DataFrame, out_dir: str, ingest_time: str | None, run: str | None = None) -> dict[str, str]:
+    """Batch run of the hub into ``out_dir``: one folder per bucket, plus sensors/ and rejects/.
+
+    Every run owns ``run=<run>`` below each table, as in ``ingest_to``;
+    ``read_sensors`` merges the runs' sensor states.
+    """
     spark = raw.sparkSession
-    out = out_dir.rstrip("/")
+    out, part = out_dir.rstrip("/"), f"run={run or uuid.uuid4().hex}"
     h = hub(raw, ingest_time)
-    h.classified.write.mode("overwrite").parquet(f"{out}/classified")
-    h = Hub(spark.read.parquet(f"{out}/classified"), ingest_time)
+    h.classified.write.mode("overwrite").parquet(f"{out}/classified/{part}")
+    h = Hub(spark.read.parquet(f"{out}/classified/{part}"), ingest_time)
     paths = {
         LEGACY_MEASUREMENT: f"{out}/{LEGACY_BUCKETS[LEGACY_MEASUREMENT]}",
         LEGACY_DIAG: f"{out}/{LEGACY_BUCKETS[LEGACY_DIAG]}",
     }
-    store.write_points(h.measurements, paths[LEGACY_MEASUREMENT], mode=mode, key="sensor_id")
-    store.write_points(h.diagnostics, paths[LEGACY_DIAG], mode=mode, key="sensor_id")
-    h.sensors.write.mode("overwrite").parquet(f"{out}/sensors")
-    h.rejects.write.mode("overwrite").parquet(f"{out}/rejects")
+    store.write_points(h.measurements, f"{paths[LEGACY_MEASUREMENT]}/{part}", mode="overwrite", key="sensor_id")
+    store.write_points(h.diagnostics, f"{paths[LEGACY_DIAG]}/{part}", mode="overwrite", key="sensor_id")
+    h.sensors.write.mode("overwrite").parquet(f"{out}/sensors/{part}")
+    h.rejects.write.mode("overwrite").parquet(f"{out}/rejects/{part}")
     return {**paths, "sensors": f"{out}/sensors", "rejects": f"{out}/rejects"}
+
+
+def read_sensors(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Sensor state over all runs."""
+    return L.merge_sensors(spark.read.parquet(f"{out_dir.rstrip('/')}/sensors").drop("run"))

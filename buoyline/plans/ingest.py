@@ -8,6 +8,7 @@ JSON parse), and points, latest state and rejects are derived from that table.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +43,7 @@ class Ingested:
         return self.records.where(F.col("status") == "ignored").select("arrival_seq", "topic")
 
 
-def ingest(raw: DataFrame, ingest_time: str, keep_tags: bool = False, strict_time: bool = False,
+def ingest(raw: DataFrame, ingest_time: str | None, keep_tags: bool = False, strict_time: bool = False,
            check_topic_device: bool = False) -> Ingested:
     """Decode, route and normalise raw messages (topic, payload, arrival_seq, arrival_ts)."""
     decoded = decode(raw)
@@ -52,14 +53,25 @@ def ingest(raw: DataFrame, ingest_time: str, keep_tags: bool = False, strict_tim
     return Ingested(recs)
 
 
-def ingest_to(raw: DataFrame, out_dir: str, ingest_time: str, keep_tags: bool = False, mode: str = "append") -> dict:
-    """Batch ingest into ``out_dir``: records/, points/ (by day), latest/, rejects/."""
+def ingest_to(raw: DataFrame, out_dir: str, ingest_time: str, keep_tags: bool = False, run: str | None = None) -> dict:
+    """Batch ingest into ``out_dir``; every run owns ``run=<run>`` below each table.
+
+    Tables: records/, points/ (by run and day), rejects/, latest/ (one candidate
+    per device and run). Runs add up: ``read_points`` and ``read_latest`` merge
+    them. Repeating a run under its name replaces exactly its own rows; without
+    a name each call is a run of its own.
+    """
     spark: SparkSession = raw.sparkSession
-    out = out_dir.rstrip("/")
+    out, part = out_dir.rstrip("/"), f"run={run or uuid.uuid4().hex}"
     res = ingest(raw, ingest_time, keep_tags=keep_tags)
-    res.records.write.mode("overwrite").parquet(f"{out}/records")
-    recs = Ingested(spark.read.parquet(f"{out}/records"))
-    store.write_points(recs.points, f"{out}/points", mode=mode)
-    recs.rejects.write.mode("overwrite").parquet(f"{out}/rejects")
-    recs.latest().write.mode("overwrite").parquet(f"{out}/latest")
+    res.records.write.mode("overwrite").parquet(f"{out}/records/{part}")
+    recs = Ingested(spark.read.parquet(f"{out}/records/{part}"))
+    store.write_points(recs.points, f"{out}/points/{part}", mode="overwrite")
+    recs.rejects.write.mode("overwrite").parquet(f"{out}/rejects/{part}")
+    recs.latest().write.mode("overwrite").parquet(f"{out}/latest/{part}")
     return {k: f"{out}/{k}" for k in ("records", "points", "rejects", "latest")}
+
+
+def read_latest(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Latest state per device over all runs: the candidate that arrived last."""
+    return state.newest(spark.read.parquet(f"{out_dir.rstrip('/')}/latest").drop("run"))

@@ -23,17 +23,12 @@ TELEMETRY_FIELDS = (
     "accel_y",
     "accel_z",
 )
-TAG_FIELDS = ("device_id", "firmware", "location")
 TOPIC_KINDS = ("status", "telemetry", "diagnostics")
-TOPIC_ROOT = "floatingsensor"
-SUBSCRIBE_FILTER = "floatingsensor/#"
+TOPIC_ROOT = "sensors"  # default root; every topic function takes another
 MEASUREMENT = "environment"
-BUCKET = "floating_sensor"
 HISTORY_DEFAULT_LIMIT = 500
 HISTORY_MAX_LIMIT = 5000
-UI_HISTORY_DEFAULT_HOURS = 6
 UI_HISTORY_MAX_HOURS = 168
-UI_HISTORY_DEFAULT_LIMIT = 100
 DEVICE_STATE = "online"
 UNKNOWN_FIRMWARE = "unknown"
 DISPLAY_ZONE = "Europe/Warsaw"
@@ -128,20 +123,6 @@ RAW_SCHEMA = T.StructType(
     ]
 )
 
-# One stored value: the long form of a time-series store.
-POINT_SCHEMA = T.StructType(
-    [
-        T.StructField("measurement", T.StringType(), False),
-        T.StructField("device_id", T.StringType(), False),
-        T.StructField("firmware", T.StringType(), True),
-        T.StructField("location", T.StringType(), True),
-        T.StructField("time", T.TimestampType(), False),
-        T.StructField("field", T.StringType(), False),
-        T.StructField("value", T.DoubleType(), True),
-        T.StructField("arrival_seq", T.LongType(), False),
-    ]
-)
-
 SERIES_KEYS = ("measurement", "device_id", "firmware", "location")
 
 

@@ -30,9 +30,10 @@ WITH e AS (
   FROM events)
 SELECT event_id * 10 + CASE WHEN event_id % 10 = 0 THEN 5001 ELSE 0 END AS arrival_seq,
        ts AS arrival_ts,
-       'sensors/' || did || CASE WHEN event_id % 23 = 0 THEN '/status'
-                                 WHEN event_id % 29 = 0 THEN '/diagnostics'
-                                 ELSE '/telemetry' END AS topic,
+       CASE WHEN event_id % 101 = 0 THEN 'lonely' WHEN event_id % 103 = 0 THEN 'sensors/OTHER/telemetry'
+            ELSE 'sensors/' || did || CASE WHEN event_id % 23 = 0 THEN '/status'
+                                           WHEN event_id % 29 = 0 THEN '/diagnostics'
+                                           ELSE '/telemetry' END END AS topic,
        CASE WHEN event_id % 41 = 0 THEN 'not json'
             WHEN event_id % 43 = 0 THEN '[1,2]'
             WHEN event_id % 47 = 0 THEN '{"timestamp":"' || iso || '","' || field || '":' || v || '}'
@@ -43,19 +44,24 @@ SELECT event_id * 10 + CASE WHEN event_id % 10 = 0 THEN 5001 ELSE 0 END AS arriv
             WHEN event_id % 67 = 0 THEN '{"device_id":"' || did || '","timestamp":"' || iso || '","' || field || '":true}'
             WHEN event_id % 71 = 0 THEN '{"device_id":"' || did || '","timestamp":"' || iso || '","' || field || '":' || v || ',"firmware":"1.0.0","location":"lab","x":1}'
             WHEN event_id % 73 = 0 THEN '{"device_id":"' || did || '","timestamp":"' || iso || '","' || field || '":null}'
+            WHEN event_id % 79 = 0 THEN '{"device_id":"' || did || '","timestamp":"' || iso || '","' || field || '":"' || v || 'd"}'
+            WHEN event_id % 83 = 0 THEN '{"device_id":"' || did || '","timestamp":"' || iso || '","' || field || '":"0x1p3"}'
+            WHEN event_id % 89 = 0 THEN '{"device_id":"' || did || '","timestamp":"2024-13-45T00:00:00Z","' || field || '":' || v || '}'
+            WHEN event_id % 5 = 1 THEN '{"device_id":"' || did || '","timestamp":"' || iso || '","' || field || '":' || v || '5}'
             ELSE '{"device_id":"' || did || '","timestamp":"' || iso || '","' || field || '":' || v || '}'
        END AS payload
 FROM e
 """
 
+# Several payload times of a sensor collide, so that the last write has to win.
 # arrival_ts is the hub's wall clock (the event time of the row); the payload
-# clock is 2024-01-01T00:00Z plus one minute per event.
+# clock is 2024-01-01T00:00Z plus one minute for each of 50 slots.
 LEGACY_MESSAGES = """
 WITH e AS (
   SELECT event_id,
          ts,
          'DEV-' || lpad(CAST(user_id AS STRING), 4, '0') AS did,
-         CAST(1704067200000 + event_id * 60000 AS STRING) AS ms,
+         CAST(1704067200000 + event_id % 50 * 60000 AS STRING) AS ms,
          CAST(value AS STRING) AS v,
          CAST(event_id % 1000 AS STRING) AS n
   FROM events)

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from buoyline.operators.points import with_event_date
 
 
+FILES_PER_DAY = 8  # files that one micro-batch writes below one day at most
+
+
 def write_points(points: DataFrame, path: str, mode: str = "append", partitions: int | None = None,
                  key: str = "device_id") -> None:
     """Batch sink for long points.
@@ -22,11 +25,11 @@ def write_points(points: DataFrame, path: str, mode: str = "append", partitions:
     one; each task then writes few day directories, sorted for pruning.
     ``mode='append'`` never rewrites old data; duplicates resolve on read.
     """
-    spark = points.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     df = with_event_date(points) if "event_date" not in points.columns else points
+    keys = ["event_date", key, "time"]
+    dealt = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
     (
-        df.repartitionByRange(n, "event_date", key, "time")
+        dealt
         .sortWithinPartitions("event_date", key, "time")
         .write.mode(mode)
         .partitionBy("event_date")
@@ -38,11 +41,14 @@ def write_points_batch(points: DataFrame, path: str, batch_id: int, key: str = "
     """Micro-batch sink: each batch owns ``batch_id=<n>`` below every day, overwritten on replay.
 
     A replayed batch rewrites exactly its own files, so the sink is idempotent
-    without a table format that supports MERGE.
+    without a table format that supports MERGE. Rows are dealt by day and a
+    hash of the series key first, so a batch writes at most FILES_PER_DAY files
+    a day however many tasks it had.
     """
     df = with_event_date(points).withColumn("batch_id", F.lit(int(batch_id)))
     (
-        df.sortWithinPartitions("event_date", key, "time")
+        df.repartition("event_date", F.pmod(F.xxhash64(key, "time"), F.lit(FILES_PER_DAY)))
+        .sortWithinPartitions("event_date", key, "time")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("event_date", "batch_id")
@@ -51,12 +57,8 @@ def write_points_batch(points: DataFrame, path: str, batch_id: int, key: str = "
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
-    """Scan of the point store; ``event_date`` is the partition column."""
-    return spark.read.option("basePath", path).parquet(path)
-
-
-def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).parquet(path)
+    """Scan of the point store, all runs; ``event_date`` is the partition column."""
+    return spark.read.option("basePath", path).parquet(path).drop("run")
 
 
 def publish(messages: DataFrame, path: str, mode: str = "append") -> None:

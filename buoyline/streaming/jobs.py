@@ -5,14 +5,13 @@ or Kafka with the same RAW columns). Each micro-batch is classified once,
 persisted, and written to three sinks. Every sink writes its own
 ``batch_id=<n>`` partition with overwrite, so a replayed batch (after a
 failure, from the checkpoint) rewrites exactly its own files: the job is
-idempotent without a table format that supports MERGE. Duplicates across
-batches resolve on read (points: last write wins; latest: newest arrival).
+idempotent without a table format that supports MERGE. A message without a
+time gets its own arrival time unless ``ingest_time`` is given, so a replay
+under a later clock gives the same rows. Duplicates across batches resolve on read (points: last write wins; latest: newest arrival).
 """
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -22,7 +21,6 @@ from buoyline.operators.points import to_points
 from buoyline.plans.ingest import ingest
 from buoyline.schemas import RAW_SCHEMA
 from buoyline.sources import store
-from buoyline.sources.tables import spread
 
 
 def raw_stream(spark: SparkSession, source_dir: str, fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
@@ -48,22 +46,20 @@ def from_kafka(records: DataFrame) -> DataFrame:
 
     The MQTT topic travels as the record key (a broker bridge writes it there);
     without a key the Kafka topic is used. Arrival order is the offset inside a
-    partition: with records keyed by device, all messages of a device share a
-    partition, so ``arrival_seq = partition << 44 | offset`` orders each
-    device's messages exactly as the broker received them.
+    partition; across partitions (the key is a topic, so one device's kinds lie
+    in several) it is the broker's timestamp. ``arrival_seq`` packs (timestamp,
+    partition, offset) into one decimal, which every ``max_by`` orders rightly.
     """
+    place = F.shiftleft(F.col("partition").cast("long"), OFFSET_BITS) + F.col("offset").cast("long")
+    millis = F.unix_millis(F.col("timestamp").cast("timestamp")).cast("decimal(19,0)")
     return records.select(
-        (F.shiftleft(F.col("partition").cast("long"), OFFSET_BITS) + F.col("offset").cast("long")).alias("arrival_seq"),
+        (millis * F.lit(str(1 << 63)).cast("decimal(19,0)") + place.cast("decimal(19,0)")).cast("decimal(38,0)").alias("arrival_seq"),
         F.col("timestamp").cast("timestamp").alias("arrival_ts"),
         F.coalesce(F.col("key").cast("string"), F.col("topic")).alias("topic"),
         F.col("value").cast("string").alias("payload"),
     )
 
 
-def _now_z() -> str:
-    return _dt.datetime.now(_dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-
-
 def _write_batch_partition(df: DataFrame, path: str, batch_id: int) -> None:
     (
         df.withColumn("batch_id", F.lit(int(batch_id)))
@@ -78,7 +74,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, out_dir: str, ingest_time: str
                  keep_tags: bool = False) -> None:
     """One micro-batch: classify once, write points, latest candidates and rejects."""
     out = out_dir.rstrip("/")
-    recs = ingest(spread(batch), ingest_time or _now_z(), keep_tags=keep_tags).records.persist()
+    recs = ingest(batch, ingest_time, keep_tags=keep_tags).records.persist()
     try:
         store.write_points_batch(to_points(recs), f"{out}/points", batch_id)
         _write_batch_partition(state.latest(recs), f"{out}/latest_updates", batch_id)
@@ -127,19 +123,10 @@ def _fs_list_snapshots(spark: SparkSession, root: str) -> list[int]:
     return sorted(out)
 
 
-def _newest(upd: DataFrame) -> DataFrame:
-    cols = [c for c in upd.columns if c != "device_id"]
-    return (
-        upd.groupBy("device_id")
-        .agg(F.max_by(F.struct(*[F.col(c) for c in cols]), F.col("arrival_seq")).alias("r"))
-        .select("device_id", "r.*")
-    )
-
-
 def _latest_inputs(spark: SparkSession, out_dir: str, upto: int | None = None) -> tuple[DataFrame, int | None]:
     out = out_dir.rstrip("/")
     upd = spark.read.parquet(f"{out}/latest_updates")
-    versions = [v for v in _fs_list_snapshots(spark, f"{out}/latest_snapshot") if upto is None or v <= upto]
+    versions = [v for v in _fs_list_snapshots(spark, f"{out}/latest_snapshot") if upto is None or v < upto]
     if versions:
         v = versions[-1]
         snap = spark.read.parquet(f"{out}/latest_snapshot/v={v}")
@@ -155,21 +142,25 @@ def _latest_inputs(spark: SparkSession, out_dir: str, upto: int | None = None) -
 def read_latest(spark: SparkSession, out_dir: str) -> DataFrame:
     """Latest state per device: the newest committed snapshot plus later per-batch candidates."""
     rows, _ = _latest_inputs(spark, out_dir)
-    return _newest(rows)
+    return state.newest(rows)
 
 
 def compact_latest(spark: SparkSession, out_dir: str, upto_batch: int) -> str:
     """Fold the candidates of batches ``<= upto_batch`` into snapshot ``v=<upto_batch>``.
 
-    Idempotent (a rerun overwrites the same version) and safe against a crash:
+    Idempotent (a committed version is left as it is; an unfinished one is
+    written again from the versions below it) and safe against a crash:
     readers only use versions whose write committed, so reads stay bounded by
     the number of devices plus the batches since the last snapshot. Old
     ``batch_id`` folders below the snapshot are no longer read and can be
     expired by the storage's retention.
     """
+    root = f"{out_dir.rstrip('/')}/latest_snapshot"
+    path = f"{root}/v={int(upto_batch)}"
+    if int(upto_batch) in _fs_list_snapshots(spark, root):
+        return path
     rows, _ = _latest_inputs(spark, out_dir, upto=upto_batch)
-    path = f"{out_dir.rstrip('/')}/latest_snapshot/v={int(upto_batch)}"
-    _newest(rows).write.mode("overwrite").parquet(path)
+    state.newest(rows).write.mode("overwrite").parquet(path)
     return path
 
 
@@ -212,7 +203,7 @@ def hub_batch(batch: DataFrame, batch_id: int, out_dir: str, ingest_time: str |
     from buoyline.schemas import LEGACY_BUCKETS, LEGACY_DIAG, LEGACY_MEASUREMENT
 
     out = out_dir.rstrip("/")
-    h = hub(spread(batch), ingest_time or _now_z())
+    h = hub(batch, ingest_time)
     cls = h.classified.persist()
     try:
         from buoyline.plans.hub import Hub

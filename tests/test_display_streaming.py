@@ -38,10 +38,10 @@ def test_rollup_counts_resolved_values_once(spark):
 def test_stream_equals_batch(spark, raw_df, tmp_path):
     from buoyline.streaming import jobs
 
-    rows = [(i, f"floatingsensor/D{i % 3}/telemetry",
+    rows = [(i, f"sensors/D{i % 3}/telemetry",
              f'{{"device_id":"D{i % 3}","timestamp":"2024-01-0{1 + i % 5}T00:00:00Z","temperature":{i}}}')
             for i in range(1, 40)]
-    rows.append((99, "floatingsensor/D1/telemetry", "not json"))
+    rows.append((99, "sensors/D1/telemetry", "not json"))
     raw = raw_df(rows)
     src = str(tmp_path / "src")
     raw.repartition(4).write.parquet(src)
@@ -68,7 +68,7 @@ def test_stream_equals_batch(spark, raw_df, tmp_path):
 def test_native_streaming_latest(spark, raw_df, tmp_path):
     from buoyline.streaming import jobs
 
-    rows = [(i, "floatingsensor/D/telemetry", f'{{"device_id":"D","temperature":{i}}}') for i in range(1, 6)]
+    rows = [(i, "sensors/D/telemetry", f'{{"device_id":"D","temperature":{i}}}') for i in range(1, 6)]
     src = str(tmp_path / "src")
     raw_df(rows).write.parquet(src)
     lat = jobs.latest_stream(jobs.raw_stream(spark, src), "2024-02-01T00:00:00Z")
@@ -109,7 +109,7 @@ def test_kafka_adapter_and_subscribe(spark):
     raw = jobs.from_kafka(recs)
     rows = {r["payload"]: r for r in raw.collect()}
     r1 = rows['{"device_id":"D1","temperature":1}']
-    assert r1["topic"] == "sensors/D1/telemetry" and r1["arrival_seq"] == (3 << 44) + 10
+    assert r1["topic"] == "sensors/D1/telemetry" and r1["arrival_seq"] == 1_704_067_200_000 * 2**63 + (3 << 44) + 10
     assert rows['{"device_id":"D2"}']["topic"] == "bridge"
     assert jobs.subscribe(raw, "sensors/#").count() == 1
     assert ingest(raw, "2024-02-01T00:00:00Z").points.count() == 1
@@ -120,7 +120,7 @@ def test_latest_compaction(spark, raw_df, tmp_path):
 
     out = str(tmp_path / "out")
     for b in range(3):
-        rows = [(b * 10 + i, f"floatingsensor/D{i}/telemetry", f'{{"device_id":"D{i}","temperature":{b}}}')
+        rows = [(b * 10 + i, f"sensors/D{i}/telemetry", f'{{"device_id":"D{i}","temperature":{b}}}')
                 for i in range(3)]
         jobs.ingest_batch(raw_df(rows), b, out, "2024-02-01T00:00:00Z")
     before = sorted(tuple(r) for r in jobs.read_latest(spark, out).select("device_id", "temperature").collect())
@@ -152,3 +152,61 @@ def test_stream_hub_equals_batch(spark, tmp_path):
         sorted(map(tuple, L.sensors(batch.classified).select(*cols).collect()))
     assert store.read_points(spark, f"{out}/measurements").count() == batch.measurements.count()
     assert store.read_points(spark, f"{out}/diagnostics").count() == batch.diagnostics.count()
+
+
+def test_fixed_digits_round_the_stored_value(spark):
+    from buoyline.functions.display import fixed_digits
+
+    rows = spark.createDataFrame([(1.005,), (2.675,), (0.125,), (12.0,), (None,)], "v double")
+    assert [r[0] for r in rows.select(fixed_digits("v")).collect()] == ["1.00", "2.67", "0.12", "12.00", "—"]
+
+
+def test_kafka_arrival_follows_the_broker_time_over_partitions(spark):
+    import datetime as dt
+
+    from buoyline.operators import legacy as L
+    from buoyline.streaming.jobs import from_kafka
+
+    def rec(day, part, offset, kind, value):
+        return (f"ws/h/S/{kind}".encode(), value.encode(), "t", part, offset, dt.datetime(2024, 1, day))
+
+    rows = [rec(5, 0, 3, "measurement", '{"ts":1,"t":5.0}'), rec(1, 7, 900, "diag", '{"ts":1,"V":4.0}'),
+            rec(2, 9, 1, "measurement", '{"ts":1,"t":2.0}')]
+    df = spark.createDataFrame(rows, "key binary, value binary, topic string, partition int, offset long, timestamp timestamp")
+    s = L.sensors(L.classify(from_kafka(df))).collect()[0]
+    assert s["last_seen"] == dt.datetime(2024, 1, 5) and s["last_measurement"]["t"] == 5.0
+
+
+def test_replay_under_a_later_clock_gives_the_same_points(spark, tmp_path, raw_df):
+    from buoyline.streaming import jobs
+
+    batch = raw_df([(1, "sensors/A/telemetry", '{"device_id":"A","temperature":1}')])
+    for _ in range(2):
+        jobs.ingest_batch(batch, 0, str(tmp_path / "o"))
+    rows = jobs.read_points(spark, str(tmp_path / "o")).collect()
+    assert [(r["device_id"], r["value"]) for r in rows] == [("A", 1.0)] and rows[0]["time"].year == 2024
+
+
+def test_a_batch_writes_few_files_whatever_its_tasks(spark, tmp_path, raw_df):
+    from buoyline.sources.store import FILES_PER_DAY
+    from buoyline.streaming import jobs
+
+    rows = [(i, f"sensors/D{i}/telemetry", f'{{"device_id":"D{i}","timestamp":"2024-01-0{1 + i % 3}T00:00:00Z","temperature":{i}}}') for i in range(300)]
+    jobs.ingest_batch(raw_df(rows).repartition(40), 0, str(tmp_path / "o"))
+    files = list((tmp_path / "o" / "points").rglob("*.parquet"))
+    assert len(files) <= 3 * FILES_PER_DAY and jobs.read_points(spark, str(tmp_path / "o")).count() == 300
+
+
+def test_compaction_keeps_devices_that_later_batches_do_not_cover(spark, tmp_path, raw_df):
+    from buoyline.streaming import jobs
+
+    def msg(seq, dev):
+        return (seq, f"sensors/{dev}/telemetry", f'{{"device_id":"{dev}","timestamp":"2024-01-01T00:00:00Z","temperature":{seq}}}')
+
+    out = str(tmp_path / "o")
+    for bid, devs in enumerate(("AB", "B", "C")):
+        jobs.ingest_batch(raw_df([msg(10 * bid + i, d) for i, d in enumerate(devs)]), bid, out)
+        if bid < 2:
+            jobs.compact_latest(spark, out, bid)
+            jobs.compact_latest(spark, out, bid)
+    assert {(r["device_id"], r["arrival_seq"]) for r in jobs.read_latest(spark, out).collect()} == {("A", 0), ("B", 10), ("C", 20)}

@@ -46,19 +46,53 @@ def test_publish_round_trip(spark, tmp_path):
     back = spark.read.json(str(tmp_path / "pub"))
     assert back.count() == msgs.count()
     one = back.first()
-    assert one["topic"].startswith("floatingsensor/") and "device_id" in json.loads(one["payload"])
+    assert one["topic"].startswith("sensors/") and "device_id" in json.loads(one["payload"])
 
 
-def test_spread_only_touches_small_inputs(spark, tmp_path):
-    from buoyline.sources.tables import spread
+def test_runs_add_up_and_a_repeated_run_replaces_itself(spark, tmp_path, raw_df):
+    from buoyline.plans.hub import read_sensors
+    from buoyline.plans.ingest import read_latest
 
-    par = spark.sparkContext.defaultParallelism
-    big = spark.range(0, 10000, numPartitions=par * 2)
-    assert spread(big) is big  # enough splits already: the plan is left alone, no shuffle
-    one = spark.range(0, 10000, numPartitions=1)
-    spread_one = spread(one)
-    assert spread_one.rdd.getNumPartitions() == par
-    assert spread_one.count() == 10000
+    def msg(seq, dev, v):
+        return (seq, f"sensors/{dev}/telemetry", json.dumps({"device_id": dev, "timestamp": "2024-01-01T00:00:00Z", "temperature": v}))
+
+    out = str(tmp_path / "runs")
+    for run, rows in (("a", [msg(1, "A", 1.0)]), ("b", [msg(2, "B", 2.0)]), ("a", [msg(1, "A", 1.0)])):
+        paths = ingest_to(raw_df(rows), out, P.INGEST_TIME, run=run)
+    assert {(r["device_id"], r["temperature"]) for r in read_latest(spark, out).collect()} == {("A", 1.0), ("B", 2.0)}
+    assert store.read_points(spark, paths["points"]).count() == 2
+
+    def legacy(seq, s):
+        return (seq, f"ws/h/{s}/measurement", json.dumps({"ts": 1, "t": 1.5}))
+
+    out = str(tmp_path / "hub-runs")
+    for run, rows in (("a", [legacy(1, "S1")]), ("b", [legacy(2, "S2")]), ("a", [legacy(1, "S1")])):
+        hub_to(raw_df(rows), out, P.INGEST_TIME, run=run)
+    assert {r["sensor_id"] for r in read_sensors(spark, out).collect()} == {"S1", "S2"}
+
+
+def test_archive_holds_the_expired_points_and_reads_their_days_only(spark, tmp_path):
+    from buoyline.operators import rollup as R
+
+    store.write_points(ingest(TB.raw_messages(spark, SF), P.INGEST_TIME).points, str(tmp_path / "p"))
+    stored = store.read_points(spark, str(tmp_path / "p"))
+    kept, expired = R.split_by_age(stored, P.NOW, 7)
+    plan = expired._jdf.queryExecution().executedPlan().toString()
+    assert "event_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    R.archive(stored, P.NOW, 7, str(tmp_path / "archive"))
+    back = store.read_points(spark, str(tmp_path / "archive"))
+    assert back.count() == expired.select("measurement", "device_id", "time", "field").distinct().count() > 0
+
+
+def test_legacy_points_and_status_parse_each_message_once(spark):
+    from buoyline.plans import catalog
+
+    plan = catalog.QUERIES["legacy_points"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
+    plan = catalog.QUERIES["retention_split"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
+    plan = catalog.QUERIES["route_telemetry"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "struct<" not in plan and plan.count("Relation [") == 1
 
 
 def test_register_views_for_free_sql(spark):

@@ -86,3 +86,16 @@ def test_rules_match_python(spark):
             if r["s"] != _py_str(v):
                 bad.append(("str", v, r["s"]))
     assert not bad, bad[:20]
+
+
+def test_only_decimal_spellings_cast(raw_df):
+    import json
+
+    from buoyline.plans.ingest import ingest
+
+    texts = {"22.4d": None, "22.4f": None, "0x1p3": None, "1e3": 1000.0, " 7. ": 7.0, ".5": 0.5, "+3": 3.0, "1e": None, "": None}
+    rows = [(i, "sensors/A/telemetry", json.dumps({"device_id": "A", "timestamp": "2024-01-01T00:00:00Z", "temperature": t}))
+            for i, t in enumerate(texts)]
+    got = {r["arrival_seq"]: (r["temperature"], r["status"]) for r in ingest(raw_df(rows), "2024-01-01T00:00:00Z").records.collect()}
+    for i, v in enumerate(texts.values()):
+        assert got[i] == (v, "latest" if v is None else "stored"), list(texts)[i]

@@ -7,7 +7,7 @@ from buoyline.plans.ingest import ingest
 from buoyline.schemas import TELEMETRY_FIELDS
 
 NOW = "2024-02-01T00:00:00Z"
-TOPIC = "floatingsensor/X/telemetry"
+TOPIC = "sensors/X/telemetry"
 
 
 def _expected(payload):

@@ -45,9 +45,9 @@ def test_aggregations_are_partial_before_the_shuffle(spark):
 
 
 def test_ingest_stays_in_one_stage_for_multi_split_input(spark, tmp_path, raw_df):
-    rows = [(i, "floatingsensor/D/telemetry", '{"device_id":"D","temperature":1}') for i in range(64)]
+    rows = [(i, "sensors/D/telemetry", '{"device_id":"D","temperature":1}') for i in range(64)]
     src = str(tmp_path / "raw")
     raw_df(rows).repartition(spark.sparkContext.defaultParallelism * 2).write.parquet(src)
-    raw = TB.spread(spark.read.parquet(src))
+    raw = spark.read.parquet(src)
     ops = _ops(_plan(ingest(raw, P.INGEST_TIME).rejects))
     assert "Exchange" not in ops and "Generate" in ops  # no shuffle, the evaluate-once barrier in place

@@ -5,11 +5,11 @@ import pytest
 from buoyline.operators import state as S
 from buoyline.plans.ingest import ingest
 
-NOW = "2026-08-05T12:00:00Z"
+NOW = "2025-03-04T12:00:00Z"
 
 
 def _t(d):
-    return f"floatingsensor/{d}/telemetry"
+    return f"sensors/{d}/telemetry"
 
 
 def _latest(raw_df, rows, **kw):
@@ -36,8 +36,8 @@ def test_latest_includes_records_the_store_refused(raw_df):
 
 
 def test_device_view_and_lookups(raw_df):
-    rows = [(1, _t("A"), '{"device_id":"A","timestamp":"2026-08-05T11:59:00Z","temperature":1}'),
-            (2, _t("B"), '{"device_id":"B","timestamp":"2026-08-05T10:00:00Z","temperature":1}')]
+    rows = [(1, _t("A"), '{"device_id":"A","timestamp":"2025-03-04T11:59:00Z","temperature":1}'),
+            (2, _t("B"), '{"device_id":"B","timestamp":"2025-03-04T10:00:00Z","temperature":1}')]
     latest = _latest(raw_df, rows)
     info = {r["device_id"]: r for r in S.device_info(latest).collect()}
     assert info["A"]["state"] == "online" and info["A"]["firmware_version"] == "unknown"
@@ -53,20 +53,20 @@ def test_device_view_and_lookups(raw_df):
 
 
 def test_active_is_strict(raw_df):
-    rows = [(1, _t("A"), '{"device_id":"A","timestamp":"2026-08-05T11:58:00Z","temperature":1}')]
+    rows = [(1, _t("A"), '{"device_id":"A","timestamp":"2025-03-04T11:58:00Z","temperature":1}')]
     latest = _latest(raw_df, rows)
     assert S.active_devices(latest, NOW, 120).count() == 0
     assert S.active_devices(latest, NOW, 121).count() == 1
 
 
 def test_tags_reach_points_and_device_view_when_kept(raw_df):
-    p = '{"device_id":"FS-001","timestamp":"2026-08-05T10:15:00Z","firmware":"1.0.0","temperature":22.4}'
-    res = ingest(raw_df([(1, _t("FS-001"), p)]), NOW, keep_tags=True)
+    p = '{"device_id":"BUOY-7","timestamp":"2025-03-04T06:05:00Z","firmware":"1.0.0","temperature":22.4}'
+    res = ingest(raw_df([(1, _t("BUOY-7"), p)]), NOW, keep_tags=True)
     pt = res.points.collect()[0]
     assert (pt["measurement"], pt["device_id"], pt["firmware"], pt["field"], pt["value"]) == (
-        "environment", "FS-001", "1.0.0", "temperature", 22.4)
+        "environment", "BUOY-7", "1.0.0", "temperature", 22.4)
     view = S.device_info(S.lookup(res.latest())).collect()[0]  # no id: the sole device
     assert (view["device_id"], view["firmware_version"], view["last_seen"]) == (
-        "FS-001", "1.0.0", "2026-08-05T10:15:00Z")
+        "BUOY-7", "1.0.0", "2025-03-04T06:05:00Z")
     lat = S.latest_view(res.latest()).collect()[0]
-    assert (lat["device_id"], lat["timestamp"], lat["temperature"]) == ("FS-001", "2026-08-05T10:15:00Z", 22.4)
+    assert (lat["device_id"], lat["timestamp"], lat["temperature"]) == ("BUOY-7", "2025-03-04T06:05:00Z", 22.4)
