@@ -77,7 +77,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
                 done = host.end()
         at = text.find("@", at + 1)
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in m[0].split(".")):
             out.append((1, *m.span()))
     for m in _CARD.finditer(text):
         if 12 <= m.end() - m.start() <= 2 * 19:

@@ -99,3 +99,9 @@ def test_fit_on_a_table_keeps_the_rules(docs):
     rows = [(i, f"text {i} 4465758382889437 and +1 (663) 555-01{i:02d} a{i}@b.org") for i in range(64)]
     m = pii.fit(docs(rows))
     assert pii.find(m, "x 4465758382889437 y")[1] == []
+
+
+def test_addresses_with_parts_of_many_digits():
+    zeros = "0" * 6000
+    assert pii.base_spans(f"{zeros}1.2.3.{zeros}255 x") == [("ip", 0, 6001 + 5 + 6003)]
+    assert pii.base_spans(f"1.2.3.{'9' * 6000} x") == []
