@@ -124,8 +124,32 @@ def _matches(index: Index, h: np.ndarray, doc: np.ndarray) -> list[tuple[int, in
                 share = float(np.isin(index.sets[t], h[starts[w]:stop[w]]).mean())
                 if share >= CONTAINED:
                     found.append((int(of[w]), t, share, int(starts[w]), int(stop[w])))
-    return [(d, t, share) for d, t, share, a, b in found if not any(
-        d == e and more > share and index.rivals[t, u] and a < y and x < b for e, u, more, x, y in found)]
+    return _unrivalled(index, found)
+
+
+def _unrivalled(index: Index, found: list[tuple[int, int, float, int, int]]) -> list[tuple[int, int, float]]:
+    """The windows (document, template, containment, start, stop) that no better rival's window overlaps.
+
+    Windows lie in one order of starts over all documents and their length is
+    bounded, so each looks at its neighbours in that order only.
+    """
+    found = sorted(found, key=lambda f: f[3])
+    reach = max((b - a for _, _, _, a, b in found), default=0)
+    kept, low = [], 0
+    for d, t, share, a, b in found:
+        while found[low][3] <= a - reach:
+            low += 1
+        beaten = False
+        for i in range(low, len(found)):
+            e, u, more, x, y = found[i]
+            if x >= b:
+                break
+            if d == e and more > share and index.rivals[t, u] and a < y:
+                beaten = True
+                break
+        if not beaten:
+            kept.append((d, t, share))
+    return kept
 
 
 MATCH = StructType().add("license", "string").add("containment", "double")
