@@ -19,9 +19,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Credentials with a fixed prefix, private-key blocks, and strings of 16 or more with at least one digit.
+# The open-ended forms start where a run does (or behind a key of fixed length), and their runs are possessive:
+# a long word of one run is read once, not once from every character.
 CANDIDATE = (
     r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}"
-    r"|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}|(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
+    r"|(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{5,}"
+    r"|(?:(?<![A-Za-z0-9+/_-])|(?<=AKIA[0-9A-Z]{16})|(?<=gh[pousr]_[A-Za-z0-9]{36}))(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
 )
 KNOWN = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-.*|sk_live_.*|eyJ[^.]*\.[^.]*\..*)$"
 # Fixed lists: words that name a credential, words that name a digest or identifier, and words of placeholders.
@@ -47,11 +50,13 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     rows = docs.select(F.col(key).alias("key"), F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), r"\s+").alias("words"))
     # Short words cannot hold a candidate: the cheap test goes first.
     at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (F.length(F.get("words", i)) >= 16) & F.get("words", i).rlike(CANDIDATE))
-    spots = rows.select("key", F.transform(at, lambda i: F.struct(
-        F.get("words", i).alias("word"),
-        F.concat_ws(" ", F.get("words", i - 3), F.get("words", i - 2), F.get("words", i - 1)).alias("before"),
-        F.coalesce(F.get("words", i + 1), F.lit("")).alias("after"))).alias("spots"))
-    each = spots.select("key", F.explode(F.array_distinct("spots")).alias("s")).select("key", "s.*")
+    # Words hold no line break, so the three parts travel as one string: equal ones are found by hash, in linear time.
+    spots = rows.select("key", F.transform(at, lambda i: F.concat_ws(
+        "\n", F.get("words", i), F.concat_ws(" ", F.get("words", i - 3), F.get("words", i - 2), F.get("words", i - 1)),
+        F.coalesce(F.get("words", i + 1), F.lit("")))).alias("spots"))
+    part = lambda n: F.get(F.split("spot", "\n"), F.lit(n))
+    each = spots.select("key", F.explode(F.array_distinct("spots")).alias("spot")).select(
+        "key", part(0).alias("word"), part(1).alias("before"), part(2).alias("after"))
     return each.select("key", "word", "before", "after", F.explode(F.array_distinct(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0)))).alias("candidate"))
 
 

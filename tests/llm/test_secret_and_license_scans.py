@@ -116,3 +116,42 @@ def test_collision_probability_of_every_template():
     for s, block in zip(index.sets, index.block):
         least = licenses.CONTAINED * len(s) / (2 * block + len(s) * (1 - licenses.CONTAINED))
         assert (1 - least) ** licenses.BANDS < 1e-4
+
+
+def test_candidates_of_long_words_in_linear_time(docs):
+    jwt = "eyJ" + "hbGciOiJIUz" + "." + "eyJzdWIiOiIxMjM" + "." + "SflKx"
+    rows = [(1, "a" * 1_000_000), (2, "eyJ" * 200_000), (3, "a" * 300_000 + "1" + "=="), (4, f"jwt:{jwt}"), (5, " ".join(f"key=%016x9" % (i % 30_000) for i in range(60_000)))]
+    got = {}
+    for r in secret_scan.candidates(docs(rows)).groupBy("key").agg(F.count("*").alias("n"), F.max("candidate").alias("c")).collect():
+        got[r.key] = r.n, r.c
+    assert got.keys() == {3, 4, 5}
+    assert got[3] == (1, "a" * 300_000 + "1==") and got[4] == (1, jwt) and 30_000 <= got[5][0] < 30_010
+
+
+def test_candidates_follow_on_from_one_another(docs):
+    key = "AKIA" + "ABCDEFGHIJKLMNOP"
+    rows = [(1, f"{key}/abcdefgh12345678x"), (2, f"x-{key}"), (3, f"{key} {key}")]
+    got = {}
+    for r in secret_scan.candidates(docs(rows)).collect():
+        got.setdefault(r.key, set()).add(r.candidate)
+    assert got == {1: {key, "/abcdefgh12345678x"}, 2: {key}, 3: {key}}
+
+
+def test_rival_windows_against_all_pairs():
+    rng = random.Random(9)
+    index = licenses.build(licenses.TEMPLATES)
+    n = len(index.sets)
+    for _ in range(200):
+        found = []
+        for _ in range(rng.randint(0, 30)):
+            a = rng.randint(0, 120)
+            found.append((a // 60, rng.randrange(n), rng.choice([0.8, 0.9, 1.0]), a, a + rng.choice([4, 8, 16, 32])))
+        want = [(d, t, s) for d, t, s, a, b in found if not any(
+            d == e and more > s and index.rivals[t, u] and a < y and x < b for e, u, more, x, y in found)]
+        assert sorted(licenses._unrivalled(index, found)) == sorted(want)
+
+
+def test_a_long_text_of_license_lines_only(docs):
+    text = "Released under the MIT License by us all " * 40_000
+    row = licenses.scan(docs([(1, text)])).collect()[0]
+    assert row.licenses == "mit" and row.best_containment == 1.0
