@@ -49,7 +49,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = secret_scan.fit(secret_scan.made_findings(spark))
     rows = docs.select(common.carried(docs).alias("row"), common.identity().alias("id"), F.col("text").alias("text"))
     found = secret_scan.scan(rows, model, key="id").where("n_secrets > 0").select("id", "secrets")
-    clean = F.aggregate("secrets", F.col("row.text"), lambda t, s: F.replace(t, s, F.lit(REDACTED)))
+    # Longest first: a secret that is part of another must not leave the rest of it standing.
+    longest = F.transform(F.sort_array(F.transform("secrets", lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))), asc=False), lambda x: x["s"])
+    clean = F.aggregate(longest, F.col("row.text"), lambda t, s: F.replace(t, s, F.lit(REDACTED)))
     joined = rows.select("row", "id").join(found, "id", "left")
     fresh = {"text": clean}
     if "n_chars" in docs.columns:

@@ -66,6 +66,12 @@ def test_null_keys_of_different_texts_all_stay(sc, docs):
     assert sorted(r.text[0] for r in corpus_pipeline.near_dedup(sc, frame, "").collect()) == ["a", "h"]
 
 
+def test_a_secret_inside_another_leaves_no_rest(sc, docs):
+    text = f'token = "{HEX[:32]}" and secret = "{HEX}" then'
+    (row,) = corpus_pipeline.secrets(sc, docs([(1, text, "aa", "s0")]), "").collect()
+    assert row.text == 'token = "[secret]" and secret = "[secret]" then' and row.n_chars == len(row.text)
+
+
 def test_run_writes_between_stages_and_returns_the_last(sc, tmp_path, docs):
     docs(table()).drop("key", "fp").write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(sc, str(tmp_path))
