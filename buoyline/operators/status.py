@@ -19,51 +19,67 @@ from buoyline.operators.state import is_active
 DIAGNOSTICS_MEASUREMENT = "diagnostics"
 
 
-def classify_kind(decoded: DataFrame, kind: str, spec=STATUS_SPEC) -> DataFrame:
-    """Messages on ``…/<kind>`` topics -> typed rows with ``status`` ok/rejected and a reason."""
+def classify(decoded: DataFrame, specs: dict[str, tuple]) -> DataFrame:
+    """Messages on ``…/<kind>`` topics of all given kinds -> typed rows with ``status`` ok/rejected and a reason.
+
+    Every payload is parsed once and its members are extracted once, for all
+    kinds together. The fields are the union of the specs (a name has one type
+    in all of them); a field that a row's kind lacks is NULL.
+    """
     j = F.col("json")
-    required = [k for k, _t, r in spec if r]
-    step1 = decoded.where(F.col("topic").endswith("/" + kind)).select(
-        "arrival_seq", "arrival_ts", "topic", "text", j.isNotNull().alias("_json_ok"),
-        J.members(j, [k for k, _t, _r in spec]).alias("_m"),
+    types = {k: t for spec in specs.values() for k, t, _r in spec}
+    named = F.lit(None).cast("string")
+    for kind in specs:
+        named = F.when(F.col("topic").endswith("/" + kind), F.lit(kind)).otherwise(named)
+    step1 = decoded.select("*", named.alias("kind")).where(F.col("kind").isNotNull()).select(
+        "arrival_seq", "arrival_ts", "topic", "kind", "text", j.isNotNull().alias("_json_ok"),
+        J.members(j, list(types)).alias("_m"),
     )
 
     def m(k: str):
         return F.col("_m")[k]
 
-    missing = F.concat_ws(", ", *[F.when(~J.v_truthy(m(k)), F.lit(k)) for k in required])
+    def having(k: str, needed: bool = False):
+        """Rows of the kinds whose spec has the field (as a required one)."""
+        return F.col("kind").isin(*[kind for kind, spec in specs.items() if any(x == k and (r or not needed) for x, _t, r in spec)])
+
+    required = [k for k in types if any(x == k and r for spec in specs.values() for x, _t, r in spec)]
+    missing = F.concat_ws(", ", *[F.when(having(k, True) & ~J.v_truthy(m(k)), F.lit(k)) for k in required])
     x = evaluate_once(
         step1,
         F.col("arrival_seq"),
         F.col("arrival_ts"),
         F.col("topic"),
+        F.col("kind"),
         F.col("text").alias("payload"),
         F.col("_json_ok"),
         F.col("_m").isNotNull().alias("_object"),
         missing.alias("_missing"),
-        *[(J.v_text(m(k)) if t == "str" else J.v_cast(m(k), t)).alias(k) for k, t, _r in spec],
+        *[F.when(having(k), J.v_text(m(k)) if t == "str" else J.v_cast(m(k), t)).alias(k) for k, t in types.items()],
     )
     reason = (
         F.when(~F.col("_json_ok"), F.lit("invalid_json"))
         .when(~F.col("_object"), F.lit("not_an_object"))
         .when(F.col("_missing") != "", F.lit("missing_fields"))
     )
-    has_state = "state" in [k for k, _t, _r in spec]
-    if has_state:
-        reason = reason.when(~F.col("state").isin(*STATUS_STATES), F.lit("invalid_state"))
-    reason = reason.when(parse_iso(F.col("timestamp")).isNull(), F.lit("invalid_timestamp"))
     detail = F.when(reason == "missing_fields", F.col("_missing"))
-    if has_state:
+    if "state" in types:
+        reason = reason.when(~F.col("state").isin(*STATUS_STATES), F.lit("invalid_state"))
         detail = detail.when(reason == "invalid_state", F.col("state"))
-    cols = [k for k, _t, _r in spec]
+    reason = reason.when(parse_iso(F.col("timestamp")).isNull(), F.lit("invalid_timestamp"))
     return x.select(
-        "arrival_seq", "arrival_ts", "topic", "payload", *cols,
+        "arrival_seq", "arrival_ts", "topic", "kind", "payload", *types,
         parse_iso(F.col("timestamp")).alias("event_time"),
         F.when(reason.isNull(), F.lit("ok")).otherwise(F.lit("rejected")).alias("status"),
         reason.alias("reason"), detail.alias("detail"),
     )
 
 
+def classify_kind(decoded: DataFrame, kind: str, spec=STATUS_SPEC) -> DataFrame:
+    """The typed rows of one kind (see ``classify``)."""
+    return classify(decoded, {kind: spec}).drop("kind")
+
+
 def latest_status(status_rows: DataFrame, now: str | None = None, timeout_s: float | None = None) -> DataFrame:
     """Latest valid status per device (last arrival wins), with an effective state.
 

@@ -752,12 +752,12 @@ WHERE j IS NULL OR json_type(j) <> 'OBJECT' OR NOT {O.truthy('device_id')} OR NO
 )
 def q_status_rejects(spark, sf_dir):
     """Rejected status and diagnostics messages with reasons (extension X1, X2)."""
-    rows = _status_rows(spark, sf_dir, "status").unionByName(
-        _status_rows(spark, sf_dir, "diagnostics"), allowMissingColumns=True
-    )
-    return rows.where(F.col("status") == "rejected").select(
-        "arrival_seq", TP.topic_kind("topic").alias("kind"), "reason"
-    )
+    from buoyline.operators import status as ST
+    from buoyline.operators.decode import decode
+    from buoyline.schemas import DIAGNOSTICS_SPEC, STATUS_SPEC
+
+    rows = ST.classify(decode(TB.status_messages(spark, sf_dir)), {"status": STATUS_SPEC, "diagnostics": DIAGNOSTICS_SPEC})
+    return rows.where(F.col("status") == "rejected").select("arrival_seq", "kind", "reason")
 
 
 @register(

@@ -123,26 +123,33 @@ def _fs_list_snapshots(spark: SparkSession, root: str) -> list[int]:
     return sorted(out)
 
 
-def _latest_inputs(spark: SparkSession, out_dir: str, upto: int | None = None) -> tuple[DataFrame, int | None]:
+def _candidates(spark: SparkSession, out_dir: str, name: str, upto: int | None = None) -> DataFrame:
+    """The newest committed snapshot of a state table plus the candidates of later batches.
+
+    With ``upto``, what snapshot ``v=<upto>`` is made of: versions below it and batches up to it.
+    """
     out = out_dir.rstrip("/")
-    upd = spark.read.parquet(f"{out}/latest_updates")
-    versions = [v for v in _fs_list_snapshots(spark, f"{out}/latest_snapshot") if upto is None or v < upto]
-    if versions:
-        v = versions[-1]
-        snap = spark.read.parquet(f"{out}/latest_snapshot/v={v}")
-        upd = upd.where(F.col("batch_id") > v)
-        if upto is not None:
-            upd = upd.where(F.col("batch_id") <= upto)
-        return snap.unionByName(upd.drop("batch_id")), v
+    updates = spark.read.parquet(f"{out}/{name}_updates")
+    versions = [v for v in _fs_list_snapshots(spark, f"{out}/{name}_snapshot") if upto is None or v < upto]
     if upto is not None:
-        upd = upd.where(F.col("batch_id") <= upto)
-    return upd.drop("batch_id"), None
+        updates = updates.where(F.col("batch_id") <= upto)
+    if not versions:
+        return updates.drop("batch_id")
+    snapshot = spark.read.parquet(f"{out}/{name}_snapshot/v={versions[-1]}")
+    return snapshot.unionByName(updates.where(F.col("batch_id") > versions[-1]).drop("batch_id"))
+
+
+def _compact(spark: SparkSession, out_dir: str, name: str, upto_batch: int, fold) -> str:
+    root = f"{out_dir.rstrip('/')}/{name}_snapshot"
+    path = f"{root}/v={int(upto_batch)}"
+    if int(upto_batch) not in _fs_list_snapshots(spark, root):
+        fold(_candidates(spark, out_dir, name, upto=int(upto_batch))).write.mode("overwrite").parquet(path)
+    return path
 
 
 def read_latest(spark: SparkSession, out_dir: str) -> DataFrame:
     """Latest state per device: the newest committed snapshot plus later per-batch candidates."""
-    rows, _ = _latest_inputs(spark, out_dir)
-    return state.newest(rows)
+    return state.newest(_candidates(spark, out_dir, "latest"))
 
 
 def compact_latest(spark: SparkSession, out_dir: str, upto_batch: int) -> str:
@@ -155,13 +162,7 @@ def compact_latest(spark: SparkSession, out_dir: str, upto_batch: int) -> str:
     ``batch_id`` folders below the snapshot are no longer read and can be
     expired by the storage's retention.
     """
-    root = f"{out_dir.rstrip('/')}/latest_snapshot"
-    path = f"{root}/v={int(upto_batch)}"
-    if int(upto_batch) in _fs_list_snapshots(spark, root):
-        return path
-    rows, _ = _latest_inputs(spark, out_dir, upto=upto_batch)
-    state.newest(rows).write.mode("overwrite").parquet(path)
-    return path
+    return _compact(spark, out_dir, "latest", upto_batch, state.newest)
 
 
 def read_rejects(spark: SparkSession, out_dir: str) -> DataFrame:
@@ -231,7 +232,14 @@ def start_hub(raw: DataFrame, out_dir: str, checkpoint: str, ingest_time: str |
 
 
 def read_sensors(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Sensor state from the per-batch candidates."""
+    """Sensor state: the newest committed snapshot merged with later per-batch candidates."""
+    from buoyline.operators.legacy import merge_sensors
+
+    return merge_sensors(_candidates(spark, out_dir, "sensor"))
+
+
+def compact_sensors(spark: SparkSession, out_dir: str, upto_batch: int) -> str:
+    """Fold the sensor candidates of batches ``<= upto_batch`` into a snapshot, as ``compact_latest`` does."""
     from buoyline.operators.legacy import merge_sensors
 
-    return merge_sensors(spark.read.parquet(f"{out_dir.rstrip('/')}/sensor_updates").drop("batch_id"))
+    return _compact(spark, out_dir, "sensor", upto_batch, merge_sensors)

@@ -210,3 +210,35 @@ def test_compaction_keeps_devices_that_later_batches_do_not_cover(spark, tmp_pat
             jobs.compact_latest(spark, out, bid)
             jobs.compact_latest(spark, out, bid)
     assert {(r["device_id"], r["arrival_seq"]) for r in jobs.read_latest(spark, out).collect()} == {("A", 0), ("B", 10), ("C", 20)}
+
+
+def test_sensor_compaction_keeps_sensors_that_later_batches_do_not_cover(spark, tmp_path, raw_df):
+    from buoyline.streaming import jobs
+
+    def msg(seq, sensor, kind, body):
+        return (seq, f"ws/h/{sensor}/{kind}", body)
+
+    out = str(tmp_path / "o")
+    batches = [
+        [msg(0, "A", "measurement", '{"ts":1,"t":1.0}'), msg(1, "B", "diag", '{"ts":1,"V":3.0}')],
+        [msg(10, "B", "measurement", '{"ts":2,"t":2.0}')],
+        [msg(20, "C", "measurement", '{"ts":3,"t":3.0}'), msg(21, "B", "measurement", '{"ts":4,"t":4.0}')],
+    ]
+    plain = str(tmp_path / "plain")
+    for bid, rows in enumerate(batches):
+        jobs.hub_batch(raw_df(rows), bid, out)
+        jobs.hub_batch(raw_df(rows), bid, plain)
+        if bid < 2:
+            jobs.compact_sensors(spark, out, bid)
+            jobs.compact_sensors(spark, out, bid)
+    got = sorted(map(tuple, jobs.read_sensors(spark, out).collect()))
+    assert got == sorted(map(tuple, jobs.read_sensors(spark, plain).collect()))
+    rows = {r["sensor_id"]: r for r in jobs.read_sensors(spark, out).collect()}
+    assert rows.keys() == {"A", "B", "C"} and rows["B"]["last_measurement"]["t"] == 4.0 and rows["B"]["last_diag"]["V"] == 3.0
+
+
+def test_status_rejects_scan_and_parse_once(spark):
+    from buoyline.plans import catalog
+
+    plan = catalog.QUERIES["status_rejects"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and plan.count("parseJson") + plan.count("parse_json") == 1, plan
