@@ -8,7 +8,9 @@ All features are DataFrame expressions and the forest is Spark's own, so the
 scan runs without Python on the executors.
 
 A text is split into words once; a candidate's neighbours are the words before
-and after its own, so the cost is linear in the text.
+and after its own. A candidate takes at most CONTEXT characters of its word and
+of its neighbours along on either side, so the cost is linear in the text even
+where one long word holds thousands of candidates.
 """
 
 from __future__ import annotations
@@ -37,6 +39,11 @@ DICTIONARY = (
 TREES = 20
 DEPTH = 6
 LABELLED = 3000  # made labelled findings
+CONTEXT = 256  # characters on either side of a candidate that its features look at
+START, CUT = "\u0001", "\u2026"  # pads a word's start while it is searched; marks a start that was cut off
+# Each candidate with CONTEXT characters before it (of a padded word) and up to as many after it.
+SPOT = rf"(?s)(?=(?:{CANDIDATE}))(?<=(.{{{CONTEXT}}}))({CANDIDATE})(?=(.{{0,{CONTEXT}}}))"
+BEYOND_BMP = r"[\x{10000}-\x{10FFFF}]"  # a look-behind counts such characters twice
 THRESHOLD = 0.5
 
 FEATURES = [
@@ -46,18 +53,31 @@ FEATURES = [
 
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, candidate, word, before, after) for every distinct candidate and surroundings in each whole text."""
+    """(key, candidate, word, before, after) for every distinct candidate and surroundings in each whole text.
+
+    `word` is the candidate's word from CONTEXT characters before it to CONTEXT
+    after it, `before` the end of the three words before, and `after` the start
+    of the next. A word whose start was cut off begins with CUT. Characters
+    beyond the basic plane stand as U+FFFD in `word`.
+    """
     rows = docs.select(F.col(key).alias("key"), F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), r"\s+").alias("words"))
     # Short words cannot hold a candidate: the cheap test goes first.
     at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (F.length(F.get("words", i)) >= 16) & F.get("words", i).rlike(CANDIDATE))
-    # Words hold no line break, so the three parts travel as one string: equal ones are found by hash, in linear time.
+    # Words hold no line break, so parts travel as one string: equal ones are found by hash, in linear time.
     spots = rows.select("key", F.transform(at, lambda i: F.concat_ws(
-        "\n", F.get("words", i), F.concat_ws(" ", F.get("words", i - 3), F.get("words", i - 2), F.get("words", i - 1)),
-        F.coalesce(F.get("words", i + 1), F.lit("")))).alias("spots"))
-    part = lambda n: F.get(F.split("spot", "\n"), F.lit(n))
+        "\n", F.get("words", i), F.right(F.concat_ws(" ", F.get("words", i - 3), F.get("words", i - 2), F.get("words", i - 1)), F.lit(CONTEXT)),
+        F.coalesce(F.left(F.get("words", i + 1), F.lit(CONTEXT)), F.lit("")))).alias("spots"))
+    part = lambda of, n: F.get(F.split(of, "\n"), F.lit(n))
     each = spots.select("key", F.explode(F.array_distinct("spots")).alias("spot")).select(
-        "key", part(0).alias("word"), part(1).alias("before"), part(2).alias("after"))
-    return each.select("key", "word", "before", "after", F.explode(F.array_distinct(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0)))).alias("candidate"))
+        "key", part("spot", 0).alias("word"), part("spot", 1).alias("before"), part("spot", 2).alias("after"))
+    padded = F.concat(F.lit(START * CONTEXT), F.regexp_replace("word", BEYOND_BMP, "\ufffd"))
+    lead, body, rest = (F.regexp_extract_all(padded, F.lit(SPOT), F.lit(group)) for group in (1, 2, 3))
+    lines = lambda x, y: F.concat_ws("\n", x, y)
+    found = each.select("key", "before", "after", F.explode(F.array_distinct(F.zip_with(F.zip_with(lead, body, lines), rest, lines))).alias("found"))
+    start = part("found", 0)
+    start = F.when(start.startswith(START), F.ltrim(start, F.lit(START))).otherwise(F.concat(F.lit(CUT), start))
+    return found.select(
+        "key", F.concat(start, part("found", 1), part("found", 2)).alias("word"), "before", "after", part("found", 1).alias("candidate"))
 
 
 def _share(pattern: str) -> Column:

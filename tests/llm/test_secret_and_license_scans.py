@@ -54,6 +54,24 @@ def test_candidates_and_neighbours_equal_a_plain_scan(docs):
     assert got == want
 
 
+def test_one_long_word_with_thousands_of_candidates(docs, model):
+    rng = random.Random(9)
+    keys = ["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(20_000)]
+    text = "{" + ",".join(f'"secret":"{k}"' for k in keys) + "}"  # over a megabyte, no white space
+    got = {r.key: r for r in secret_scan.candidates(docs([(1, text)])).groupBy("key").agg(
+        F.count("*").alias("n"), F.count_distinct("candidate").alias("distinct"), F.max(F.length("word")).alias("longest"),
+        F.count_if(~F.col("word").startswith(secret_scan.CUT)).alias("whole")).collect()}
+    assert (got[1].n, got[1].distinct) == (20_000, 20_000)
+    assert got[1].longest <= 2 * secret_scan.CONTEXT + 41 and got[1].whole == 5  # those within CONTEXT of the start
+    assert secret_scan.scan(docs([(1, text)]), model).first().n_candidates == 20_000
+
+
+def test_surroundings_beyond_the_basic_plane(docs):
+    text = "\U0001F511" * 100 + f'token="{HEX}"' + "\U0001F511" * 400
+    (got,) = secret_scan.candidates(docs([(1, text)])).collect()
+    assert got.candidate == HEX and got.word == "\ufffd" * 100 + f'token="{HEX}"' + "\ufffd" * (secret_scan.CONTEXT - 1)
+
+
 def test_native_plan(docs, model):
     plan = secret_scan.scan(docs([(1, f"token = {HEX}")]), model)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
