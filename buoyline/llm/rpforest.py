@@ -4,9 +4,9 @@ The trees are fitted on a bounded sample: every node projects on the difference
 of two sampled vectors of the node and splits at the median. Every row is then
 routed to a leaf of every tree. A query walks all trees through one priority
 queue, ordered by how far the query lies on the wrong side of the splits above
-a node, until the leaves it has opened hold its budget of rows. The rows of
-opened leaves are its candidates; they are reranked by the exact inner product
-in double precision.
+a node, until the leaves it has opened hold its budget of rows, which never
+falls below what makes k candidates certain. The rows of opened leaves are its
+candidates; they are reranked by the exact inner product in double precision.
 
 Leaves are joined to the queries that opened them in bounded blocks: a leaf with
 many rows (one vector may be very common) is dealt out by a hash of the row's
@@ -107,8 +107,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
            depth: int = DEPTH, share: float = SHARE, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, key, score): the k best candidates of every query row, best first, ties to the smaller key.
 
-    All rows are candidates but those of the query's own key; with k rows or
-    fewer found, all are returned. Unusable vectors (see `usable`), those of
+    All rows are candidates but those of the query's own key; with k or fewer
+    of them, all are returned. Unusable vectors (see `usable`), those of
     another length than the sample's most frequent one, and null keys take no
     part. Repeated rows of one key and vector count once. No usable row gives
     an empty result. Extra columns are left out.
@@ -132,7 +132,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
                 [b.column("vec_id"), pa.array([r.tobytes() for r in x], pa.binary()), b.column("asks"), pa.array(leaves.tolist(), pa.list_(pa.int32()))],
                 ["vec_id", "vector", "asks", "leaves"])
 
-    routed = rows.mapInArrow(route, "vec_id long, vector binary, asks boolean, leaves array<int>").checkpoint()
+    routed = rows.mapInArrow(route, "vec_id long, vector binary, asks boolean, leaves array<int>").dropDuplicates(["vec_id", "vector", "asks"]).checkpoint()
     member = routed.select("vec_id", "vector", F.posexplode("leaves").alias("tree", "leaf"))
     # trees * 2^depth counts, whatever the number of rows.
     counted = {(r[0], r[1]): r[2] for r in member.groupBy("tree", "leaf").count().collect()}
@@ -143,12 +143,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     asking = routed.where("asks")
     query_blocks = max(1, -(-asking.count() // BLOCK_QUERIES))
     splits = np.maximum(1, -(-sizes // BLOCK_ROWS))
+    # Opened leaves of trees * (k + 1) rows hold k + 1 rows of some tree, so k candidates; a smaller table is opened whole.
+    budget = max(share * total, trees * (k + 1))
 
     def open_leaves(batches):
         for b in batches:
             x = np.frombuffer(b"".join(b.column("vector").to_pylist()), np.float64).reshape(-1, dim)
             ids, vecs = b.column("vec_id").to_pylist(), b.column("vector").to_pylist()
-            spots = [forest.search(s, sizes, share * total) for s in forest.sides(x)]
+            spots = [forest.search(s, sizes, budget) for s in forest.sides(x)]
             flat = [(i, t, leaf, part) for i, s in enumerate(spots) for t, leaf in s for part in range(splits[t, leaf])]
             for a in range(0, len(flat), 4096):
                 i, t, leaf, part = zip(*flat[a:a + 4096])
@@ -156,7 +158,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
                     [pa.array([ids[n] for n in i], pa.int64()), pa.array([vecs[n] for n in i], pa.binary()), pa.array(t, pa.int32()), pa.array(leaf, pa.int32()), pa.array(part, pa.int32())],
                     ["query_id", "query", "tree", "leaf", "part"])
 
-    spots = asking.select("vec_id", "vector").distinct().mapInArrow(open_leaves, "query_id long, query binary, tree int, leaf int, part int")
+    spots = asking.select("vec_id", "vector").mapInArrow(open_leaves, "query_id long, query binary, tree int, leaf int, part int")
     spots = spots.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
     parts = F.array(*[F.lit(int(n)) for n in splits.ravel()])
     member = member.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.get(parts, F.col("tree") * F.lit(2**depth) + F.col("leaf"))).cast("int"))

@@ -47,6 +47,13 @@ def test_recall_and_exact_scores(sc):
         assert found == sorted(found)
 
 
+def test_few_rows_all_come_back(sc):
+    for n in (1, 5, 21, 45):
+        rows = vectors(n, 8, seed=n)
+        got, want = result(rpforest.search(table(sc, rows * 3), F.col("vec_id") % 20 == 0)), brute(rows)
+        assert {q: len(v) for q, v in got.items()} == {q: len(v) for q, v in want.items() if v}
+
+
 def test_few_rows_bad_vectors_and_repeats(sc):
     rows = vectors(15, 4) + [(20, None), (21, [0.0] * 4), (22, [1.0, None, 0.0, 0.0]), (23, [float("nan"), 1.0, 0.0, 0.0]), (24, [float("inf"), 1.0, 0.0, 0.0]), (None, [1.0] * 4), (25, []), (26, [1.0, 2.0])]
     got = result(rpforest.search(table(sc, rows + [rows[3]]), F.col("vec_id") % 20 == 0, share=9.0))
