@@ -4,7 +4,8 @@
 revisit that points to the response of an equal payload) and a metadata record;
 request and metadata name the capture in WARC-Concurrent-To. Files are plain
 WARC/1.1 in one gzip stream each, below a folder that all executors share, at
-most PAGES_PER_FILE pages long. `read_records` parses them by Content-Length.
+most PAGES_PER_FILE pages long. `read_records` parses them by Content-Length,
+one record at a time, whether a file is one gzip member or one per record.
 `assemble` joins a capture's records through their concurrent-to identifiers
 and emits one nested row per capture.
 """
@@ -12,18 +13,24 @@ and emits one nested row per capture.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
-import zlib
+import re
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 PAGES_PER_FILE = 1000
-FILES_PER_BATCH = 4  # whole files that one Arrow batch holds when archives are read
+FILES_PER_BATCH = 1  # whole files that one Arrow batch holds when archives are read
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
+KINDS = ("request", "response", "revisit", "metadata")
+_LENGTH = re.compile(rb"(?im)^content-length:[ \t]*([0-9]+)")
+_PAGE = re.compile(rb"(?m)^pageId:[ \t]*(-?[0-9]+)")
+
 RECORD = (
     "type string, record_id string, concurrent_to string, refers_to string, uri string, date string, "
     "page_id long, payload_bytes long, payload_digest string, valid boolean"
@@ -103,29 +110,45 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, key: str =
     return path
 
 
-def parse(data: bytes):
-    """Records of one archive as tuples in the order of RECORD."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
-        head = dict(x.split(": ", 1) for x in lines[1:])
-        block = data[end + 4:end + 4 + int(head["Content-Length"])]
-        at = end + 8 + len(block)
-        kind, size, digest, page, valid = head["WARC-Type"], None, None, None, True
-        if kind in ("response", "revisit"):
-            cut = block.index(b"\r\n\r\n") + 4
-            said = head["WARC-Payload-Digest"].removeprefix("sha1:")
-            if kind == "response":
-                size, digest = len(block) - cut, base64.b32encode(hashlib.sha1(block[cut:]).digest()).decode()
-                valid = digest == said
-            else:
-                size, digest = int(block[:cut].split(b"Content-Length: ")[1].split(b"\r\n")[0]), said
+def _headers(stream: BinaryIO) -> dict[str, str]:
+    """Header values by lower-case name, up to the blank line."""
+    head = {}
+    while (line := stream.readline().rstrip(b"\r\n")):
+        name, _, value = line.decode("utf-8", "replace").partition(":")
+        head[name.strip().lower()] = value.removeprefix(" ")
+    return head
+
+
+def parse(stream: BinaryIO):
+    """Records of one archive as tuples in the order of RECORD, with one record's block in memory at a time.
+
+    A response without a digest header is valid; a block without HTTP headers is
+    all payload. Sizes and pages that a record does not state are null. A file
+    that ends within a record is an error.
+    """
+    while line := stream.readline():
+        if not line.strip():
+            continue  # the blank lines between records
+        head = _headers(stream)
+        want = int(head["content-length"])
+        block = stream.read(want)
+        if len(block) < want:
+            raise ValueError("the archive ends within a record")
+        kind, size, digest, page, valid = head["warc-type"], None, None, None, True
+        said = head.get("warc-payload-digest")
+        if kind == "response":
+            cut = block.find(b"\r\n\r\n") + 4 if block.startswith(b"HTTP/") else 0
+            payload = memoryview(block)[cut:] if cut != 3 else b""
+            size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+            valid = said in (None, f"sha1:{digest}")
+        elif kind == "revisit":
+            stated = _LENGTH.search(block)
+            size, digest = int(stated[1]) if stated else None, said.removeprefix("sha1:") if said else None
         elif kind == "metadata":
-            text = block.split(b"pageId:")[1].strip()
-            page = int(text) if text else None
-        yield (kind, head["WARC-Record-ID"], head.get("WARC-Concurrent-To"), head.get("WARC-Refers-To"),
-               head.get("WARC-Target-URI"), head.get("WARC-Date"), page, size, digest, valid)
+            stated = _PAGE.search(block)
+            page = int(stated[1]) if stated else None
+        yield (kind, head.get("warc-record-id"), head.get("warc-concurrent-to"), head.get("warc-refers-to"),
+               head.get("warc-target-uri"), head.get("warc-date"), page, size, digest, valid)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -138,7 +161,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
-                rows = list(parse(zlib.decompress(memoryview(content.as_buffer()), 31)))
+                with gzip.GzipFile(fileobj=pa.BufferReader(content.as_buffer())) as stream:
+                    rows = list(parse(stream))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names)
 
     return files.mapInArrow(run, RECORD)
@@ -148,13 +172,13 @@ def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: capture_id, request, capture (response or revisit), metadata, refers_to.
 
     Records are brought together by WARC-Concurrent-To (the capture's own record
-    by its identifier). Equal captures, from repeated pages, come out as often
+    by its identifier); other kinds of record are left out. Equal captures, from repeated pages, come out as often
     as they went in. refers_to is the page of the response that a revisit names.
     """
     own = F.col("type").isin("response", "revisit")
     body = F.struct("type", "record_id", "refers_to", "uri", "date", "payload_bytes", "payload_digest", "valid")
     extra = F.struct("record_id", "uri", "page_id")
-    grouped = records.groupBy(F.coalesce("concurrent_to", "record_id").alias("capture_id")).agg(
+    grouped = records.where(F.col("type").isin(*KINDS)).groupBy(F.coalesce("concurrent_to", "record_id").alias("capture_id")).agg(
         F.max(F.when(F.col("type") == "request", F.struct("record_id", "uri"))).alias("request"),
         F.max(F.when(own, body)).alias("capture"),
         F.max(F.when(F.col("type") == "metadata", extra)).alias("metadata"),

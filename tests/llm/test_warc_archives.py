@@ -1,7 +1,9 @@
 """WARC writing, reading back and transaction assembly."""
 
 import base64
+import gzip
 import hashlib
+import io
 import zlib
 
 import pytest
@@ -75,3 +77,29 @@ def test_every_other_payload_stays_apart(sc):
 def test_empty_table(sc):
     path = warc.write_archive(make(sc, []), scratch_path(sc, "warc"))
     assert warc.assemble(warc.read_records(sc, path)).collect() == []
+
+
+def foreign(kind, block, **headers):
+    head = f"WARC/1.0\r\nwarc-type:{kind}\r\n" + "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in headers.items())
+    return gzip.compress(f"{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n")
+
+
+def test_archives_of_other_writers(sc, tmp_path):
+    """One gzip member per record, other spellings of headers, records without digest or page."""
+    http = b"HTTP/1.1 200 OK\r\nX: 1\r\n\r\n"
+    data = b"".join([
+        foreign("warcinfo", b"software: x\r\n", WARC_Record_ID="<i>"),
+        foreign("response", http + b"body\r\n\r\nmore", WARC_Record_ID="<a>", WARC_Target_URI="http://a"),
+        foreign("request", b"GET / HTTP/1.1\r\n\r\n", WARC_Record_ID="<q>", WARC_Concurrent_To="<a>"),
+        foreign("metadata", b"fetchTimeMs: 3\r\n", WARC_Record_ID="<m>", WARC_Concurrent_To="<a>"),
+        foreign("revisit", http, WARC_Record_ID="<r>", WARC_Refers_To="<a>"),
+        foreign("response", b"no headers here", WARC_Record_ID="<p>", WARC_Payload_Digest="sha1:WRONG")])
+    (tmp_path / "x.warc.gz").write_bytes(data)
+    got = {r.capture_id: r for r in warc.assemble(warc.read_records(sc, str(tmp_path))).collect()}
+    assert got.keys() == {"<a>", "<r>", "<p>"}
+    a, r, p = got["<a>"], got["<r>"], got["<p>"]
+    assert (a.capture.payload_bytes, a.capture.valid, a.request.record_id, a.metadata.record_id, a.metadata.page_id) == (12, True, "<q>", "<m>", None)
+    assert (r.capture.type, r.capture.payload_bytes, r.capture.payload_digest, r.request) == ("revisit", None, None, None)
+    assert (p.capture.payload_bytes, p.capture.valid) == (15, False)
+    with pytest.raises(ValueError):
+        list(warc.parse(io.BytesIO(gzip.decompress(data)[:-20])))
