@@ -37,21 +37,15 @@ RECORD = (
 )
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Bare upper-case base32 of a binary column's SHA-1: 5 hex digits are 4 base32 digits."""
-    digest = F.sha1(payload)
-    quads = [F.conv(F.substring(digest, 1 + 5 * i, 5), 16, 10).cast("int") for i in range(8)]
-    letters = [
-        F.substring(F.lit(BASE32), F.shiftright(q, shift).bitwiseAND(31) + 1, F.lit(1))
-        for q in quads for shift in (15, 10, 5, 0)
-    ]
-    return F.concat(*letters)
+def base32(hexes: Column) -> Column:
+    """Upper-case base32 of 40 hex digits, of which 15 (60 bits) are 12 base32 digits."""
+    parts = [F.lpad(F.conv(F.substring(hexes, at, n), 16, 32), n * 4 // 5, "0") for at, n in ((1, 15), (16, 15), (31, 10))]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
 def _urn(*parts: Column) -> Column:
     h = F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("-")) for p in parts]))
-    cut = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
+    return F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "<urn:uuid:$1-$2-$3-$4-$5>")
 
 
 def _record(kind: str, headers: list[tuple[str, Column]], block: Column) -> Column:
@@ -72,7 +66,8 @@ def classify(pages: DataFrame, least_bytes: int = 0, key: str = "page_id", url:
     payload = F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(
         F.col(key).cast("long").alias("page_id"), F.regexp_replace(F.col(url).cast("string"), r"[\r\n]", " ").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("bytes", F.octet_length("payload").cast("long"))
+    # The hash is a column of its own: it is used three times and must not be taken as often.
+    rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("digest", base32(F.col("sha1"))).drop("sha1").withColumn("bytes", F.octet_length("payload").cast("long"))
     firsts = rows.groupBy("digest", "bytes").agg(F.min("page_id").alias("least")).where(F.col("bytes") >= least_bytes)
     revisits = F.col("least").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("least"))
     return rows.join(firsts, ["digest", "bytes"], "left").select(
@@ -88,8 +83,9 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, key: str =
     rows = classify(pages, least_bytes, key, url, html)
     revisit = F.col("first").isNotNull()
     # A response's identifier follows from its key and payload alone, so a revisit can name it.
-    original = _urn(F.lit("capture"), F.coalesce("first", "page_id"), F.col("digest"))
-    capture = F.when(revisit, _urn(F.lit("revisit"), F.col("page_id"), F.col("digest"), F.col("url"))).otherwise(original)
+    rows = rows.withColumn("original", _urn(F.lit("capture"), F.coalesce("first", "page_id"), F.col("digest")))
+    rows = rows.withColumn("capture", F.when(revisit, _urn(F.lit("revisit"), F.col("page_id"), F.col("digest"), F.col("url"))).otherwise(F.col("original")))
+    original, capture = F.col("original"), F.col("capture")
     base = [("WARC-Target-URI", F.col("url")), ("WARC-Date", F.lit(DATE))]
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
                     F.col("bytes").cast("string"), F.lit("\r\n\r\n")).cast("binary")
