@@ -27,6 +27,7 @@ DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
+HOT = 1000  # keys of over 1/HOT of all rows are looked up from a broadcast; there are fewer than HOT of them
 KINDS = ("request", "response", "revisit", "metadata")
 _LENGTH = re.compile(rb"(?im)^content-length:[ \t]*([0-9]+)")
 _PAGE = re.compile(rb"(?m)^pageId:[ \t]*(-?[0-9]+)")
@@ -56,6 +57,24 @@ def _record(kind: str, headers: list[tuple[str, Column]], block: Column) -> Colu
     return F.concat(head.cast("binary"), block, F.lit("\r\n\r").cast("binary"))
 
 
+def lookup(rows: DataFrame, key: str, spread: Column, table: DataFrame, value: str, counts: DataFrame, total: Column) -> DataFrame:
+    """`rows` with `value` of the row of `table` (one per key) that has their `key`; null where there is none.
+
+    A key, or the null key, may hold any share of the rows. `counts` gives each
+    key's rows `n`, and `total` is no less than their sum, so fewer than HOT keys
+    hold over 1/HOT of it: these are broadcast. In the shuffled join the rows
+    that need nothing more from it are dealt by `spread` instead of their key.
+    """
+    hot = F.broadcast(counts.where(F.col("n") * HOT > total).select(key))
+    served = F.broadcast(table.join(hot, key).select(F.col(key).alias("_hot"), F.col(value).alias("_served")))
+    first = rows.join(served, F.col(key) == F.col("_hot"), "left")
+    done = F.col(key).isNull() | F.col("_hot").isNotNull()
+    dealt = first.withColumn("_dealt", F.when(done, F.xxhash64(spread).cast("string")).otherwise(F.col(key)))
+    other = table.select(F.col(key).alias("_other"), F.col(value).alias("_found"))
+    return dealt.join(other, F.col("_dealt") == F.col("_other"), "left").withColumn(
+        value, F.when(done, F.col("_served")).otherwise(F.col("_found"))).drop("_hot", "_served", "_dealt", "_other", "_found")
+
+
 def classify(pages: DataFrame, least_bytes: int = 0, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, payload, digest, bytes, first): `first` is set for pages that revisit another's payload.
 
@@ -68,10 +87,13 @@ def classify(pages: DataFrame, least_bytes: int = 0, key: str = "page_id", url:
         F.col(key).cast("long").alias("page_id"), F.regexp_replace(F.col(url).cast("string"), r"[\r\n]", " ").alias("url"), payload.alias("payload"))
     # The hash is a column of its own: it is used three times and must not be taken as often.
     rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("digest", base32(F.col("sha1"))).drop("sha1").withColumn("bytes", F.octet_length("payload").cast("long"))
-    firsts = rows.groupBy("digest", "bytes").agg(F.min("page_id").alias("least")).where(F.col("bytes") >= least_bytes)
+    rows = rows.withColumn("same", F.concat_ws(":", "digest", "bytes"))
+    groups = rows.groupBy("same", "bytes").agg(F.min("page_id").alias("least"), F.count("*").alias("n"))
+    firsts = groups.where((F.col("bytes") >= least_bytes) & F.col("least").isNotNull()).select("same", "least")
+    total = pages.agg(F.count("*")).scalar()
+    named = lookup(rows, "same", F.struct("page_id", "url"), firsts, "least", groups.select("same", "n"), total)
     revisits = F.col("least").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("least"))
-    return rows.join(firsts, ["digest", "bytes"], "left").select(
-        "page_id", "url", "payload", "digest", "bytes", F.when(revisits, F.col("least")).alias("first"))
+    return named.select("page_id", "url", "payload", "digest", "bytes", F.when(revisits, F.col("least")).alias("first"))
 
 
 def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, key: str = "page_id", url: str = "url", html: str = "html") -> str:
@@ -169,12 +191,15 @@ def assemble(records: DataFrame) -> DataFrame:
 
     Records are brought together by WARC-Concurrent-To (the capture's own record
     by its identifier); other kinds of record are left out. Equal captures, from repeated pages, come out as often
-    as they went in. refers_to is the page of the response that a revisit names.
+    as they went in. refers_to is the page of the response that a revisit names;
+    any number of revisits may name one. The records are written once to the
+    checkpoint folder, so that archives are read once.
     """
+    records = records.where(F.col("type").isin(*KINDS)).checkpoint()
     own = F.col("type").isin("response", "revisit")
     body = F.struct("type", "record_id", "refers_to", "uri", "date", "payload_bytes", "payload_digest", "valid")
     extra = F.struct("record_id", "uri", "page_id")
-    grouped = records.where(F.col("type").isin(*KINDS)).groupBy(F.coalesce("concurrent_to", "record_id").alias("capture_id")).agg(
+    grouped = records.groupBy(F.coalesce("concurrent_to", "record_id").alias("capture_id")).agg(
         F.max(F.when(F.col("type") == "request", F.struct("record_id", "uri"))).alias("request"),
         F.max(F.when(own, body)).alias("capture"),
         F.max(F.when(F.col("type") == "metadata", extra)).alias("metadata"),
@@ -183,4 +208,7 @@ def assemble(records: DataFrame) -> DataFrame:
     each = grouped.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))))).drop("copies", "copy")
     named = grouped.where("capture.type = 'response'").select(
         F.col("capture_id").alias("named"), F.col("metadata.page_id").alias("refers_to"))
-    return each.join(named, (F.col("capture.refers_to") == F.col("named")), "left").drop("named")
+    counts = records.where(F.col("refers_to").isNotNull()).groupBy(F.col("refers_to").alias("named")).agg(F.count("*").alias("n"))
+    total = records.agg(F.count("*")).scalar()
+    each = each.withColumn("named", F.col("capture.refers_to"))
+    return lookup(each, "named", F.col("capture_id"), named, "refers_to", counts, total).drop("named")

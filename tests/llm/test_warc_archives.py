@@ -74,6 +74,14 @@ def test_every_other_payload_stays_apart(sc):
     assert sorted([(r.metadata.page_id, r.capture.payload_bytes, r.capture.payload_digest, r.capture.type, r.refers_to) for r in got.collect()], key=str) == brute(rows, 0)
 
 
+def test_a_payload_that_a_third_of_the_pages_share(sc):
+    """Hot payloads and their revisits come from a broadcast, the others and the null key from a spread join."""
+    rows = [(i, f"http://h/{i}", "<p>hot</p>" if i % 3 == 0 else f"<p>{i // 4}</p>") for i in range(6000)]
+    path = warc.write_archive(make(sc, rows).repartition(3), scratch_path(sc, "warc"))
+    got = warc.assemble(warc.read_records(sc, path))
+    assert sorted([(r.metadata.page_id, r.capture.payload_bytes, r.capture.payload_digest, r.capture.type, r.refers_to) for r in got.collect()], key=str) == brute(rows, 0)
+
+
 def test_empty_table(sc):
     path = warc.write_archive(make(sc, []), scratch_path(sc, "warc"))
     assert warc.assemble(warc.read_records(sc, path)).collect() == []
