@@ -100,12 +100,17 @@ _SPELLED = r" {0,2}[A-Za-z0-9-]{1,63}(?:[(\[{ ]{1,2}dot[ )\]}]{1,2}[A-Za-z0-9-]{
 _RIGHT = re.compile(_SPELLED + r"| {0,2}[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,4}", re.I)
 _RIGHT_OF_WORD = re.compile(_SPELLED, re.I)  # a bare "at" is too common a word to go with a plain dot
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|.", re.S)
-SPAN = 160  # characters of an island at most; longer runs of digits are no personal data of these kinds
+_OCTETS = re.compile(r"(?<![0-9])[0-9]{1,3}(?:[\[(]?\.[\])]?[0-9]{1,3}){3}(?![0-9])")
+SPAN = 160  # characters of a candidate segment at most
+MAX_DIGITS = 19  # of a candidate segment without letters: no kind has more
 
 
 def islands(text: str) -> list[tuple[int, int]]:
-    """Character ranges that could hold personal data: number groups of 7 digits or more, and address-like text."""
-    out = [m.span() for m in _NUMBERS.finditer(text) if 7 <= m.end() - m.start() <= SPAN and len(_digits(m[0])) >= 7]
+    """Character ranges that could hold personal data: number groups of 7 digits or more or of four octets, and address-like text.
+
+    A run of many numbers is one island of any length: decoding is linear in its tokens.
+    """
+    out = [m.span() for m in _NUMBERS.finditer(text) if m.end() - m.start() >= 7 and (len(_digits(m[0])) >= 7 or _OCTETS.search(m[0]))]
     for m in _AT.finditer(text):
         right = (_RIGHT_OF_WORD if m[0][0] == " " else _RIGHT).match(text, m.end())
         left = _LEFT.search(text[max(0, m.start() - 140):m.start()]) if right else None
@@ -153,7 +158,9 @@ def features(text: str, a: int, b: int, island: tuple[int, int]) -> list[str]:
         f.append("octets" if all(len(o) <= 3 and int(o) <= 255 for o in octets) else "no-octets")
     if a == island[0] and b == island[1]:
         f.append("whole")
-    before = re.findall(r"[A-Za-z]+", text[max(0, a - CONTEXT):a].lower())[-2:]
+    # The words before a run of numbers go for each of them.
+    at = a if re.search(r"[A-Za-z]", text[max(island[0], a - CONTEXT):a]) else island[0]
+    before = re.findall(r"[A-Za-z]+", text[max(0, at - CONTEXT):at].lower())[-2:]
     f.append("cue-" + next((_CUE[w] for w in reversed(before) if w in _CUE), "unknown"))
     f.append("left-" + (_class(text[a - 1]) if a else "edge"))
     f.append("right-" + (_class(text[b]) if b < len(text) else "edge"))
@@ -167,14 +174,22 @@ def _class(c: str) -> str:
 def segments(text: str, island: tuple[int, int]) -> tuple[int, list[tuple[int, int, int, int]]]:
     """Number of tokens, and candidate segments (first token, last token + 1, start, end)."""
     tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, *island)]
+    spelled = re.compile(r"[A-Za-z@]").search(text, *island)  # address-like text, which is short
     out = []
     for i, (a, _) in enumerate(tokens):
         if not (text[a].isalnum() or text[a] in "+("):
             continue
         for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
             b = tokens[j - 1][1]
+            if b - a > SPAN and spelled is None:
+                break
+            if not text[b - 1].isalnum():
+                continue
             part = text[a:b]
-            if text[b - 1].isalnum() and (len(_digits(part)) >= 7 or "@" in part or re.search(r"(?i)[(\[{ ]at[)\]} ]", part)):
+            n = len(_digits(part))
+            if spelled is None and n > MAX_DIGITS:
+                break
+            if n >= 7 or _OCTETS.fullmatch(part) or spelled and ("@" in part or re.search(r"(?i)[(\[{ ]at[)\]} ]", part)):
                 out.append((i, j, a, b))
     return len(tokens), out
 
@@ -316,9 +331,28 @@ def made_examples(n: int = 500, seed: int = 3) -> list[tuple[str, tuple[int, int
     return out
 
 
+def made_lists(n: int = 120, seed: int = 4) -> list[tuple[str, tuple[int, int], list[tuple[str, int, int]]]]:
+    """Seeded labelled islands of several numbers: phones and defanged addresses behind one cue, and numbers that are none."""
+    rng = np.random.default_rng(seed)
+    num = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+    pick = lambda *x: x[int(rng.integers(len(x)))]
+    out = []
+    while len(out) < n:
+        kind, mark, gap = pick("phone", "phone", "ip", "none"), pick("-", "."), pick(" / ", " ", " - ", "/")
+        text, gold = pick(*_CUES[kind]) + pick(" ", ": "), []
+        for i in range(int(rng.integers(2, 7))):
+            part = "[.]".join(str(x) for x in rng.integers(1, 256, 4)) if kind == "ip" else mark.join((str(rng.integers(2, 10)) + num(2), num(3), num(4)))
+            text += gap if i else ""
+            gold += [(kind, len(text), len(text) + len(part))] if kind != "none" else []
+            text += part
+        if not base_spans(text):
+            out += [(text, island, [g for g in gold if island[0] <= g[1] and g[2] <= island[1]]) for island in islands(text)]
+    return out
+
+
 def fit(docs: DataFrame | None, text: str = "text", sample: int = SAMPLE_ISLANDS) -> Model:
     """Train on made examples and, of `docs`, on at most `sample` islands that the base rules label (hash-chosen rows)."""
-    examples = made_examples()
+    examples = made_examples() + made_lists()
     if docs is not None:
         rows = docs.select(F.col(text).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
 
@@ -326,7 +360,7 @@ def fit(docs: DataFrame | None, text: str = "text", sample: int = SAMPLE_ISLANDS
             for batch in batches:
                 seen = []
                 for t in batch.column("text").to_pylist():
-                    for a, b in islands(t)[:4]:  # a training sample: some islands of a row are enough
+                    for a, b in [i for i in islands(t) if i[1] - i[0] <= SPAN][:4]:  # a training sample: some short islands of a row are enough
                         seen.append(t[max(0, a - 40):b + 20])
                 yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string())], ["text"])
 
@@ -353,8 +387,11 @@ def find(model: Model | None, text: str) -> tuple[list[tuple[str, int, int]], li
         near = [t for t in _until(taken, at, island[1])]
         if any(a <= island[0] and island[1] <= b for a, b in near):
             continue  # a base span covers it: nothing to add
+        first = 0
         for kind, a, b, sure in decode(model, text, island):
-            if sure >= CONFIDENT and not any(a < y and x < b for x, y in near) and not (added and added[-1][2] > a):
+            while first < len(near) and near[first][1] + SPAN * 2 <= a:
+                first += 1
+            if sure >= CONFIDENT and not any(a < y and x < b for x, y in _until(near, first, b)) and not (added and added[-1][2] > a):
                 added.append((kind, a, b))
     return base, added
 

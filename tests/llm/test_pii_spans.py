@@ -105,3 +105,21 @@ def test_addresses_with_parts_of_many_digits():
     zeros = "0" * 6000
     assert pii.base_spans(f"{zeros}1.2.3.{zeros}255 x") == [("ip", 0, 6001 + 5 + 6003)]
     assert pii.base_spans(f"1.2.3.{'9' * 6000} x") == []
+
+
+def test_long_runs_of_numbers_are_searched_whole(model):
+    numbers = [f"663-555-01{i:02d}" for i in range(40)]
+    for gap in (" / ", " "):
+        text = "phones: call " + gap.join(numbers) + " end"
+        assert [(k, text[a:b]) for k, a, b in pii.find(model, text)[1]] == [("phone", n) for n in numbers]
+    assert pii.find(model, "order " + " / ".join(numbers))[1] == []
+
+
+def test_defanged_addresses_of_few_digits(model):
+    text = "ping host 10[.]0[.]0[.]1 and server 8[.]8[.]4[.]4 now"
+    assert [(k, text[a:b]) for k, a, b in pii.find(model, text)[1]] == [("ip", "10[.]0[.]0[.]1"), ("ip", "8[.]8[.]4[.]4")]
+
+
+def test_long_runs_cost_linear_time(model):
+    for text in ("1" * 300_000, "1 " * 3_000, "663-555-0100 / " * 500):
+        pii.find(model, text)
