@@ -11,8 +11,9 @@ types jointly. A decoded segment is added if its marginal probability is
 CONFIDENT or more and it touches no base span. Base spans always stay.
 
 The model is trained with numpy on the driver: on a fixed, seeded set of
-labelled examples, and on islands from a bounded sample of the documents, which
-the base rules label.
+labelled examples, and on islands from a bounded sample of the documents that
+the base rules cover or that have the shape of no personal data. Other spellings
+in the documents are never negative examples.
 """
 
 from __future__ import annotations
@@ -350,8 +351,27 @@ def made_lists(n: int = 120, seed: int = 4) -> list[tuple[str, tuple[int, int],
     return out
 
 
+# Numbers that are no personal data in any spelling: dates, book numbers, and plain digits of another length than a phone's.
+_OTHER = re.compile(
+    r"(?:19|20)[0-9]{2}([-/. ])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])(?: [0-9]{1,2})?"
+    r"|(?:0[1-9]|[12][0-9]|3[01])([-/. ])(?:0[1-9]|1[0-2])\2(?:19|20)[0-9]{2}(?: [0-9]{1,2})?"
+    r"|97[89][- ]?(?:[0-9][- ]?){9}[0-9]|[0-9]{8}|[0-9]{16,}")
+
+
+def tells(text: str, island: tuple[int, int], base: list[tuple[str, int, int]]) -> bool:
+    """Whether the base rules know an island's label: they cover it, or it is of a shape that no spelling has.
+
+    What they leave of another shape may be personal data that they cannot
+    express, so it is no negative example.
+    """
+    a, b = island
+    if any(x <= a and b <= y for _, x, y in base):
+        return True
+    return not any(x < b and a < y for _, x, y in base) and bool(_OTHER.fullmatch(text, a, b)) and not (b - a >= 12 and luhn(_digits(text[a:b])))
+
+
 def fit(docs: DataFrame | None, text: str = "text", sample: int = SAMPLE_ISLANDS) -> Model:
-    """Train on made examples and, of `docs`, on at most `sample` islands that the base rules label (hash-chosen rows)."""
+    """Train on made examples and, of `docs`, on at most `sample` islands whose label the base rules know (hash-chosen rows)."""
     examples = made_examples() + made_lists()
     if docs is not None:
         rows = docs.select(F.col(text).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
@@ -360,7 +380,8 @@ def fit(docs: DataFrame | None, text: str = "text", sample: int = SAMPLE_ISLANDS
             for batch in batches:
                 seen = []
                 for t in batch.column("text").to_pylist():
-                    for a, b in [i for i in islands(t) if i[1] - i[0] <= SPAN][:4]:  # a training sample: some short islands of a row are enough
+                    base = base_spans(t)
+                    for a, b in [i for i in islands(t) if i[1] - i[0] <= SPAN and tells(t, i, base)][:4]:  # a training sample: some short islands of a row are enough
                         seen.append(t[max(0, a - 40):b + 20])
                 yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string())], ["text"])
 
@@ -368,7 +389,7 @@ def fit(docs: DataFrame | None, text: str = "text", sample: int = SAMPLE_ISLANDS
         parts = few.mapInArrow(cut, "text string").distinct().orderBy(F.xxhash64("text"), "text").limit(sample).collect()
         for (part,) in parts:
             gold = base_spans(part)
-            examples += [(part, i, [g for g in gold if i[0] <= g[1] and g[2] <= i[1]]) for i in islands(part)]
+            examples += [(part, i, [g for g in gold if i[0] <= g[1] and g[2] <= i[1]]) for i in islands(part) if tells(part, i, gold)]
     return train(examples)
 
 

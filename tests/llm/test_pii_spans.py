@@ -123,3 +123,10 @@ def test_defanged_addresses_of_few_digits(model):
 def test_long_runs_cost_linear_time(model):
     for text in ("1" * 300_000, "1 " * 3_000, "663-555-0100 / " * 500):
         pii.find(model, text)
+
+
+def test_fit_on_a_table_full_of_other_spellings_still_adds_them(docs):
+    rows = [(i, f"please call 663-555-{i:04d} or write to ann{i} (at) example (dot) org, host 10[.]0[.]{i % 256}[.]1 on 2024-01-10") for i in range(1600)]
+    m = pii.fit(docs(rows))
+    for text, added in [("please call 663-555-0199 now", "phone:12:24"), ("ann (at) example (dot) org", "email:0:26"), ("ping host 10[.]0[.]0[.]1 now", "ip:10:24"), ("date 2024-01-10 12:00", "")]:
+        assert pii.spell(pii.find(m, text)[1]) == added
