@@ -95,6 +95,34 @@ def test_near_formats_and_placeholders_of_known_formats(docs, model):
     assert [(rows[i][1], s) for i, s in got.items()] == []
 
 
+BODY = "\n".join((MIXED * 2)[i:i + 50] + "/+Ab3" for i in range(20))
+
+
+def test_private_key_blocks_are_found_whole(docs, model):
+    blocks = [f"-----BEGIN {k}PRIVATE KEY-----\n{BODY}\n-----END {k}PRIVATE KEY-----" for k in ("", "RSA ", "OPENSSH ", "ENCRYPTED ")]
+    headed = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123\n\n{BODY}\n-----END RSA PRIVATE KEY-----"
+    escaped = blocks[1].replace("\n", "\\n")
+    rows = [(i, f"before {b} after") for i, b in enumerate([*blocks, headed, escaped])]
+    rows += [(20, f"cut -----BEGIN EC PRIVATE KEY-----\n{BODY}"), (21, "-----BEGIN PRIVATE KEY-----\n...\n-----END PRIVATE KEY-----"), (22, "-----BEGIN PRIVATE KEY----- " * 20_000), (23, "-----BEGIN PUBLIC KEY-----\nabc\n-----END PUBLIC KEY-----")]
+    got = {r.doc_id: r.secrets for r in secret_scan.scan(docs(rows), model).collect() if r.n_secrets}
+    assert got == {**{i: [b] for i, b in enumerate([*blocks, headed, escaped])}, 20: [rows[6][1][4:]]}
+
+
+def test_prefix_keys_inside_runs(docs, model):
+    assert [re.findall(secret_scan.CANDIDATE, t) for t in (f"//{KEYS[1]}@x", f"bucket/{KEYS[0]}/x", f"AWS-{KEYS[0]}", f"/{KEYS[5]}", f"a_{KEYS[4]}")] == [[KEYS[i]] for i in (1, 0, 0, 5, 4)]
+    rows = [(i, form.format(k)) for i, (k, form) in enumerate((k, f) for k in KEYS for f in ("clone https://{}@github.com now", "get bucket/{}/x it"))]
+    got = {r.doc_id: r.secrets for r in secret_scan.scan(docs(rows), model).collect()}
+    assert [t for i, t in rows if not any(k in KEYS for k in got.get(i) or [])] == []
+
+
+def test_values_behind_a_key_word_and_a_sign(docs, model):
+    good = ["tR9!mK2xQz", "p4Ss#w0rd9kL", "Zx8kQ2mW7rT"]
+    rows = [(i, form.format(v)) for i, (v, form) in enumerate((v, f) for v in good for f in ("the password: {} is new", "db_password={}", "{{'secret' : '{}'}}", "pwd = \"{}\""))]
+    rows += [(100 + i, f"{k} {v} here") for i, (k, v) in enumerate([("password:", "required"), ("token =", "get_token()"), ("secret:", "${TOKEN}"), ("author:", "tR9mK2xQz"), ("password", "tR9mK2xQz")])]
+    got = {r.doc_id: r.secrets for r in secret_scan.scan(docs(rows), model).collect() if r.n_secrets}
+    assert got == {i: [good[i // 4]] for i in range(12)}
+
+
 def words(t):
     return re.findall(r"[a-z0-9\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
