@@ -173,8 +173,8 @@ _LETTER[65:91] = _LETTER[97:123] = 1
 _LETTER[128:] = 0.5
 
 
-def predict(docs: DataFrame, net: Network | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, lang_pred, score) for every row.
+def predict(docs: DataFrame, net: Network | None, key: str = "doc_id", text: str = "text", sure: bool = False) -> DataFrame:
+    """(key, lang_pred, score) for every row, and with `sure` the mean of each window's highest probability, whatever its language.
 
     A null text, one without a letter, and every text if there is no network,
     are 'und' with score 0. The score is the predicted language's probability
@@ -182,12 +182,13 @@ def predict(docs: DataFrame, net: Network | None, key: str = "doc_id", text: str
     """
     rows = docs.select(common.column(key).alias("key"), F.col(text).cast("string").alias("text"))
     out = rows.select("key").schema.add("lang_pred", "string").add("score", "double")
+    out = out.add("sure", "double") if sure else out
 
     def run(batches):
         for batch in batches:
             n = batch.num_rows
             total = np.zeros((n, len(net.languages) if net else 1))
-            chance, weight = total.copy(), np.zeros(n)
+            chance, weight, top = total.copy(), np.zeros(n), np.zeros(n)
             if net:
                 buf, offs = textops.column_bytes(batch.column("text"))
                 for i, j in textops.blocks(offs):
@@ -197,12 +198,16 @@ def predict(docs: DataFrame, net: Network | None, key: str = "doc_id", text: str
                         letters = _LETTER[x[k:k + CHUNK]].sum(1)[:, None] + 1e-3
                         np.add.at(total, i + doc[k:k + CHUNK], logp * letters)
                         np.add.at(chance, i + doc[k:k + CHUNK], np.exp(logp) * letters)
+                        np.add.at(top, i + doc[k:k + CHUNK], np.exp(logp).max(1) * letters[:, 0])
                         np.add.at(weight, i + doc[k:k + CHUNK], letters[:, 0])
             best = total.argmax(1)
             known = pc.fill_null(pc.match_substring_regex(batch.column("text"), r"\p{L}"), False).to_numpy(zero_copy_only=False)
             known = known & (weight > 0)
             lang = [net.languages[b] if k else UNDETERMINED for b, k in zip(best, known)]
             score = np.where(known, chance[np.arange(n), best] / np.maximum(weight, 1e-9), 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1))], ["key", "lang_pred", "score"])
+            cols = [batch.column("key"), pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1))]
+            if sure:
+                cols.append(pa.array(np.clip(np.where(known, top / np.maximum(weight, 1e-9), 0.0), 0, 1)))
+            yield pa.RecordBatch.from_arrays(cols, out.fieldNames())
 
     return rows.mapInArrow(run, out).withColumnRenamed("key", common.name(key))

@@ -4,8 +4,10 @@ Each stage is ``f(spark, docs, sf_dir) -> DataFrame`` and works on all rows its
 predecessor kept; its result is written as Parquet and read again as the next
 one's ``docs``. All but the last return the columns of ``documents``.
 
-1. language_id: documents that the byte network cannot place (no letter, or a
-   mean probability below MIN_SCORE) go.
+1. language_id: documents that the byte network cannot place go: those without
+   a letter, and those whose windows are unsure themselves (a mean of each
+   window's highest probability below MIN_SCORE). A text in several languages
+   stays; if no network could be trained, every text with a letter does.
 2. near_dedup: of every group of documents linked by SimHash fingerprints, the
    one with the smallest doc_id stays (of repeated rows, one).
 3. secret_scan: strings that the forest confirms as secrets are replaced by
@@ -32,8 +34,11 @@ REDACTED = "[secret]"
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.prepare(spark)
-    placed = langid.predict(docs, langid.fit(docs), key=common.carried(docs))
-    return placed.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_SCORE)).select("key.*")
+    net = langid.fit(docs)
+    if net is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    placed = langid.predict(docs, net, key=common.carried(docs), sure=True)
+    return placed.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("sure") >= MIN_SCORE)).select("key.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,3 +86,16 @@ def test_nothing_else_imports_the_operators():
                 if n.endswith(".py"):
                     assert not re.search(r"\bllm\b", open(os.path.join(folder, n)).read()), n
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "secret_scan", "mixing", "bpe"] and F and sys
+
+
+def test_clean_texts_in_several_languages_stay(sc, docs):
+    rng = random.Random(4)
+    rows = table()
+    part = lambda lang: " ".join(rng.choice(WORDS[lang]) + rng.choice("abcdefgh") for _ in range(400))
+    rows.append((900, " ".join(part(lang) for lang in WORDS), None, "s0"))
+    assert len(WORDS) >= 3 and 900 in {r.doc_id for r in corpus_pipeline.language_id(sc, docs(rows), "").collect()}
+
+
+def test_documents_stay_without_a_label(sc, docs):
+    rows = [(i, text, None, "s0") for i, text in enumerate(["some words", "andere Worte", "123 ###", None])]
+    assert sorted(r.doc_id for r in corpus_pipeline.language_id(sc, docs(rows), "").collect()) == [0, 1]
