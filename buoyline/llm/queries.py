@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from buoyline.llm import bpe, common, langid, licenses, mixing, pii, rpforest, secret_scan, simhash, sketches, warc
+from buoyline.llm import bpe, common, langid, licenses, mixing, phrases, pii, ranking, rpforest, secret_scan, simhash, sketches, warc
 from buoyline.session import scratch_path
 
 
@@ -69,8 +69,17 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("capture.type").alias("record_type"), "refers_to")
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(common.read_table(spark, sf_dir, "documents"))
+
+
+def op13_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(common.read_table(spark, sf_dir, "documents"), common.read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_fingerprints, op3_neighbours, op4_language, op5_bpe, op6_simhash, op7_mixing, op8_secrets, op9_licenses, op10_warc)
+    f.__name__: f for f in (op1_pii, op2_fingerprints, op3_neighbours, op4_language, op5_bpe, op6_simhash, op7_mixing, op8_secrets, op9_licenses, op10_warc,
+                               op12_phrases, op13_ranking)
 }
 
 OP7_SQL = r"""
@@ -134,4 +143,68 @@ SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
 FROM quads
 """
 
-ORACLES = {"op7_mixing": OP7_SQL, "op10_warc": OP10_SQL}
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL
+), parts AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM parts GROUP BY lang
+), starts AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM parts
+), f AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a
+  FROM starts, (VALUES (1), (2), (3), (4), (5)) s(k) WHERE i + k - 1 <= len(w)
+  GROUP BY ALL HAVING count(*) >= 100
+), cuts AS (
+  SELECT lang, phrase, k, a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS pos FROM f WHERE k > 1
+), scored AS (
+  SELECT c.lang, c.phrase, c.k, c.a, c.pos, x.a AS l, y.a AS r, t.n,
+    CAST((CAST(1000 AS HUGEINT) * c.a * t.n) // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+  FROM cuts c JOIN totals t ON t.lang = c.lang
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.pos], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.pos + 1:c.k], ' ')
+), least AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, pos) = 1
+), kept AS (
+  SELECT * FROM least s WHERE NOT EXISTS (
+    SELECT 1 FROM f g WHERE g.lang = s.lang AND g.k > s.k AND 100 * g.a >= 100 * s.a AND contains(' ' || g.phrase || ' ', ' ' || s.phrase || ' '))
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+OP13_SQL = r"""
+WITH lists AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents WHERE text IS NOT NULL
+), d AS (
+  SELECT row_number() OVER () AS row, doc_id, t, CAST(len(t) AS BIGINT) AS n FROM lists WHERE len(t) > 0
+), stats AS (
+  SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS words FROM d
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE text IS NOT NULL
+), tf AS (
+  SELECT row, doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT row, doc_id, n, unnest(t) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), df AS (
+  SELECT term, count(*) AS df FROM tf GROUP BY term
+), part AS (
+  SELECT tf.row, tf.doc_id, tf.term,
+    CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT)
+      * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // words))) AS part
+  FROM tf JOIN df USING (term), stats
+), total AS (
+  SELECT item_id, row, doc_id, CAST(sum(part) AS BIGINT) AS score FROM q JOIN part USING (term) GROUP BY item_id, row, doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM total WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+ORACLES = {"op7_mixing": OP7_SQL, "op10_warc": OP10_SQL, "op12_phrases": OP12_SQL, "op13_ranking": OP13_SQL}
