@@ -4,7 +4,8 @@ A sample of stretches of all documents proposes phrases: those whose count in it
 reaches a lowered threshold. One full pass then counts these and their negative border,
 the phrases that were not proposed though all their contiguous parts were. If a
 border phrase turns out frequent, longer phrases built on it were never
-candidates; expansion passes count what it opens, until none opens any more.
+candidates. An expansion pass then counts what it opens, and all longer phrases
+on top of that as though the opened ones were frequent, so it leaves none open.
 Every count is exact, and no frequent phrase is missed whatever the sample held.
 
 What decides in the tasks whether a phrase was proposed is a bitmap of fixed
@@ -29,9 +30,9 @@ from buoyline.session import scratch_path
 LONGEST = 5  # words of a phrase
 LEAST = 100  # occurrences of a candidate
 TOP = 2000  # phrases of a language in the report
-SAMPLE = 1 / 4  # of the stretches of text, by a hash of the document's key and text and the stretch's place
+SAMPLE = 1 / 8  # of the stretches of text, by a hash of the document's key and text and the stretch's place
 STRETCH = 128  # bytes of a stretch, so that a text full of one phrase is sampled in proportion, too
-LOWERED = 0.3  # the sample's threshold, as a part of what a phrase of `least` occurrences leads one to expect there
+LOWERED = 0.5  # the sample's threshold, as a part of what a phrase of `least` occurrences leads one to expect there
 BITS = 24  # each bitmap has 2**BITS bits
 UNKNOWN = "und"
 SEPARATORS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -95,7 +96,9 @@ def _phrase_marks(lang_marks: np.ndarray, words: list[np.ndarray]) -> np.ndarray
 def _count_block(block, buf, langs, lang_marks, sizes, old, new, is_cut):
     """(size, lang, phrase, count) arrays of the phrases of a block that are candidates under `new` and not under `old`.
 
-    Of one word all words are; of k + 1 words those whose first k and last k were proposed (and so on down).
+    Of one word all words are; of k + 1 words those whose first k and last k
+    were proposed (and so on down). Where `old` is given, a candidate that it
+    did not have counts as proposed.
     """
     code, names = wordarrays.codes(block.words)
     if not len(code):
@@ -121,7 +124,10 @@ def _count_block(block, buf, langs, lang_marks, sizes, old, new, is_cut):
             return
         own = _phrase_marks(of_lang[at], [marks[at + i] for i in range(size)])
         in_new = new.has(size, own)
-        in_old = was & old.has(size, own) if old is not None else was
+        in_old = was
+        if old is not None:
+            in_new |= ~was
+            in_old = was & old.has(size, own)
         # The next size: this phrase and the one a word on are both proposed, in one piece.
         place = np.full(len(code), -1)
         place[at[in_new]] = np.flatnonzero(in_new)
@@ -146,7 +152,7 @@ def count(rows: DataFrame, sizes: set[int], new: Proposed | None, old: Proposed
 
     def run(batches):
         new, old = sent.value
-        for batch in batches:
+        for batch in wordarrays.gathered(batches, "text"):
             buf, offs = textops.column_bytes(batch.column("text"))
             coded = batch.column("lang").dictionary_encode()
             langs, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
@@ -218,11 +224,10 @@ def sampled(rows: DataFrame, share: float) -> DataFrame:
 
 
 def frequent(docs: DataFrame, least: int = LEAST, share: float = SAMPLE, bits: int = BITS, key: str = "doc_id", text: str = "text",
-             lang: str = "lang", passes: list | None = None) -> DataFrame:
+             lang: str = "lang") -> DataFrame:
     """(lang, phrase, size, n) of every phrase of 1 to LONGEST words with n >= least, and each language's words as size 0, phrase null.
 
     A null text has no word. Repeated rows count as often as they stand there.
-    `passes`, a list, gets the number of frequent phrases that each full pass found.
     """
     spark = docs.sparkSession
     rows = prepared(docs, key, text, lang)
@@ -231,20 +236,14 @@ def frequent(docs: DataFrame, least: int = LEAST, share: float = SAMPLE, bits: i
     sample, proposed, some = spark.read.parquet(path), _empty(bits), max(1, int(LOWERED * share * least))
     for size in range(1, LONGEST):
         proposed = proposed.joined(bitmaps(count(sample, {size}, proposed).where(F.col("n") >= some), bits))
-    every, old, parts = set(range(1, LONGEST + 1)), None, []
-    while True:
-        path = scratch_path(spark, "phrases")
-        count(rows, every, proposed, old).where((F.col("n") >= least) | (F.col("size") == 0)).write.parquet(path)
-        parts.append(spark.read.parquet(path))
-        if passes is not None:
-            passes.append(parts[-1].count())
-        grown = proposed.joined(bitmaps(parts[-1], bits))
-        if all((a == b).all() for a, b in zip(grown.maps, proposed.maps)):
-            break
-        every, old, proposed = every - {1}, proposed, grown
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    path = scratch_path(spark, "phrases")
+    count(rows, set(range(1, LONGEST + 1)), proposed).where((F.col("n") >= least) | (F.col("size") == 0)).write.parquet(path)
+    found = spark.read.parquet(path)
+    grown = proposed.joined(bitmaps(found, bits))
+    if any((a != b).any() for a, b in zip(grown.maps, proposed.maps)):  # border phrases are frequent
+        path = scratch_path(spark, "phrases-opened")
+        count(rows, set(range(2, LONGEST + 1)), grown, proposed).where(F.col("n") >= least).write.parquet(path)
+        found = found.unionByName(spark.read.parquet(path))
     return found
 
 

@@ -16,6 +16,20 @@ import pyarrow as pa
 WORD_BLOCK = 1 << 22  # bytes of text looked at in one go
 
 
+def gathered(batches: Iterator[pa.RecordBatch], text: str, limit: int = WORD_BLOCK) -> Iterator[pa.RecordBatch]:
+    """The batches put together to about `limit` bytes of text each."""
+    held, size = [], 0
+    for batch in batches:
+        own = batch.column(text).nbytes
+        if held and size + own > limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += own
+    if held:
+        yield pa.concat_batches(held)
+
+
 @dataclass
 class Block:
     """Rows first..last-1 (or a part of one row): the words of bytes a..b."""
