@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from buoyline.llm import bpe, common, langid, licenses, mixing, phrases, pii, ranking, rpforest, secret_scan, simhash, sketches, warc
+from buoyline.llm import bpe, common, langid, licenses, mixing, phrases, pii, ranking, rpforest, secret_scan, simhash, sketches, toxicity, warc
 from buoyline.session import scratch_path
 
 
@@ -69,6 +69,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("capture.type").alias("record_type"), "refers_to")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read_table(spark, sf_dir, "documents")
+    net = toxicity.fit(docs, common.read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, net).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(common.read_table(spark, sf_dir, "documents"))
 
@@ -79,7 +86,7 @@ def op13_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pii, op2_fingerprints, op3_neighbours, op4_language, op5_bpe, op6_simhash, op7_mixing, op8_secrets, op9_licenses, op10_warc,
-                               op12_phrases, op13_ranking)
+                               op11_toxicity, op12_phrases, op13_ranking)
 }
 
 OP7_SQL = r"""
