@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-WORD_BLOCK = 1 << 22  # bytes of text looked at in one go
+WORD_BLOCK = 1 << 21  # bytes of text looked at in one go
 
 
 def gathered(batches: Iterator[pa.RecordBatch], text: str, limit: int = WORD_BLOCK) -> Iterator[pa.RecordBatch]:
