@@ -53,7 +53,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents")
-    return secret_scan.scan(docs, secret_scan.fit(secret_scan.made_findings(spark)))
+    return secret_scan.scan(docs, secret_scan.made_model(spark))
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

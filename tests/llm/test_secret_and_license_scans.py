@@ -72,6 +72,24 @@ def test_surroundings_beyond_the_basic_plane(docs):
     assert got.candidate == HEX and got.word == "\ufffd" * 100 + f'token="{HEX}"' + "\ufffd" * (secret_scan.CONTEXT - 1)
 
 
+def test_nothing_bounds_a_value_a_block_or_a_name(docs, model):
+    rng = random.Random(3)
+    value = "".join(rng.choices("abcdefXYZ0123456789!#%&*", k=5000))
+    line = "\n".join("".join(rng.choices("abcdefXYZ0123456789+/", k=64)) for _ in range(2000))
+    block = f"-----BEGIN RSA PRIVATE KEY-----\n{line}\n-----END RSA PRIVATE KEY-----"
+    inside = f"session_eyJ{MIXED[:17]}.eyJ{MIXED[9:30]}.{MIXED}"
+    rows = [(1, f"password = '{value}' ok"), (2, f"before {block} after"), (3, f"see {inside} there"), (4, f"db_password_of_the_{'very_' * 20}old_server: tR9!mK2xQz now")]
+    got = {r.key: r.candidates for r in secret_scan.candidates(docs(rows)).groupBy("key").agg(F.collect_set("candidate").alias("candidates")).collect()}
+    assert value in got[1] and block in got[2] and inside in got[3] and "tR9!mK2xQz" in got[4]
+    found = {r.doc_id: r.secrets for r in secret_scan.scan(docs(rows), model).collect()}
+    assert block in found[2] and inside in found[3] and "tR9!mK2xQz" in found[4]
+
+
+def test_long_texts_of_leads_and_tokens_stay_linear(docs, model):
+    rows = [(1, "token" * 100_000), (2, "eyJ" * 100_000 + "." + "a" * 20), (3, "password " * 50_000), (4, "-----BEGIN PRIVATE KEY-----\n" + "Ab3/" * 200_000)]
+    assert secret_scan.candidates(docs(rows)).where("key < 4").count() <= 4
+
+
 def test_native_plan(docs, model):
     plan = secret_scan.scan(docs([(1, f"token = {HEX}")]), model)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
