@@ -14,7 +14,9 @@ def evaluate_once(df: DataFrame, *cols: Column | str) -> DataFrame:
     projection (a JSON parse and dozens of member extractions) that means the
     work is repeated inside every pushed filter. Emitting the projection
     through a one-element generator keeps later filters above it: they see
-    plain attributes. The generator is code-generated and copies nothing but
-    the row it already has.
+    plain attributes. The columns are computed by a projection below it, where
+    common subexpressions are found, which a generator does not do; the
+    generator copies nothing but the row it already has.
     """
-    return df.select(F.inline(F.array(F.struct(*cols))))
+    computed = df.select(*cols)
+    return computed.select(F.inline(F.array(F.struct(*computed.columns))))

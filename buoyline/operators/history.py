@@ -90,11 +90,14 @@ def history_rows(
     semantics) -> ``row_number() <= limit``, planned as a window group limit
     whose partial step runs in every task.
     Points are resolved by a hash aggregation that is partial before its
-    shuffle; the global form first cuts them by ``newest_times``.
+    shuffle. A history of one device reads its points once; the global form over
+    all devices first cuts them by ``newest_times``, a second, narrow read that
+    spares the shuffle of everything in the range.
     """
     check_params(start, stop, limit)
     selected = select_points(points, device_id, start, stop, measurement).where(F.col("field").isin(*fields))
-    wide = resolve_wide(selected if per_series else newest_times(selected, limit), fields)
+    cut = device_id is None and not per_series
+    wide = resolve_wide(newest_times(selected, limit) if cut else selected, fields)
     order = [F.col("time").desc(), F.col("arrival_seq").desc()]
     if per_series:
         w = Window.partitionBy(*SERIES_KEYS).orderBy(*order)

@@ -17,6 +17,8 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # History limits go up to 5000: keep the per-task top-k (window group limit) for all of them.
     "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
+    # The JVM does not compile methods over 8,000 bytes: a wide projection runs by operator instead of as one such method.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
