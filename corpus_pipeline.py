@@ -51,7 +51,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.prepare(spark)
-    model = secret_scan.fit(secret_scan.made_findings(spark))
+    model = secret_scan.made_model(spark)
     rows = docs.select(common.carried(docs).alias("row"), common.identity().alias("id"), F.col("text").alias("text"))
     found = secret_scan.scan(rows, model, key="id").where("n_secrets > 0").select("id", "secrets")
     # Longest first: a secret that is part of another must not leave the rest of it standing.
