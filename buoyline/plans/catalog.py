@@ -1011,6 +1011,142 @@ def q_stream_legacy_sensors(spark, sf_dir):
     return _sensor_columns(jobs.read_sensors(spark, f"{base}/out"))
 
 
+FEED_PARTS, FEED_FILES = 4, 3  # a feed's parts, one after the other in time, and the files of each: one micro-batch reads one part
+
+
+def _feed(df: DataFrame, path: str) -> None:
+    """Drop the messages as a bridge would: the files of a later stretch of time are written later."""
+    df.write.parquet(f"{path}-all")
+    every = df.sparkSession.read.parquet(f"{path}-all")
+    t = F.unix_micros("arrival_ts")
+    cuts = every.select(t.cast("double").alias("t")).approxQuantile("t", [k / FEED_PARTS for k in range(1, FEED_PARTS)], 0.01)
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = every if low is None else every.where(t > low)
+        part = part if high is None else part.where(t <= high)
+        part.repartition(FEED_FILES).write.mode("append").parquet(path)
+
+
+def _finished(q) -> None:
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+
+
+@register(
+    "stream_deduplicated",
+    f"""
+WITH {O.CLASSIFIED}
+SELECT reason, count(*) AS n FROM c
+WHERE reason IN ('invalid_json','not_an_object','missing_fields','device_mismatch','invalid_timestamp','uncastable_field')
+GROUP BY reason
+""",
+)
+def q_stream_deduplicated(spark, sf_dir):
+    """Rejects of a stream that delivers every message twice, the copy 20 s later: each counts once (A1, A3)."""
+    from buoyline.session import scratch_path
+    from buoyline.streaming import jobs, presence
+
+    base = scratch_path(spark, "twice")
+    raw = TB.raw_messages(spark, sf_dir).select(
+        "arrival_seq", F.col("arrival_ts").cast("timestamp").alias("arrival_ts"), "topic", "payload", F.col("arrival_seq").alias("message_id"))
+    again = raw.withColumns({"arrival_seq": F.col("arrival_seq") + 3, "arrival_ts": F.col("arrival_ts") + F.expr("INTERVAL 20 SECONDS")})
+    _feed(raw.unionByName(again), f"{base}/source")
+    stream = jobs.raw_stream(spark, f"{base}/source", max_files=FEED_FILES, schema=raw.schema)
+    once = presence.deduplicated(stream, ("topic", "message_id")).drop("message_id")
+    _finished(jobs.start_ingest(once, f"{base}/out", f"{base}/checkpoint", ingest_time=P.INGEST_TIME, available_now=True))
+    return jobs.read_rejects(spark, f"{base}/out").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+_TRANSITIONS = f"""
+s AS (SELECT device_id, arrival_ts AS t,
+             lag(arrival_ts) OVER w AS before, lead(arrival_ts) OVER w AS after
+      FROM c WHERE status IN ('stored', 'latest') WINDOW w AS (PARTITION BY device_id ORDER BY arrival_ts)),
+e AS (
+  SELECT device_id, 'online' AS event, t AS time FROM s
+  WHERE before IS NULL OR t - before >= INTERVAL {P.ACTIVE_TIMEOUT_S} SECONDS
+  UNION ALL
+  SELECT device_id, 'offline', t + INTERVAL {P.ACTIVE_TIMEOUT_S} SECONDS FROM s
+  WHERE CASE WHEN after IS NULL THEN t + INTERVAL {P.ACTIVE_TIMEOUT_S} SECONDS <= __UNTIL__
+             ELSE after - t >= INTERVAL {P.ACTIVE_TIMEOUT_S} SECONDS END)
+SELECT device_id, event, strftime(time, '%Y-%m-%dT%H:%M:%S.%f') AS time FROM e
+"""
+
+
+def _transition_columns(events: DataFrame) -> DataFrame:
+    return events.select("device_id", "event", F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("time"))
+
+
+@register("transitions", f"WITH {O.CLASSIFIED}, " + _TRANSITIONS.replace("__UNTIL__", f"TIMESTAMP '{P.NOW[:10]} {P.NOW[11:19]}'"))
+def q_transitions(spark, sf_dir):
+    """Online/offline moments of every device from the times it was seen."""
+    from buoyline.streaming import presence
+
+    seen = _ingested(spark, sf_dir).accepted.select("device_id", "arrival_ts")
+    return _transition_columns(presence.transitions(seen, P.ACTIVE_TIMEOUT_S, P.NOW))
+
+
+@register("stream_transitions", f"WITH {O.CLASSIFIED}, " + _TRANSITIONS.replace(
+    "__UNTIL__", "(SELECT date_trunc('millisecond', max(arrival_ts)) FROM c WHERE status IN ('stored', 'latest')) - INTERVAL 10 MINUTES"))
+def q_stream_transitions(spark, sf_dir):
+    """The same moments from a stream with timers: a last 'offline' once the watermark has passed it."""
+    from buoyline.session import scratch_path
+    from buoyline.streaming import jobs, presence
+
+    base = scratch_path(spark, "presence")
+    seen = _ingested(spark, sf_dir).accepted.select("device_id", F.col("arrival_ts").cast("timestamp").alias("arrival_ts"))
+    _feed(seen, f"{base}/source")
+    events = presence.transition_stream(jobs.raw_stream(spark, f"{base}/source", max_files=FEED_FILES, schema=seen.schema), P.ACTIVE_TIMEOUT_S)
+    _finished(events.writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start(f"{base}/out"))
+    return _transition_columns(spark.read.schema("device_id string, event string, time timestamp").parquet(f"{base}/out"))
+
+
+_RESOLVED_TLONG = f"""
+{O.TLONG_POINTS},
+rl AS (SELECT device_id, time, field, arg_max(value, arrival_seq) AS value FROM points GROUP BY device_id, time, field)"""
+
+
+@register(
+    "stream_rollup_tiers",
+    f"""
+WITH {_RESOLVED_TLONG}
+SELECT device_id, field, {O.ts_out("time_bucket(INTERVAL '7 days', time, TIMESTAMP '1970-01-01')")} AS bucket,
+       round(avg(value), 6) AS avg_value, min(value) AS min_value, max(value) AS max_value, count(value) AS n
+FROM rl GROUP BY device_id, field, time_bucket(INTERVAL '7 days', time, TIMESTAMP '1970-01-01')
+""",
+)
+def q_stream_rollup_tiers(spark, sf_dir):
+    """A weekly tier folded from the daily one that a stream of rewritten points keeps exact."""
+    from buoyline.session import scratch_path
+    from buoyline.streaming import jobs, tiers
+
+    base = scratch_path(spark, "tiers")
+    points = _tlong_points(spark, sf_dir)
+    points.repartition(FEED_PARTS * FEED_FILES).write.parquet(f"{base}/source")
+    stream = jobs.raw_stream(spark, f"{base}/source", max_files=FEED_FILES, schema=points.schema)
+    _finished(tiers.start_tier(stream, f"{base}/out", f"{base}/checkpoint", "1 day"))
+    week = tiers.coarser(tiers.read_tier(spark, f"{base}/out"), "7 days")
+    return week.select("device_id", "field", to_iso_z("bucket").alias("bucket"), F.round(F.col("sum_value") / F.col("n"), 6).alias("avg_value"),
+                       "min_value", "max_value", "n")
+
+
+@register(
+    "smooth_samples",
+    f"""
+WITH {_RESOLVED_TLONG}
+SELECT device_id, field, {O.ts_out('time')} AS time, value, round(avg(value) OVER w, 6) AS mean_value,
+       round(median(value) OVER w, 6) AS median_value, CAST(count(*) OVER w AS INTEGER) AS n
+FROM rl WINDOW w AS (PARTITION BY device_id, field ORDER BY time ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)
+""",
+)
+def q_smooth_samples(spark, sf_dir):
+    """Moving mean and median over the last five samples of each series and field."""
+    from buoyline.operators.moving import moving
+
+    m = moving(_tlong_points(spark, sf_dir), 5)
+    return m.select("device_id", "field", to_iso_z("time").alias("time"), "value", F.round("mean_value", 6).alias("mean_value"),
+                    F.round("median_value", 6).alias("median_value"), "n")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -23,9 +23,9 @@ from buoyline.schemas import RAW_SCHEMA
 from buoyline.sources import store
 
 
-def raw_stream(spark: SparkSession, source_dir: str, fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
-    """Streaming scan of raw message files with the fixed RAW schema (no inference)."""
-    reader = spark.readStream.schema(RAW_SCHEMA).format(fmt)
+def raw_stream(spark: SparkSession, source_dir: str, fmt: str = "parquet", max_files: int | None = None, schema=RAW_SCHEMA) -> DataFrame:
+    """Streaming scan of raw message files with a fixed schema (RAW unless given; no inference)."""
+    reader = spark.readStream.schema(schema).format(fmt)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", int(max_files))
     return reader.load(source_dir)
@@ -181,7 +181,7 @@ def rollup_stream(points: DataFrame, every: str = "1 day", delay: str = "1 hour"
     ``delay`` can arrive; state is one running aggregate per open window,
     series and field. Points arrive unresolved here: a value rewritten for the
     same (series, time, field) inside one window counts twice, unlike the
-    batch ``rollup``; the batch form over the stored table is exact.
+    batch ``rollup``; ``tiers`` keeps rollups of a stream exact under rewrites.
     """
     from buoyline.schemas import SERIES_KEYS
 
