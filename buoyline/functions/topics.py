@@ -90,7 +90,7 @@ def filter_regex(pattern: str) -> str:
             out.append(re.escape(level))
     if out and out[-1] == "#":
         head = "/".join(out[:-1])
-        body = f"{head}(/.*)?" if head else ".*"
+        body = f"{head}(/.*)?" if len(out) > 1 else ".*"  # "/#" has an empty first level
     else:
         body = "/".join(out)
     guard = "(?!\\$)" if levels[0] in ("+", "#") else ""

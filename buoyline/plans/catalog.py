@@ -1147,6 +1147,91 @@ def q_smooth_samples(spark, sf_dir):
                     F.round("median_value", 6).alias("median_value"), "n")
 
 
+@register(
+    "subscription_deliveries",
+    f"""
+WITH m AS ({P.RAW_MESSAGES}), s AS ({P.SUBSCRIPTIONS}),
+v AS (SELECT DISTINCT subscription_id, filter,
+             CASE WHEN filter = '#' THEN '' WHEN ends_with(filter, '/#') THEN left(filter, length(filter) - 2) ELSE filter END AS head
+      FROM s WHERE NOT regexp_matches(filter, '#.|[^/][+#]|[+#][^/]')),
+r AS (SELECT subscription_id, filter, CASE WHEN filter = '#' THEN '.*' ELSE
+             replace(replace(head, '$', '[$]'), '+', '[^/]*') || CASE WHEN ends_with(filter, '/#') THEN '(/.*)?' ELSE '' END END AS pattern FROM v),
+t AS (SELECT DISTINCT topic, subscription_id FROM (SELECT DISTINCT topic FROM m) JOIN r
+      ON regexp_full_match(topic, pattern) AND NOT (starts_with(topic, '$') AND left(filter, 1) IN ('+', '#')))
+SELECT arrival_seq, subscription_id FROM m JOIN t USING (topic)
+""",
+)
+def q_subscription_deliveries(spark, sf_dir):
+    """Every message with each subscription that it is delivered to, from a table of filters (A2)."""
+    from buoyline.operators.subscriptions import deliveries
+
+    messages = TB.raw_messages(spark, sf_dir).select("arrival_seq", "topic")
+    return deliveries(messages, TB.subscriptions(spark, sf_dir)).select("arrival_seq", "subscription_id")
+
+
+def _mark_sql(levels: dict[str, tuple[float, float]]) -> str:
+    cases = [f"WHEN '{f}' THEN CASE WHEN value {'>=' if up > down else '<='} {up} THEN 1 WHEN value {'<=' if up > down else '>='} {down} THEN 0 END"
+             for f, (up, down) in levels.items()]
+    return f"CASE field {' '.join(cases)} END"
+
+
+_EVENT_POINTS = f"""
+ev AS ({P.TELEMETRY_LONG}),
+rl AS (SELECT device_id, event_ts AS time, field, arg_max(value, arrival_seq) AS value FROM ev GROUP BY device_id, event_ts, field)"""
+_EXACT_TIME = "strftime({}, '%Y-%m-%dT%H:%M:%S.%f')"
+
+
+def _event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points at the time of their event, not of its day."""
+    return PT.from_long(TB.telemetry_long(spark, sf_dir).withColumn("time", F.col("event_ts")))
+
+
+@register(
+    "alarms",
+    f"""
+WITH {_EVENT_POINTS},
+m AS (SELECT *, {_mark_sql(P.ALARM_LEVELS)} AS mark FROM rl WHERE field IN ({", ".join(f"'{f}'" for f in P.ALARM_LEVELS)})),
+st AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY device_id, field ORDER BY time
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS state FROM m),
+b AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY device_id, field ORDER BY time), 0) AS before FROM st),
+n AS (SELECT *, sum(CASE WHEN state = 1 AND before = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY device_id, field ORDER BY time
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS number FROM b)
+SELECT device_id, field, CAST(number AS BIGINT) AS number, {_EXACT_TIME.format("min(CASE WHEN state = 1 THEN time END)")} AS raised_at,
+       {_EXACT_TIME.format("max(CASE WHEN state = 0 THEN time END)")} AS cleared_at,
+       CASE WHEN field = 'humidity' THEN min(CASE WHEN state = 1 THEN value END) ELSE max(CASE WHEN state = 1 THEN value END) END AS peak,
+       count(CASE WHEN state = 1 THEN 1 END) AS samples
+FROM n WHERE state = 1 OR before = 1 GROUP BY device_id, field, number
+""",
+)
+def q_alarms(spark, sf_dir):
+    """Alarm intervals with raise and clear levels per field, over split series."""
+    from buoyline.operators.alarms import alarms
+
+    exact = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(c)
+    found = alarms(_event_points(spark, sf_dir), P.ALARM_LEVELS)
+    return found.select("device_id", "field", "number", exact("raised_at"), exact("cleared_at"), "peak", "samples")
+
+
+@register(
+    "rollup_quantiles",
+    f"""
+WITH {_EVENT_POINTS}
+SELECT field, {O.ts_out("date_trunc('day', time)")} AS bucket, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95,
+       min(value) AS min_value, max(value) AS max_value, count(*) AS n
+FROM rl GROUP BY field, date_trunc('day', time)
+""",
+)
+def q_rollup_quantiles(spark, sf_dir):
+    """p50 and p95 by field and day, merged from the stored sketches of each device's hours."""
+    from buoyline.operators import quantiles as Q
+    from buoyline.session import scratch_path
+
+    hours = f"{scratch_path(spark, 'sketches')}/hours"
+    Q.tier(_event_points(spark, sf_dir), "1 hour").write.parquet(hours)
+    days = Q.coarser(spark.read.parquet(hours), "1 day", ("field",))
+    return Q.quantiles(days, {"p50": 0.5, "p95": 0.95}).withColumn("bucket", to_iso_z("bucket"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -114,6 +114,26 @@ SELECT event_id * 10 + CASE WHEN event_id % 10 = 0 THEN 5001 ELSE 0 END AS arriv
 FROM e
 """
 
+# Subscriptions of the consumers of those messages: one per device, of five
+# forms, and some for all devices. Three are no valid filters, one is for the
+# system space.
+SUBSCRIPTIONS = """
+WITH d AS (SELECT DISTINCT user_id AS u, 'DEV-' || lpad(CAST(user_id AS STRING), 4, '0') AS did FROM events)
+SELECT 'device-' || CAST(u AS STRING) AS subscription_id,
+       CASE u % 5 WHEN 0 THEN 'sensors/' || did || '/+' WHEN 1 THEN 'sensors/' || did || '/#'
+                  WHEN 2 THEN '+/' || did || '/telemetry' WHEN 3 THEN 'sensors/' || did || '/status'
+                  ELSE '+/' || did || '/#' END AS filter
+FROM d
+UNION ALL SELECT 'all', '#' FROM d WHERE u = (SELECT min(u) FROM d)
+UNION ALL SELECT 'pair-' || CAST(u % 3 AS STRING), 'sensors/+/diagnostics' FROM d
+UNION ALL SELECT 'other', 'sensors/OTHER/#' FROM d WHERE u % 7 = 0
+UNION ALL SELECT 'one-level', '+' FROM d WHERE u % 11 = 0
+UNION ALL SELECT 'below-lonely', 'lonely/#' FROM d WHERE u % 11 = 1
+UNION ALL SELECT 'system', '$SYS/#' FROM d WHERE u % 11 = 2
+UNION ALL SELECT 'invalid-' || CAST(u % 3 AS STRING),
+                 CASE u % 3 WHEN 0 THEN 'sensors/#/telemetry' WHEN 1 THEN 'sensors/DEV+/telemetry' END FROM d
+"""
+
 # Fixed query parameters, so that batch runs repeat exactly.
 INGEST_TIME = "2024-02-01T00:00:00Z"
 NOW = "2024-01-31T00:00:00Z"
@@ -122,3 +142,4 @@ HISTORY_DEVICE = "DEV-0003"
 HISTORY_FROM = "2024-01-02T00:00:00Z"
 HISTORY_TO = "2024-01-20T00:00:00Z"
 HISTORY_LIMIT = 10
+ALARM_LEVELS = {"temperature": (60.0, 30.0), "humidity": (10.0, 25.0), "pressure": (100.0, 99.0)}  # (raise, clear); humidity guards against low values

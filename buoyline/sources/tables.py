@@ -38,3 +38,8 @@ def legacy_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def status_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status and diagnostics messages of the documented extension contract."""
     return _view(spark, sf_dir, fixtures.STATUS_MESSAGES)
+
+
+def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(subscription_id, filter) of the consumers of the raw messages, with repeated and invalid rows."""
+    return _view(spark, sf_dir, fixtures.SUBSCRIPTIONS)
