@@ -1,13 +1,21 @@
-"""BPE encoding of whole texts, with tree concatenation for long unsplit text.
-
-The tokenizer's own rules never let a token span white space, so a text is cut
-at ASCII white space first, which is exact. The chunks repeat a lot: each task
-remembers the encodings of chunks (a bounded memory that only saves time).
-
-A chunk longer than LEAF characters is long unsplit text. It is halved, and
-halved again, until its pieces are short; the pieces of all chunks of a batch
-are encoded independently in one call. Neighbours are then joined level by
-level: a window around the join, taken from the raw text at token borders, is
+"""BPE encoding of whole texts by tree concatenation.
+
+A text of more than PART characters is halved, and halved again, wherever that
+cuts, until its parts are short; the parts of all texts of a batch are encoded
+independently. Neighbours are then joined level by level: a window of the raw
+text around the join is encoded again and grown until it agrees with the left
+side before the join and with the right side after it. What lies between the
+two agreements comes from the window.
+
+Within a part, the tokenizer's own rules never let a token span ASCII white
+space (`check_rules` refuses a file with other rules), so the tokens between
+two blanks, a chunk, are encoded together and agree together. The chunks repeat
+a lot: each task remembers their encodings (a bounded memory that only saves
+time).
+
+A chunk longer than LEAF characters is long unsplit text, and goes through a
+tree of its own, token by token: its pieces are encoded in one call and joined
+level by level: a window around the join, taken from the raw text at token borders, is
 encoded again and grown until it agrees with the left side in a token before
 the join and with the right side in a token after it. What lies between the
 two agreeing tokens comes from the window.
@@ -22,8 +30,11 @@ agreement, since a cut looks like the end of a word there.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
+from bisect import bisect_left
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +43,9 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from buoyline.llm import common
 
-LEAF = 256  # characters of a piece that is encoded at once
+PART = 4096  # characters of a whole text's part that is encoded by itself
+REACH_CHUNKS = 2  # chunks on each side of a join that the first window takes in, beside its own ends
+LEAF = 256  # characters of a piece of unsplit text that is encoded at once
 REMEMBERED = 1 << 18  # chunk encodings, and word encodings, that a worker keeps
 CHUNK = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 REACH = 16  # tokens on each side of a join that the first window takes in
@@ -162,6 +175,20 @@ PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
+# The rules of a tokenizer file that cutting at white space, PLAIN and WORD follow.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None,
+    "decoder": None,
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None,
+              "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+}
+
+
 def byte_letters() -> dict[int, str]:
     """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from U+0100."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -172,11 +199,70 @@ def byte_letters() -> dict[int, str]:
 LETTERS = byte_letters()
 
 
+def check_rules(path: str) -> None:
+    """Refuse a tokenizer file whose rules are not those that cutting at white space and `WORD` rely on."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    own = {k: rules.get(k) for k in RULES}
+    own["model"] = {k: rules["model"].get(k) for k in RULES["model"]}
+    marked = [t["content"] for t in rules["added_tokens"] if not t["content"].startswith("<|") or re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"]]
+    if own != RULES or marked:
+        raise ValueError(f"{path}: rules other than those this coder is written for: {own}")
+
+
+@dataclass
+class Part:
+    """Chunk encodings of text[start:stop] and where each chunk starts; None stands for a torn end that is not encoded."""
+
+    start: int
+    stop: int
+    at: list[int]
+    units: list
+
+
+def halved(size: int, part: int) -> list[tuple[int, int]]:
+    """Spans of a text halved until none is over `part` characters, wherever that cuts."""
+    n = 1 << (max(1, -(-size // part)) - 1).bit_length()
+    cuts = [size * i // n for i in range(n + 1)]
+    return list(zip(cuts, cuts[1:]))
+
+
+def around(left: Part, right: Part, reach: int) -> tuple[int, int]:
+    """Span of the window that takes in `reach` + 1 chunks on either side of the join."""
+    i, j = len(left.at) - 1 - reach, reach + 1
+    return left.at[i] if i > 0 else left.start, right.at[j] if j < len(right.at) else right.stop
+
+
+def concatenated(left: Part, right: Part, window: Part) -> Part | None:
+    """Both sides made one through the window, or None if it does not agree with both and must grow.
+
+    A side and the window agree in a chunk of equal place and tokens that
+    neither of them may have torn: not at the join, not at the window's ends.
+    """
+    inner = range(1, len(window.at) - 1)
+
+    def met(side: Part, k: int, fit: range) -> int | None:
+        x = bisect_left(side.at, window.at[k])
+        same = x in fit and side.at[x] == window.at[k] and side.units[x] is not None and side.units[x] == window.units[k]
+        return x if same else None
+
+    u = (0, 0) if window.start <= left.start else next(
+        ((x, k) for k in inner if (x := met(left, k, range(len(left.at) - 1))) is not None), None)
+    t = (len(right.at), len(window.at)) if window.stop >= right.stop else next(
+        ((x, k) for k in reversed(inner) if (x := met(right, k, range(1, len(right.at)))) is not None), None)
+    if u is None or t is None or u[1] > t[1]:
+        return None
+    return Part(left.start, right.stop, left.at[:u[0]] + window.at[u[1]:t[1]] + right.at[t[0]:],
+                left.units[:u[0]] + window.units[u[1]:t[1]] + right.units[t[0]:])
+
+
 class Coder:
     """Encodes whole texts, remembering chunks: chunk -> (number of ids, ids as text, decoded text)."""
 
-    def __init__(self, path: str, leaf: int = LEAF):
-        self.path, self.leaf, self.known, self.words = path, leaf, {}, {}
+    def __init__(self, path: str, leaf: int = LEAF, part: int = PART):
+        check_rules(path)
+        self.path, self.leaf, self.part, self.known, self.words = path, leaf, part, {}, {}
+        self.trees = 0  # texts that went through the tree
         self.model = tokenizer(path).model
         vocab = tokenizer(path).get_vocab(with_added_tokens=False)
         self.values = [""] * (max(vocab.values(), default=-1) + 1)
@@ -217,19 +303,54 @@ class Coder:
             plain = tokenizer(self.path).decode_batch(ids, skip_special_tokens=False)
             self.known.update((c, (len(x), " ".join(map(str, x)), p)) for c, x, p in zip(part, ids, plain))
 
+    def parts(self, texts: list[str], spans: list[tuple[int, int, int]], alone: bool = False) -> list[Part]:
+        """Encode text[n][a:b] for every (n, a, b), each by itself; `alone`: a whole text meets no other part, so needs no places."""
+        cut = [CHUNK.findall(texts[n], a, b) for n, a, b in spans]
+        at = [[m.start() for m in CHUNK.finditer(texts[n], a, b)] if not alone or b - a < len(texts[n]) else [] for n, a, b in spans]
+        for chunks, places, (n, a, b) in zip(cut, at, spans):
+            # What a cut tore off an unsplit stretch is encoded again in any case: a long end waits until it is whole.
+            if chunks and a > 0 and places[0] == a and len(chunks[0]) > self.leaf:
+                chunks[0] = ""
+            if chunks and b < len(texts[n]) and len(chunks[-1]) > self.leaf and places[-1] + len(chunks[-1]) == b:
+                chunks[-1] = ""
+        self.learn(set().union(*cut) - {""})
+        known = self.known
+        return [Part(a, b, places, [known[c] if c else None for c in chunks] if "" in (chunks[:1] + chunks[-1:]) else list(map(known.__getitem__, chunks)))
+                for chunks, places, (_, a, b) in zip(cut, at, spans)]
+
+    def tree(self, texts: list[str]) -> list[list]:
+        """The chunk encodings of each whole text; texts over `part` characters are halved, and joined level by level."""
+        halves = [halved(len(t), self.part) for t in texts]
+        made = iter(self.parts(texts, [(n, a, b) for n, cuts in enumerate(halves) for a, b in cuts], alone=True))
+        rows = [[next(made) for _ in cuts] for cuts in halves]
+        self.trees += sum(len(r) > 1 for r in rows)
+        while any(len(r) > 1 for r in rows):
+            todo = {(n, i): REACH_CHUNKS for n, r in enumerate(rows) for i in range(0, len(r) - 1, 2)}
+            done = {}
+            while todo:
+                spans = [(n, *around(rows[n][i], rows[n][i + 1], reach)) for (n, i), reach in todo.items()]
+                again = {}
+                for ((n, i), reach), window in zip(todo.items(), self.parts(texts, spans)):
+                    whole = concatenated(rows[n][i], rows[n][i + 1], window)
+                    if whole is None:
+                        again[n, i] = reach * 4
+                    else:
+                        done[n, i] = whole
+                todo = again
+            rows = [[done[n, i] for i in range(0, len(r), 2)] if len(r) > 1 else r for n, r in enumerate(rows)]
+        return [r[0].units for r in rows]
+
     def texts(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(number of ids, ids joined by spaces, decoded text) of each text.
 
         Without a decoder of its own the tokenizer joins decoded tokens by a
         space, so the chunks' decoded texts joined by spaces are the whole's.
         """
-        cut = [CHUNK.findall(t) for t in texts]
-        self.learn(set().union(*cut))
         out = []
-        for chunks in cut:
-            n, ids, plain = zip(*map(self.known.__getitem__, chunks)) if chunks else ((), (), ())
+        for units in self.tree(texts):
+            n, ids, plain = zip(*units) if units else ((), (), ())
             if 0 in n:  # a chunk of nothing but other white space has no tokens
-                n, ids, plain = zip(*[e for e in zip(n, ids, plain) if e[0]], (0, "", ""))
+                n, ids, plain = zip(*[e for e in units if e[0]], (0, "", ""))
                 n, ids, plain = n[:-1], ids[:-1], plain[:-1]
             out.append((sum(n), " ".join(ids), " ".join(plain)))
         return out
@@ -247,7 +368,8 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
     ids_sha256 is over the decimal ids joined by one space, decoded_sha256 over
     the decoded text's UTF-8. An empty text has no tokens. Extra columns are
-    left out; repeated rows are encoded each. `path` must exist on every executor.
+    left out; repeated rows are encoded each. `path` must exist on every executor
+    and hold the rules of `check_rules`, else the job fails.
     """
     rows = docs.select(common.column(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     out = rows.select("key").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")

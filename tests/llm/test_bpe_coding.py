@@ -1,8 +1,10 @@
 """Tree concatenation and the remembered chunks against the tokenizers library itself."""
 
 import hashlib
+import json
 import random
 
+import pyarrow.parquet as pq
 import pytest
 
 from buoyline.llm import bpe
@@ -45,6 +47,44 @@ def test_whole_texts_through_the_coder():
         assert got == (len(ids), " ".join(map(str, ids)), plain), repr(s)
 
 
+@pytest.mark.parametrize("part", [3, 10, 40, 200])
+def test_whole_texts_through_the_tree(part):
+    path = vocabulary()
+    long = ["a b " * 300, "word" * 300 + " x", " " * 900, "x " + "y" * 700 + " z", "\n".join("one two, three's" for _ in range(90)), "中文 " * 200 + "é" * 300]
+    sample = texts(400, part) + long + ["".join(random.Random(part).choices("ab '\t\x0b1é", k=1500))]
+    coder = bpe.Coder(path, 16, part)
+    for s, got in zip(sample, coder.texts(sample)):
+        ids, plain = library(path, s)
+        assert got == (len(ids), " ".join(map(str, ids)), plain), repr(s)
+    assert coder.trees == sum(len(s) > part for s in sample)
+
+
+def test_every_long_document_passes_the_tree():
+    path = vocabulary()
+    docs = [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()]
+    coder = bpe.Coder(path)
+    for s, got in zip(docs, coder.texts(docs)):
+        ids, plain = library(path, s)
+        assert got == (len(ids), " ".join(map(str, ids)), plain)
+    assert coder.trees == sum(len(s) > bpe.PART for s in docs) > 0
+
+
+def test_a_huge_text_without_a_blank():
+    path = vocabulary()
+    text = "".join(random.Random(1).choices(["the", "in", "g", "é", "1", "!", "中"], k=300_000))
+    ids, _ = library(path, text)
+    assert bpe.Coder(path).texts([text])[0][1] == " ".join(map(str, ids))
+
+
+def test_other_rules_are_refused(tmp_path):
+    rules = json.loads(open(vocabulary(), encoding="utf-8").read())
+    rules["normalizer"] = None
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(rules), encoding="utf-8")
+    with pytest.raises(ValueError, match="rules"):
+        bpe.Coder(str(path))
+
+
 def test_forgetting_changes_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 8)
     path = vocabulary()
