@@ -114,12 +114,9 @@ def mix(docs: DataFrame, epochs: int = 3, key: str = "doc_id", source: str = "so
     narrow = ordered.select("source", "bucket", "size")
     totals = narrow.groupBy("source", "bucket").agg(F.sum("size").alias("part"))
     sources = plan(totals.select("source", F.col("part").alias("size")), epochs, schedule)
-    # Prefix over at most BUCKETS totals of a source.
-    listed = totals.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("bucket", "part"))).alias("parts"))
-    before = listed.select("source", F.explode(F.transform("parts", lambda p, i: F.struct(
-        p["bucket"].alias("bucket"),
-        F.aggregate(F.slice(F.col("parts"), 1, i), F.lit(0).cast("long"), lambda s, q: s + q["part"]).alias("before")))).alias("b")
-    ).select(F.col("source").alias("of"), F.col("b.bucket").alias("at"), "b.before")
+    # Running sum over the totals of a source, BUCKETS rows at most.
+    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(F.col("source").alias("of"), F.col("bucket").alias("at"), F.coalesce(F.sum("part").over(earlier), F.lit(0)).alias("before"))
     known = before.join(sources, F.col("of").eqNullSafe(F.col("source"))).drop("source")
     joined = ordered.join(known, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("at")))
     inside = Window.partitionBy("source", "bucket").orderBy("place", "key", "tie", "size").rowsBetween(Window.unboundedPreceding, 0)
