@@ -72,6 +72,15 @@ def newest_times(points: DataFrame, limit: int) -> DataFrame:
     return points.where(F.col("time") >= newest.agg(F.min("time")).scalar())
 
 
+def newest_rows(wide: DataFrame, limit: int, per_series: bool = False) -> DataFrame:
+    """The newest ``limit`` resolved rows, of all or of each series."""
+    order = [F.col("time").desc(), F.col("arrival_seq").desc()]
+    if per_series:
+        w = Window.partitionBy(*SERIES_KEYS).orderBy(*order)
+        return wide.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).drop("_rn")
+    return wide.orderBy(*order).limit(limit)
+
+
 def history_rows(
     points: DataFrame,
     device_id: str | None = None,
@@ -98,11 +107,7 @@ def history_rows(
     selected = select_points(points, device_id, start, stop, measurement).where(F.col("field").isin(*fields))
     cut = device_id is None and not per_series
     wide = resolve_wide(newest_times(selected, limit) if cut else selected, fields)
-    order = [F.col("time").desc(), F.col("arrival_seq").desc()]
-    if per_series:
-        w = Window.partitionBy(*SERIES_KEYS).orderBy(*order)
-        return wide.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).drop("_rn")
-    return wide.orderBy(*order).limit(limit)
+    return newest_rows(wide, limit, per_series)
 
 
 def project_points(rows: DataFrame, fields: tuple[str, ...] = TELEMETRY_FIELDS) -> DataFrame:

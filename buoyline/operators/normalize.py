@@ -34,6 +34,8 @@ REJECT_REASONS = (
     "invalid_timestamp",
     "uncastable_field",
 )
+STATUSES = ("stored", "latest", "ignored", "rejected")
+REASONS = (*REJECT_REASONS, "no_fields")
 
 RECORD_COLUMNS = (
     "arrival_seq",

@@ -1232,6 +1232,70 @@ def q_rollup_quantiles(spark, sf_dir):
     return Q.quantiles(days, {"p50": 0.5, "p95": 0.95}).withColumn("bucket", to_iso_z("bucket"))
 
 
+@register("compacted_history", ORACLES["history_device"])
+def q_compacted_history(spark, sf_dir):
+    """The flagship history over a store compacted after its first run; the second run's points are resolved on read."""
+    from buoyline.plans.ingest import ingest_to
+    from buoyline.session import scratch_path
+    from buoyline.sources import compaction
+
+    out = scratch_path(spark, "compaction")
+    (name, first), (after, second), _ = _two_slices(TB.raw_messages(spark, sf_dir))
+    points = ingest_to(first, out, P.INGEST_TIME, run=name)["points"]
+    compaction.compact(spark, points, f"{out}/compacted")
+    ingest_to(second, out, P.INGEST_TIME, run=after)
+    return compaction.history(spark, points, f"{out}/compacted", P.HISTORY_DEVICE, P.HISTORY_FROM, P.HISTORY_TO, P.HISTORY_LIMIT)
+
+
+@register("compacted_points", f"""
+WITH {O.CLASSIFIED}, {O.POINTS}, w AS ({O.wide_from()})
+SELECT device_id, {O.ts_out('time')} AS time, {_fields_out()}, arrival_seq FROM w
+""")
+def q_compacted_points(spark, sf_dir):
+    """Every resolved row after two runs, each followed by a compaction: the second folds into the first's days."""
+    from buoyline.plans.ingest import ingest_to
+    from buoyline.session import scratch_path
+    from buoyline.sources import compaction
+
+    out = scratch_path(spark, "compaction-twice")
+    for run, part in _two_slices(TB.raw_messages(spark, sf_dir))[:2]:
+        points = ingest_to(part, out, P.INGEST_TIME, run=run)["points"]
+        compaction.compact(spark, points, f"{out}/compacted")
+    rows = compaction.read_resolved(spark, points, f"{out}/compacted")
+    return rows.select("device_id", to_iso_z("time").alias("time"), *FIELDS, "arrival_seq")
+
+
+@register("sql_device_history", ORACLES["history_device"])
+def q_sql_device_history(spark, sf_dir):
+    """The flagship history as a SQL table function."""
+    from buoyline.plans.functions import register_functions
+
+    register_functions(spark, PT.resolve_wide(_raw_points(spark, sf_dir)))
+    return spark.sql("SELECT * FROM device_history(:device, :start, :stop, n => :n)", {
+        "device": P.HISTORY_DEVICE, "start": P.HISTORY_FROM, "stop": P.HISTORY_TO, "n": P.HISTORY_LIMIT})
+
+
+@register("ingest_counts", ORACLES["reject_counts"])
+def q_ingest_counts(spark, sf_dir):
+    """Messages by status and reason, counted while the batch ingest writes its records."""
+    from buoyline.plans.counters import read_counts
+    from buoyline.plans.ingest import ingest_to
+    from buoyline.session import scratch_path
+
+    out = scratch_path(spark, "ingest-counts")
+    for run, part in _two_slices(TB.raw_messages(spark, sf_dir)):
+        ingest_to(part, out, P.INGEST_TIME, run=run)
+    return read_counts(spark, out)
+
+
+@register("stream_counts", ORACLES["reject_counts"])
+def q_stream_counts(spark, sf_dir):
+    """The same counts, summed over the micro-batches of the streaming ingest."""
+    from buoyline.plans.counters import read_counts
+
+    return read_counts(spark, _stream_run(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from buoyline.operators import normalize, points, state
 from buoyline.operators.decode import decode
+from buoyline.plans import counters
 from buoyline.sources import store
 
 
@@ -57,19 +58,21 @@ def ingest_to(raw: DataFrame, out_dir: str, ingest_time: str, keep_tags: bool =
     """Batch ingest into ``out_dir``; every run owns ``run=<run>`` below each table.
 
     Tables: records/, points/ (by run and day), rejects/, latest/ (one candidate
-    per device and run). Runs add up: ``read_points`` and ``read_latest`` merge
+    per device and run), counts/ (messages by status and reason, see ``counters``). Runs add up: ``read_points`` and ``read_latest`` merge
     them. Repeating a run under its name replaces exactly its own rows; without
     a name each call is a run of its own.
     """
     spark: SparkSession = raw.sparkSession
     out, part = out_dir.rstrip("/"), f"run={run or uuid.uuid4().hex}"
     res = ingest(raw, ingest_time, keep_tags=keep_tags)
-    res.records.write.mode("overwrite").parquet(f"{out}/records/{part}")
+    records, seen = counters.observed(res.records)
+    records.write.mode("overwrite").parquet(f"{out}/records/{part}")
+    counters.write_counts(spark, seen, f"{out}/counts/{part}")
     recs = Ingested(spark.read.parquet(f"{out}/records/{part}"))
     store.write_points(recs.points, f"{out}/points/{part}", mode="overwrite")
     recs.rejects.write.mode("overwrite").parquet(f"{out}/rejects/{part}")
     recs.latest().write.mode("overwrite").parquet(f"{out}/latest/{part}")
-    return {k: f"{out}/{k}" for k in ("records", "points", "rejects", "latest")}
+    return {k: f"{out}/{k}" for k in ("records", "points", "rejects", "latest", "counts")}
 
 
 def read_latest(spark: SparkSession, out_dir: str) -> DataFrame:

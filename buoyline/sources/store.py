@@ -2,18 +2,27 @@
 
 Layout: ``<root>/<measurement>/event_date=YYYY-MM-DD/part-*.parquet``, rows
 sorted by (device_id, time) inside each file so row-group statistics prune
-device lookups, and day directories prune time ranges.
+device lookups, and day directories prune time ranges. Files also carry a
+Bloom filter of the key, for devices that a row group's range covers but which
+it does not hold.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from buoyline.operators.points import with_event_date
 
+DEVICES_PER_GROUP = 50_000  # distinct keys that a row group's Bloom filter is laid out for, some 64 KB
 
-FILES_PER_DAY = 8  # files that one micro-batch writes below one day at most
+
+def pruned_by(writer: DataFrameWriter, key: str, distinct: int = DEVICES_PER_GROUP) -> DataFrameWriter:
+    """Write Bloom filters of `key`; a group whose keys fit a dictionary page is pruned by that instead."""
+    return (
+        writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
+        .option(f"parquet.bloom.filter.expected.ndv#{key}", str(int(distinct)))
+    )
 
 
 def write_points(points: DataFrame, path: str, mode: str = "append", partitions: int | None = None,
@@ -28,32 +37,26 @@ def write_points(points: DataFrame, path: str, mode: str = "append", partitions:
     df = with_event_date(points) if "event_date" not in points.columns else points
     keys = ["event_date", key, "time"]
     dealt = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
-    (
-        dealt
-        .sortWithinPartitions("event_date", key, "time")
-        .write.mode(mode)
-        .partitionBy("event_date")
-        .parquet(path)
-    )
+    writer = dealt.sortWithinPartitions("event_date", key, "time").write.mode(mode)
+    pruned_by(writer, key).partitionBy("event_date").parquet(path)
 
 
 def write_points_batch(points: DataFrame, path: str, batch_id: int, key: str = "device_id") -> None:
     """Micro-batch sink: each batch owns ``batch_id=<n>`` below every day, overwritten on replay.
 
     A replayed batch rewrites exactly its own files, so the sink is idempotent
-    without a table format that supports MERGE. Rows are dealt by day and a
-    hash of the series key first, so a batch writes at most FILES_PER_DAY files
-    a day however many tasks it had.
+    without a table format that supports MERGE. Rows are first brought together
+    by day: adaptive execution merges small days and cuts a large one into parts
+    of the advisory size, so files and tasks follow the batch's bytes.
     """
     df = with_event_date(points).withColumn("batch_id", F.lit(int(batch_id)))
-    (
-        df.repartition("event_date", F.pmod(F.xxhash64(key, "time"), F.lit(FILES_PER_DAY)))
+    writer = (
+        df.hint("rebalance", "event_date")
         .sortWithinPartitions("event_date", key, "time")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("event_date", "batch_id")
-        .parquet(path)
     )
+    pruned_by(writer, key).partitionBy("event_date", "batch_id").parquet(path)
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:

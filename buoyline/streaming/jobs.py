@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from buoyline.operators import normalize, state
 from buoyline.operators.points import to_points
+from buoyline.plans import counters
 from buoyline.plans.ingest import ingest
 from buoyline.schemas import RAW_SCHEMA
 from buoyline.sources import store
@@ -72,13 +73,19 @@ def _write_batch_partition(df: DataFrame, path: str, batch_id: int) -> None:
 
 def ingest_batch(batch: DataFrame, batch_id: int, out_dir: str, ingest_time: str | None = None,
                  keep_tags: bool = False) -> None:
-    """One micro-batch: classify once, write points, latest candidates and rejects."""
+    """One micro-batch: classify once, write points, latest candidates, rejects and counts.
+
+    Rejects go first: that write has no shuffle, so it reads every record in tasks
+    that count once each, whatever is lost and repeated.
+    """
     out = out_dir.rstrip("/")
-    recs = ingest(batch, ingest_time, keep_tags=keep_tags).records.persist()
+    counted, seen = counters.observed(ingest(batch, ingest_time, keep_tags=keep_tags).records)
+    recs = counted.persist()
     try:
+        _write_batch_partition(normalize.rejects(recs), f"{out}/rejects", batch_id)
+        counters.write_counts(batch.sparkSession, seen, f"{out}/counts/batch_id={int(batch_id)}")
         store.write_points_batch(to_points(recs), f"{out}/points", batch_id)
         _write_batch_partition(state.latest(recs), f"{out}/latest_updates", batch_id)
-        _write_batch_partition(normalize.rejects(recs), f"{out}/rejects", batch_id)
     finally:
         recs.unpersist()
 

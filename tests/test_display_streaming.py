@@ -188,13 +188,12 @@ def test_replay_under_a_later_clock_gives_the_same_points(spark, tmp_path, raw_d
 
 
 def test_a_batch_writes_few_files_whatever_its_tasks(spark, tmp_path, raw_df):
-    from buoyline.sources.store import FILES_PER_DAY
     from buoyline.streaming import jobs
 
     rows = [(i, f"sensors/D{i}/telemetry", f'{{"device_id":"D{i}","timestamp":"2024-01-0{1 + i % 3}T00:00:00Z","temperature":{i}}}') for i in range(300)]
     jobs.ingest_batch(raw_df(rows).repartition(40), 0, str(tmp_path / "o"))
     files = list((tmp_path / "o" / "points").rglob("*.parquet"))
-    assert len(files) <= 3 * FILES_PER_DAY and jobs.read_points(spark, str(tmp_path / "o")).count() == 300
+    assert len(files) <= 3 * 8 and jobs.read_points(spark, str(tmp_path / "o")).count() == 300
 
 
 def test_compaction_keeps_devices_that_later_batches_do_not_cover(spark, tmp_path, raw_df):
