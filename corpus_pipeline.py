@@ -11,7 +11,7 @@ one's ``docs``. All but the last return the columns of ``documents``.
 2. near_dedup: of every group of documents linked by SimHash fingerprints, the
    one with the smallest doc_id stays (of repeated rows, one).
 3. secret_scan: strings that the forest confirms as secrets are replaced by
-   REDACTED; every document stays.
+   REDACTED, in one pass over the text; every document stays.
 4. mixing: documents are taken as often as their source's target asks for, and
    put in training order.
 5. bpe: token counts and digests of ids and decoded text.
@@ -22,7 +22,7 @@ columns beyond those of documents are carried along, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from buoyline.llm import bpe, common, langid, mixing, secret_scan, simhash
 from buoyline.llm.queries import vocabulary
@@ -30,6 +30,7 @@ from buoyline.session import scratch_path
 
 MIN_SCORE = 0.5
 REDACTED = "[secret]"
+WHOLE = 16  # shorter secrets are values behind a key word only
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,14 +50,27 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.select("row", "id").join(kept, "id", "left_semi").dropDuplicates(["id"]).select("row.*")
 
 
+def redacted(text: Column, found: Column) -> Column:
+    """The text with every secret replaced, in one pass however many there are.
+
+    Longest first: a secret that is part of another must not leave the rest of
+    it standing. A value of fewer than WHOLE characters, which only its key word
+    and sign made a secret, is replaced where it stands alone: the same letters
+    inside a longer word stay.
+    """
+    quoted = lambda s: F.concat(F.lit(r"\Q"), F.replace(s, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    alone = lambda s: F.concat(F.lit("(?<![A-Za-z0-9])"), quoted(s), F.lit("(?![A-Za-z0-9])"))
+    longest = F.sort_array(F.transform(found, lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))), asc=False)
+    each = F.transform(longest, lambda x: F.when(x["n"] < WHOLE, alone(x["s"])).otherwise(quoted(x["s"])))
+    return F.regexp_replace(text, F.array_join(each, "|"), F.lit(REDACTED))
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     model = secret_scan.made_model(spark)
     rows = docs.select(common.carried(docs).alias("row"), common.identity().alias("id"), F.col("text").alias("text"))
     found = secret_scan.scan(rows, model, key="id").where("n_secrets > 0").select("id", "secrets")
-    # Longest first: a secret that is part of another must not leave the rest of it standing.
-    longest = F.transform(F.sort_array(F.transform("secrets", lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))), asc=False), lambda x: x["s"])
-    clean = F.aggregate(longest, F.col("row.text"), lambda t, s: F.replace(t, s, F.lit(REDACTED)))
+    clean = redacted(F.col("row.text"), F.col("secrets"))
     joined = rows.select("row", "id").join(found, "id", "left")
     fresh = {"text": clean}
     if "n_chars" in docs.columns:
