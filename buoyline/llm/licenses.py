@@ -95,7 +95,7 @@ def build(templates: dict[str, list[str]]) -> Index:
 def _matches(index: Index, h: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, float]]:
     """(document, template, containment) of verified templates in shingles `h`, `doc` naming each one's document.
 
-    Of rival templates in overlapping windows, only those of the highest containment count.
+    Of rival templates that the same words match, only those of the highest containment count.
     """
     if not len(h):
         return []
@@ -123,15 +123,27 @@ def _matches(index: Index, h: np.ndarray, doc: np.ndarray) -> list[tuple[int, in
             for w in np.flatnonzero((paired == index.mins[t][:, None]).any(0)).tolist():
                 share = float(np.isin(index.sets[t], h[starts[w]:stop[w]]).mean())
                 if share >= CONTAINED:
-                    found.append((int(of[w]), t, share, int(starts[w]), int(stop[w])))
+                    found.append((int(of[w]), t, share, *_stretch(index.sets[t], h, int(starts[w]), int(stop[w]))))
     return _unrivalled(index, found)
 
 
+def _stretch(template: np.ndarray, h: np.ndarray, start: int, stop: int) -> tuple[int, int]:
+    """Where in shingles start to stop the template stands: the stretch of 1.25 times its length with most matches, cut to them."""
+    hit = np.isin(h[start:stop], template)
+    size = min(len(hit), -(-5 * len(template) // 4))
+    total = np.concatenate(([0], np.cumsum(hit)))
+    at = int(np.argmax(total[size:] - total[:len(total) - size]))
+    own = np.flatnonzero(hit[at:at + size])
+    return start + at + int(own[0]), start + at + int(own[-1]) + 1
+
+
 def _unrivalled(index: Index, found: list[tuple[int, int, float, int, int]]) -> list[tuple[int, int, float]]:
-    """The windows (document, template, containment, start, stop) that no better rival's window overlaps.
+    """The matches (document, template, containment, start, stop) that no better rival's words explain.
 
-    Windows lie in one order of starts over all documents and their length is
-    bounded, so each looks at its neighbours in that order only.
+    A rival explains a match if its stretch covers half of the match's or more;
+    related notices side by side both count. Stretches lie in one order of
+    starts over all documents and their length is bounded, so each looks at its
+    neighbours in that order only.
     """
     found = sorted(found, key=lambda f: f[3])
     reach = max((b - a for _, _, _, a, b in found), default=0)
@@ -144,7 +156,7 @@ def _unrivalled(index: Index, found: list[tuple[int, int, float, int, int]]) ->
             e, u, more, x, y = found[i]
             if x >= b:
                 break
-            if d == e and more > share and index.rivals[t, u] and a < y:
+            if d == e and more > share and index.rivals[t, u] and 2 * (min(b, y) - max(a, x)) >= b - a:
                 beaten = True
                 break
         if not beaten:

@@ -72,6 +72,16 @@ def test_a_secret_inside_another_leaves_no_rest(sc, docs):
     assert row.text == 'token = "[secret]" and secret = "[secret]" then' and row.n_chars == len(row.text)
 
 
+def test_redaction_takes_short_values_alone_and_any_characters(sc):
+    rows = [("password: hunter then xhunters hunter. (hunter)", ["hunter"], "password: [secret] then xhunters [secret]. ([secret])"),
+            (r"token = a\Eb$1(c x", [r"a\Eb$1(c"], "token = [secret] x"),
+            ("x" + HEX + "y", [HEX], "x[secret]y"),
+            ("pass#1! é pass#1!\npass#1!2", ["pass#1!"], "[secret] é [secret]\npass#1!2"),
+            (" ".join(f"k{i:015d}z" for i in range(3000)), [f"k{i:015d}z" for i in range(3000)], " ".join(["[secret]"] * 3000))]
+    frame = sc.createDataFrame([(t, s) for t, s, _ in rows], "text string, secrets array<string>")
+    assert [r[0] for r in frame.select(corpus_pipeline.redacted(F.col("text"), F.col("secrets"))).collect()] == [w for _, _, w in rows]
+
+
 def test_run_writes_between_stages_and_returns_the_last(sc, tmp_path, docs):
     docs(table()).drop("key", "fp").write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(sc, str(tmp_path))

@@ -229,10 +229,19 @@ def test_rival_windows_against_all_pairs():
             a = rng.randint(0, 120)
             found.append((a // 60, rng.randrange(n), rng.choice([0.8, 0.9, 1.0]), a, a + rng.choice([4, 8, 16, 32])))
         want = [(d, t, s) for d, t, s, a, b in found if not any(
-            d == e and more > s and index.rivals[t, u] and a < y and x < b for e, u, more, x, y in found)]
+            d == e and more > s and index.rivals[t, u] and 2 * (min(b, y) - max(a, x)) >= b - a for e, u, more, x, y in found)]
         assert sorted(licenses._unrivalled(index, found)) == sorted(want)
 
 
+def test_related_notices_side_by_side_both_count(docs):
+    gpl, lgpl = licenses.TEMPLATES["gpl-3.0"][1], licenses.TEMPLATES["lgpl"][0]
+    edited = "and " + gpl.split(" ", 1)[1]
+    assert edited != gpl
+    rows = [(1, f"{edited} {lgpl}"), (2, f"{lgpl} {edited}"), (3, f"{edited} with {lgpl}"), (4, lgpl), (5, edited), (6, f"{gpl} {lgpl}")]
+    got = {r.doc_id: r.licenses for r in licenses.scan(docs(rows)).collect()}
+    assert got == {1: "gpl-3.0,lgpl", 2: "gpl-3.0,lgpl", 3: "gpl-3.0,lgpl", 4: "lgpl", 5: "gpl-3.0", 6: "gpl-3.0,lgpl"}
+
+
 def test_a_long_text_of_license_lines_only(docs):
     text = "Released under the MIT License by us all " * 40_000
     row = licenses.scan(docs([(1, text)])).collect()[0]
