@@ -938,6 +938,20 @@ def q_legacy_register(spark, sf_dir):
 
 STREAM_FILE_ROWS = 2_000  # rows of one source file: what a broker bridge drops at a time
 STREAM_FILES = 32  # files of one micro-batch
+STREAM_BATCHES, STREAM_FILES_MOST = 16, 512  # a longer backlog takes larger micro-batches, up to so many files
+
+
+def _drop_messages(messages: DataFrame, path: str) -> int:
+    """Drop raw messages as files cut by arrival order; returns how many files a micro-batch reads.
+
+    A micro-batch has a fixed cost (planning, four writes and their commits), so
+    a backlog of more than STREAM_BATCHES micro-batches is read in larger ones.
+    Their size is bounded, and so is what one of them keeps while it is written.
+    """
+    raw = messages.select("arrival_seq", F.col("arrival_ts").cast("timestamp").alias("arrival_ts"), "topic", "payload")
+    raw.repartitionByRange("arrival_seq").write.option("maxRecordsPerFile", STREAM_FILE_ROWS).parquet(path)
+    files = messages.sparkSession.read.schema(raw.schema).parquet(path).count() // STREAM_FILE_ROWS
+    return min(max(STREAM_FILES, files // STREAM_BATCHES), STREAM_FILES_MOST)
 
 
 def _stream_run(spark: SparkSession, sf_dir: str) -> str:
@@ -999,11 +1013,8 @@ def q_stream_legacy_sensors(spark, sf_dir):
 
     base = scratch_path(spark, "hub-stream")
     src = f"{base}/source"
-    raw = TB.legacy_messages(spark, sf_dir).select(
-        "arrival_seq", F.col("arrival_ts").cast("timestamp").alias("arrival_ts"), "topic", "payload"
-    )
-    raw.repartitionByRange("arrival_seq").write.option("maxRecordsPerFile", STREAM_FILE_ROWS).parquet(src)
-    q = jobs.start_hub(jobs.raw_stream(spark, src, max_files=STREAM_FILES), f"{base}/out", f"{base}/checkpoint",
+    files = _drop_messages(TB.legacy_messages(spark, sf_dir), src)
+    q = jobs.start_hub(jobs.raw_stream(spark, src, max_files=files), f"{base}/out", f"{base}/checkpoint",
                        ingest_time=P.INGEST_TIME, available_now=True)
     q.awaitTermination()
     if q.exception() is not None:

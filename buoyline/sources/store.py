@@ -9,7 +9,7 @@ it does not hold.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from buoyline.operators.points import with_event_date
@@ -41,6 +41,15 @@ def write_points(points: DataFrame, path: str, mode: str = "append", partitions:
     pruned_by(writer, key).partitionBy("event_date").parquet(path)
 
 
+def batch_label(batch_id: int) -> Column:
+    """The partition value of a micro-batch, as text: a number would be written into the generated code, text is not.
+
+    All batches then run the same compiled classes, where each compiled (and
+    warmed up) its own before. Folder names are the same, readers find a number.
+    """
+    return F.lit(str(int(batch_id)))
+
+
 def write_points_batch(points: DataFrame, path: str, batch_id: int, key: str = "device_id") -> None:
     """Micro-batch sink: each batch owns ``batch_id=<n>`` below every day, overwritten on replay.
 
@@ -49,7 +58,7 @@ def write_points_batch(points: DataFrame, path: str, batch_id: int, key: str = "
     by day: adaptive execution merges small days and cuts a large one into parts
     of the advisory size, so files and tasks follow the batch's bytes.
     """
-    df = with_event_date(points).withColumn("batch_id", F.lit(int(batch_id)))
+    df = with_event_date(points).withColumn("batch_id", batch_label(batch_id))
     writer = (
         df.hint("rebalance", "event_date")
         .sortWithinPartitions("event_date", key, "time")

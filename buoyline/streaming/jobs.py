@@ -63,7 +63,7 @@ def from_kafka(records: DataFrame) -> DataFrame:
 
 def _write_batch_partition(df: DataFrame, path: str, batch_id: int) -> None:
     (
-        df.withColumn("batch_id", F.lit(int(batch_id)))
+        df.withColumn("batch_id", store.batch_label(batch_id))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("batch_id")
