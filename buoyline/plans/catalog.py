@@ -965,11 +965,8 @@ def _stream_run(spark: SparkSession, sf_dir: str) -> str:
 
     base = scratch_path(spark, "stream")
     src, out, ckpt = f"{base}/source", f"{base}/out", f"{base}/checkpoint"
-    raw = TB.raw_messages(spark, sf_dir).select(
-        "arrival_seq", F.col("arrival_ts").cast("timestamp").alias("arrival_ts"), "topic", "payload"
-    )
-    raw.repartitionByRange("arrival_seq").write.option("maxRecordsPerFile", STREAM_FILE_ROWS).parquet(src)
-    q = jobs.start_ingest(jobs.raw_stream(spark, src, max_files=STREAM_FILES), out, ckpt, ingest_time=P.INGEST_TIME,
+    files = _drop_messages(TB.raw_messages(spark, sf_dir), src)
+    q = jobs.start_ingest(jobs.raw_stream(spark, src, max_files=files), out, ckpt, ingest_time=P.INGEST_TIME,
                           available_now=True)
     q.awaitTermination()
     if q.exception() is not None:
