@@ -1,18 +1,20 @@
 """Phrase collocation mining by Toivonen's sampling method, per language.
 
 A sample of stretches of all documents proposes phrases: those whose count in it
-reaches a lowered threshold. One full pass then counts these and their negative border,
-the phrases that were not proposed though all their contiguous parts were. If a
-border phrase turns out frequent, longer phrases built on it were never
-candidates. An expansion pass then counts what it opens, and all longer phrases
+reaches a lowered threshold. One full pass then tallies these and their negative border,
+the phrases that were not proposed though all their contiguous parts were, by
+buckets (direct hashing and pruning): a phrase whose bucket of 2**32 stays below the
+threshold is not frequent. A second pass counts the others by their words. If
+border phrases may be frequent, longer phrases built on them were never
+candidates: the same pass counts what they open, and all longer phrases
 on top of that as though the opened ones were frequent, so it leaves none open.
 Every count is exact, and no frequent phrase is missed whatever the sample held.
 
-What decides in the tasks whether a phrase was proposed is a bitmap of fixed
-size per phrase length (`bits`), so what is sent to the tasks does not grow with the corpus.
-Two phrases may share a bit: that makes more candidates, never fewer, and their
-counts are exact too. Counting itself is by the words themselves, combined in
-every task before the shuffle. Scores are decimals of 38 digits.
+What decides in the tasks whether a phrase was proposed, or may be frequent, is a bitmap of
+fixed size per phrase length (`bits`), so what is sent to the tasks does not grow with the corpus.
+Two phrases may share a bit or a bucket: that makes more candidates, never fewer, and
+their counts are exact too, by the words themselves. Tallies travel as sorted buckets,
+each task's put together, a few bytes for a phrase. Scores are decimals of 38 digits.
 """
 
 from __future__ import annotations
@@ -33,7 +35,11 @@ TOP = 2000  # phrases of a language in the report
 SAMPLE = 1 / 4  # of the stretches of text, by a hash of the document's key and text and the stretch's place
 STRETCH = 128  # bytes of a stretch, so that a text full of one phrase is sampled in proportion, too
 LOWERED = 0.3  # the sample's threshold, as a part of what a phrase of `least` occurrences leads one to expect there
-BITS = 24  # each bitmap has 2**BITS bits
+BITS = 24  # each bitmap has 2**BITS bits, that of phrases to count twice as many
+BUCKET = 32  # bits of a phrase's mark that it is tallied by
+PART = 22  # bits of a bucket that one array of counters covers, 16 MB
+HELD = 1 << 21  # buckets that a task puts together before it hands them on
+_COUNT = 29  # bits of a count while buckets are put together; a task hands on before one could fill them
 UNKNOWN = "und"
 SEPARATORS = b".,;:!?\x0a\x0b\x0c\x0d"
 _SPACE = b" \t"
@@ -55,7 +61,7 @@ def prepared(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
 @dataclass
 class Proposed:
-    """Bitmaps of the proposed phrases of 1 to LONGEST - 1 words, packed."""
+    """Bitmaps of phrases of 1, 2, ... words, packed."""
 
     maps: list[np.ndarray]
 
@@ -70,9 +76,13 @@ class Proposed:
     def joined(self, other: Proposed) -> Proposed:
         return Proposed([a | b for a, b in zip(self.maps, other.maps)])
 
+    def halved(self) -> Proposed:
+        """The same phrases in bitmaps of half the size."""
+        return Proposed([np.packbits(np.unpackbits(m, bitorder="little").reshape(-1, 2).any(1), bitorder="little") for m in self.maps])
+
 
 def _empty(bits: int) -> Proposed:
-    return Proposed([np.zeros(1 << (bits - 3), np.uint8) for _ in range(LONGEST - 1)])
+    return Proposed([np.zeros(1 << (bits - 3), np.uint8) for _ in range(LONGEST)])
 
 
 def _word_marks(words: pa.Array) -> np.ndarray:
@@ -93,41 +103,35 @@ def _phrase_marks(lang_marks: np.ndarray, words: list[np.ndarray]) -> np.ndarray
     return textops.mix(total)
 
 
-def _count_block(block, buf, langs, lang_marks, sizes, old, new, is_cut):
-    """(size, lang, phrase, count) arrays of the phrases of a block that are candidates under `new` and not under `old`.
+def _candidates(block, buf, langs, lang_marks, most, new, old, is_cut):
+    """(size, first words, marks, counts, whether it was one under `old`) of the distinct candidates of a block, by size up to `most`.
 
     Of one word all words are; of k + 1 words those whose first k and last k
-    were proposed (and so on down). Where `old` is given, a candidate that it
+    were proposed in `new` (and so on down). Where `old` is given, a candidate that it
     did not have counts as proposed.
     """
     code, names = wordarrays.codes(block.words)
     if not len(code):
         return
-    marks, lang = _word_marks(names)[code], langs[block.row]
+    word_marks, lang = _word_marks(names), langs[block.row]
     a = int(block.start[0])
     piece = np.cumsum(is_cut[buf[a:int(block.start[-1]) + 1]])[block.start - a].astype(np.int64) + block.row
-    of_lang = lang_marks[lang]
     at, number = np.arange(len(code)), lang * len(names) + code
     was = np.ones(len(code), bool)  # a candidate of the passes before
-    for size in range(1, max(sizes) + 1):
+    for size in range(1, most + 1):
         number, first, _ = wordarrays.renumbered(number)
-        if size in sizes:
-            counted = at + size > block.carried  # the others ended in the block before
-            if old is not None:
-                counted &= ~was if size > 1 else False
-            n = np.bincount(number[counted], minlength=len(first))
-            some = np.flatnonzero(n)
-            spots = at[first[some]]
-            parts = [names.take(pa.array(code[spots + i])) for i in range(size)]
-            yield size, lang[spots], parts[0] if size == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())), n[some]
-        if size == max(sizes):
+        spots, was = at[first], was[first]
+        own = _phrase_marks(lang_marks[lang[spots]], [word_marks[code[spots + i]] for i in range(size)])
+        n = np.bincount(number[at + size > block.carried], minlength=len(first))  # the others ended in the block before
+        yield size, spots, own, n, was
+        if size == most:
             return
-        own = _phrase_marks(of_lang[at], [marks[at + i] for i in range(size)])
         in_new = new.has(size, own)
         in_old = was
         if old is not None:
             in_new |= ~was
             in_old = was & old.has(size, own)
+        in_new, in_old = in_new[number], in_old[number]
         # The next size: this phrase and the one a word on are both proposed, in one piece.
         place = np.full(len(code), -1)
         place[at[in_new]] = np.flatnonzero(in_new)
@@ -142,29 +146,139 @@ def _count_block(block, buf, langs, lang_marks, sizes, old, new, is_cut):
         at, number = at[left], number[left] * len(names) + code[at[left] + size]
 
 
-def count(rows: DataFrame, sizes: set[int], new: Proposed | None, old: Proposed | None = None) -> DataFrame:
-    """(lang, phrase, size, n): exact counts of the candidate phrases of `sizes` words in all rows (lang, text)."""
-    is_word, is_cut = _tables()
+def _blocks(batches):
+    """(the bytes, each row's language, the languages, their marks, the blocks) of batches (lang, text)."""
+    is_word, _ = _tables()
     fold = textops.lower_ascii()
-    sc = rows.sparkSession.sparkContext
-    sent = sc.broadcast((new, old))
+    for batch in wordarrays.gathered(batches, "text"):
+        buf, offs = textops.column_bytes(batch.column("text"))
+        coded = batch.column("lang").dictionary_encode()
+        langs, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        yield buf, langs, names, _word_marks(names), wordarrays.blocks(buf, offs, is_word, fold, back=LONGEST - 1)
+
+
+def _put_together(held: list[np.ndarray]) -> np.ndarray:
+    """Sorted (size, bucket, count) in one integer each, every bucket once."""
+    every = np.sort(np.concatenate(held))
+    key = every >> np.uint64(_COUNT)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return (key[first] << np.uint64(_COUNT)) + np.add.reduceat(every & np.uint64((1 << _COUNT) - 1), first)
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers byte by byte: all lowest bytes, then all next ones, which compresses."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(planes: memoryview | bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _handed_on(entries: np.ndarray) -> pa.RecordBatch:
+    """(part, at, n): the buckets of each size and range of 2**PART buckets, as bytes."""
+    bucket, n = entries >> np.uint64(_COUNT), entries & np.uint64((1 << _COUNT) - 1)
+    part, low = bucket >> np.uint64(PART), bucket & np.uint64((1 << PART) - 1)
+    cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
+    spans = list(zip(cuts[:-1], cuts[1:]))
+    return pa.RecordBatch.from_arrays([
+        pa.array(part[cuts[:-1]].astype(np.int32)), pa.array([_planes(low[i:j]) for i, j in spans], pa.binary()), pa.array([_planes(n[i:j]) for i, j in spans], pa.binary()),
+    ], ["part", "at", "n"])
+
+
+def _words_found(found: list) -> pa.RecordBatch:
+    size, first, words = zip(*found) if found else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(size, pa.int32()), pa.array(first, pa.int64()), pa.array(words, pa.binary())], ["size", "first", "words"])
+
+
+def tallied(rows: DataFrame, sizes: set[int], new: Proposed, least: int, bits: int) -> Proposed:
+    """Bitmaps of 2**bits bits of the candidate phrases of `sizes` words whose bucket holds `least` or more in all rows (lang, text)."""
+    _, is_cut = _tables()
+    sent = rows.sparkSession.sparkContext.broadcast(new)
+
+    def tally(batches):
+        new, held, size_of, seen = sent.value, [], 0, 0
+        for buf, langs, _, lang_marks, blocks in _blocks(batches):
+            for block in blocks:
+                for size, _, own, n, _ in _candidates(block, buf, langs, lang_marks, max(sizes), new, None, is_cut):
+                    if size in sizes:
+                        some = n > 0
+                        key = np.uint64(size << BUCKET) + (own[some] >> np.uint64(64 - BUCKET))
+                        held.append((key << np.uint64(_COUNT)) + n[some].astype(np.uint64))
+                        size_of, seen = size_of + len(key), seen + int(n.sum())
+                full = seen >> (_COUNT - 1)
+                if size_of > HELD or full:
+                    held = [_put_together(held)]
+                    size_of = len(held[0])
+                    if size_of > HELD // 2 or full:
+                        yield _handed_on(held[0])
+                        held, size_of, seen = [], 0, 0
+        if size_of:
+            yield _handed_on(_put_together(held))
+
+    def reached(spots, part):
+        """(size, place of the first, words): the 64-bit words of the size's bitmap that hold these buckets of a part."""
+        low = (part & ((1 << (BUCKET - PART)) - 1)) << PART
+        bit = (np.sort(np.concatenate(spots)).astype(np.int64) + low) >> (BUCKET - bits)
+        first = int(bit[0]) >> 6
+        words = np.zeros((int(bit[-1]) >> 6) - first + 1, np.uint64)
+        np.bitwise_or.at(words, (bit >> 6) - first, np.uint64(1) << (bit & 63).astype(np.uint64))
+        return part >> (BUCKET - PART), first, words.tobytes()
+
+    def add(batches):
+        counts = np.zeros(1 << PART, np.min_scalar_type(least))  # each up to `least`
+        own, spots = None, []
+        for batch in batches:
+            found = []
+            for part, at, n in zip(batch.column("part").to_pylist(), batch.column("at"), batch.column("n")):
+                if part != own:
+                    if spots:
+                        found.append(reached(spots, own))
+                    counts[:] = 0
+                    own, spots = part, []
+                at = _numbers(at.as_buffer())
+                before = counts[at]
+                now = np.minimum(np.minimum(_numbers(n.as_buffer()), least).astype(np.uint64) + before, least)
+                counts[at] = now
+                new = at[(now == least) & (before < least)]
+                if len(new):
+                    spots.append(new)
+            yield _words_found(found)
+        if spots:
+            yield _words_found([reached(spots, own)])
+
+    parts = rows.select("lang", "text").mapInArrow(tally, "part int, at binary, n binary")
+    found = parts.repartition("part").sortWithinPartitions("part").mapInArrow(add, "size int, first long, words binary").toArrow()
+    out = _empty(bits)
+    for size, first, words in zip(found.column("size").to_pylist(), found.column("first").to_pylist(), found.column("words").to_pylist()):
+        some = np.frombuffer(words, np.uint64)
+        out.maps[size - 1].view(np.uint64)[first:first + len(some)] |= some
+    return out
+
+
+def count(rows: DataFrame, new: Proposed, old: Proposed, some: Proposed) -> DataFrame:
+    """(lang, phrase, size, n): exact counts in all rows (lang, text), with each language's words as size 0, phrase null.
+
+    Counted are the candidates under `old` that `some` holds, and all that are only candidates under `new`.
+    """
+    _, is_cut = _tables()
+    sent = rows.sparkSession.sparkContext.broadcast((new, old, some))
     schema = "lang string, phrase string, size int, n long"
 
     def run(batches):
-        new, old = sent.value
-        for batch in wordarrays.gathered(batches, "text"):
-            buf, offs = textops.column_bytes(batch.column("text"))
-            coded = batch.column("lang").dictionary_encode()
-            langs, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
-            lang_marks = _word_marks(names)
+        new, old, some = sent.value
+        for buf, langs, names, lang_marks, blocks in _blocks(batches):
             totals = np.zeros(len(names), np.int64)
-            for block in wordarrays.blocks(buf, offs, is_word, fold, back=LONGEST - 1):
+            for block in blocks:
                 totals += np.bincount(langs[block.row[block.carried:]], minlength=len(names))
-                for size, lang, phrase, n in _count_block(block, buf, langs, lang_marks, sizes, old, new, is_cut):
+                for size, spots, own, n, was in _candidates(block, buf, langs, lang_marks, LONGEST, new, old, is_cut):
+                    mine = np.flatnonzero((n > 0) & (~was | some.has(size, own)))
+                    spots = spots[mine]
+                    parts = [block.words.take(pa.array(spots + i)) for i in range(size)]
+                    phrase = parts[0] if size == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
                     yield pa.RecordBatch.from_arrays(
-                        [names.take(pa.array(lang)), phrase.cast(pa.string()), pa.array(np.full(len(n), size, np.int32)), pa.array(n.astype(np.int64))],
+                        [names.take(pa.array(langs[block.row[spots]])), phrase.cast(pa.string()), pa.array(np.full(len(mine), size, np.int32)), pa.array(n[mine].astype(np.int64))],
                         ["lang", "phrase", "size", "n"])
-            if 1 in sizes and len(names):
+            if len(names):
                 yield pa.RecordBatch.from_arrays(
                     [names, pa.nulls(len(names), pa.string()), pa.array(np.zeros(len(names), np.int32)), pa.array(totals)], ["lang", "phrase", "size", "n"])
 
@@ -172,32 +286,6 @@ def count(rows: DataFrame, sizes: set[int], new: Proposed | None, old: Proposed
     return found.groupBy("lang", "phrase").agg(F.first("size").alias("size"), F.sum("n").alias("n"))
 
 
-def bitmaps(found: DataFrame, bits: int) -> Proposed:
-    """The bitmaps of phrases (lang, phrase, size); what reaches the driver is bounded by the bits, 64 in a row."""
-
-    def run(batches):
-        for batch in batches:
-            size = batch.column("size").to_numpy(zero_copy_only=False)
-            lang = _word_marks(batch.column("lang"))
-            for k in np.unique(size):
-                rows = np.flatnonzero(size == k)
-                words = pc.split_pattern(batch.column("phrase").take(pa.array(rows)), " ")
-                marks = _word_marks(words.flatten()).reshape(len(rows), k)
-                bit = _phrase_marks(lang[rows], [marks[:, i] for i in range(k)]) >> np.uint64(64 - bits)
-                at, which = np.unique(bit >> np.uint64(6), return_inverse=True)
-                part = np.zeros(len(at), np.uint64)
-                np.bitwise_or.at(part, which, np.uint64(1) << (bit & np.uint64(63)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int64)), pa.array(part.view(np.int64))], ["size", "at", "part"])
-
-    parts = found.where(F.col("size").between(1, LONGEST - 1)).select("lang", "phrase", "size").mapInArrow(run, "size int, at long, part long")
-    out = _empty(bits)
-    merged = parts.groupBy("size", "at").agg(F.bit_or("part").alias("part")).toArrow()
-    size, at, part = (merged.column(c).to_numpy() for c in ("size", "at", "part"))
-    for k in np.unique(size):
-        out.maps[k - 1].view(np.int64)[at[size == k]] = part[size == k]
-    return out
-
-
 def sampled(rows: DataFrame, share: float) -> DataFrame:
     """(lang, text): stretches of about STRETCH bytes of every text (lang, text, mark), cut between words; a line break marks a gap."""
     is_word, _ = _tables()
@@ -235,16 +323,11 @@ def frequent(docs: DataFrame, least: int = LEAST, share: float = SAMPLE, bits: i
     sampled(rows, share).write.parquet(path)
     sample, proposed, some = spark.read.parquet(path), _empty(bits), max(1, int(LOWERED * share * least))
     for size in range(1, LONGEST):
-        proposed = proposed.joined(bitmaps(count(sample, {size}, proposed).where(F.col("n") >= some), bits))
+        proposed = proposed.joined(tallied(sample, {size}, proposed, some, bits))
+    reach = tallied(rows, set(range(1, LONGEST + 1)), proposed, least, bits + 1)
     path = scratch_path(spark, "phrases")
-    count(rows, set(range(1, LONGEST + 1)), proposed).where((F.col("n") >= least) | (F.col("size") == 0)).write.parquet(path)
-    found = spark.read.parquet(path)
-    grown = proposed.joined(bitmaps(found, bits))
-    if any((a != b).any() for a, b in zip(grown.maps, proposed.maps)):  # border phrases are frequent
-        path = scratch_path(spark, "phrases-opened")
-        count(rows, set(range(2, LONGEST + 1)), grown, proposed).where(F.col("n") >= least).write.parquet(path)
-        found = found.unionByName(spark.read.parquet(path))
-    return found
+    count(rows, proposed.joined(reach.halved()), proposed, reach).where((F.col("n") >= least) | (F.col("size") == 0)).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _words(phrase: Column, first: Column | int, size: Column) -> Column:

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from buoyline.llm import phrases
@@ -85,3 +86,29 @@ def test_scores_beyond_64_bits_are_exact(sc):
 def test_empty_table(docs):
     assert phrases.mine(docs([]), bits=12).collect() == []
     assert phrases.mine(docs([(1, None, None), (2, " .,", "en")]), bits=12).collect() == []
+
+
+def test_tallies_hold_every_phrase_that_reaches_the_threshold_and_no_other(docs, monkeypatch):
+    """Put together in small portions, over several tasks, with a count beyond a byte."""
+    monkeypatch.setattr(phrases, "HELD", 40)
+    rows = made(7) + [(9, "many " * 700, "en")]
+    table = phrases.prepared(docs(rows).repartition(5))
+    every = phrases.Proposed([~m for m in phrases._empty(20).maps])
+    for least in (8, 300):
+        want, _ = plain_counts(rows, least)
+        got = phrases.tallied(table, {1, 2, 5}, every, least, 20)
+        bits = [int(np.unpackbits(m).sum()) for m in got.maps]
+        assert bits == [sum(len(p.split(" ")) == k for _, p in want) if k in (1, 2, 5) else 0 for k in range(1, 6)]
+
+
+def test_the_full_pass_passes_on_little_for_a_rare_phrase(docs):
+    """A phrase that stays below the threshold costs a bucket's few bytes, its words do not travel."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"word{rng.randrange(400)}" for _ in range(300)), "en") for i in range(200)]
+    table = phrases.prepared(docs(rows).repartition(4))
+    every = phrases.Proposed([~m for m in phrases._empty(20).maps])
+    reach = phrases.tallied(table, {1, 2, 3, 4, 5}, every, 100, 21)
+    counted = phrases.count(table, every, every, reach).where("size > 0").collect()
+    want, _ = plain_counts(rows, 100)
+    assert {(r.lang, r.phrase): r.n for r in counted if r.n >= 100} == want
+    assert len(counted) < len(want) + 100  # some 220,000 phrases are candidates
