@@ -12,6 +12,10 @@ under a later clock gives the same rows. Duplicates across batches resolve on re
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -71,6 +75,17 @@ def _write_batch_partition(df: DataFrame, path: str, batch_id: int) -> None:
     )
 
 
+def _together(spark: SparkSession, *writes) -> None:
+    """Independent writes of one micro-batch at the same time: the few tasks that end one leave cores to the others.
+
+    All have ended when this returns or raises the first one's failure.
+    """
+    with ThreadPoolExecutor(len(writes)) as pool:
+        started = [pool.submit(inheritable_thread_target(spark)(write)) for write in writes]
+    for write in started:
+        write.result()
+
+
 def ingest_batch(batch: DataFrame, batch_id: int, out_dir: str, ingest_time: str | None = None,
                  keep_tags: bool = False) -> None:
     """One micro-batch: classify once, write points, latest candidates, rejects and counts.
@@ -217,10 +232,13 @@ def hub_batch(batch: DataFrame, batch_id: int, out_dir: str, ingest_time: str |
         from buoyline.plans.hub import Hub
 
         h = Hub(cls, h.ingest_time)
-        for kind, pts in ((LEGACY_MEASUREMENT, h.measurements), (LEGACY_DIAG, h.diagnostics)):
-            store.write_points_batch(pts, f"{out}/{LEGACY_BUCKETS[kind]}", batch_id, key="sensor_id")
-        _write_batch_partition(h.sensors, f"{out}/sensor_updates", batch_id)
-        _write_batch_partition(h.rejects, f"{out}/rejects", batch_id)
+        points = ((LEGACY_MEASUREMENT, h.measurements), (LEGACY_DIAG, h.diagnostics))
+        _together(
+            batch.sparkSession,
+            *[partial(store.write_points_batch, pts, f"{out}/{LEGACY_BUCKETS[kind]}", batch_id, key="sensor_id") for kind, pts in points],
+            partial(_write_batch_partition, h.sensors, f"{out}/sensor_updates", batch_id),
+            partial(_write_batch_partition, h.rejects, f"{out}/rejects", batch_id),
+        )
     finally:
         cls.unpersist()
 
