@@ -1,21 +1,32 @@
-"""Connected components of a distributed edge list by alternating star contraction."""
+"""Connected components of a distributed edge list by alternating star contraction.
+
+Both sides of a join here grow with the edges, whose number Spark cannot tell
+from the plan that made them. They are counted each round anyway: beyond FEW
+the joins are merge joins, so that no side is broadcast.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+FEW = 100_000  # edges whose joins may broadcast a side: twice as many rows of two numbers at most, 5 MB
+
+
+def _joined(edges: DataFrame, best: DataFrame, few: bool) -> DataFrame:
+    return edges.join(best if few else best.hint("merge"), "hi")
+
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, few: bool) -> DataFrame:
     """Every node links its larger neighbours to the smallest node it knows."""
     both = edges.select("hi", "lo").unionByName(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
     best = both.groupBy("hi").agg(F.least(F.min("lo"), F.first("hi")).alias("best"))
-    return both.join(best, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("best").alias("lo")).distinct()
+    return _joined(both, best, few).where("lo > hi").select(F.col("lo").alias("hi"), F.col("best").alias("lo")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, few: bool) -> DataFrame:
     """Every node links its smaller neighbours, and itself, to the smallest of them."""
     best = edges.groupBy("hi").agg(F.min("lo").alias("best"))
-    passed = edges.join(best, "hi").where("lo > best").select(F.col("lo").alias("hi"), F.col("best").alias("lo"))
+    passed = _joined(edges, best, few).where("lo > best").select(F.col("lo").alias("hi"), F.col("best").alias("lo"))
     return passed.unionByName(best.select("hi", F.col("best").alias("lo"))).distinct()
 
 
@@ -35,7 +46,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = pairs.distinct().checkpoint()
     before = _state(edges)
     while before[0]:
-        edges = _small_star(_large_star(edges)).checkpoint()
+        few = before[0] <= FEW
+        edges = _small_star(_large_star(edges, few), few).checkpoint()
         after = _state(edges)
         if after == before:
             break

@@ -11,6 +11,10 @@ A variant shared by many fingerprints is dealt out by blocks: its members get
 a hashed block number, and every pair of blocks is one bounded task-side group,
 so nothing is capped and no group grows with the data. Groups return the edges
 of a star for each of their components, never all pairs.
+
+Both sides of every join here grow with the data, and Spark sizes the variants
+as if there were one per fingerprint, the fingerprints by their compressed
+files: the joins are merge joins whatever it reckons, so no side is broadcast.
 """
 
 from __future__ import annotations
@@ -150,7 +154,7 @@ def links(fps: DataFrame, distance: int = 3, block: int = BLOCK) -> DataFrame:
         .select("variant", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     )
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    members = index.join(crowds, "variant").select("variant", "fp", "blocks", own.alias("own"))
+    members = index.join(crowds.hint("merge"), "variant").select("variant", "fp", "blocks", own.alias("own"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     paired = members.select("variant", "fp", "own", other.alias("other")).select(
         "variant", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "fp")
@@ -171,11 +175,11 @@ def components(docs: DataFrame, size: int = 3, distance: int = 3, key: str = "do
     prints = fingerprints(docs, size, text, key).checkpoint()
     nodes = prints.groupBy("fp").agg(F.min(key).alias("least"))
     stars = connected.components(links(nodes.select("fp"), distance))
-    rooted = nodes.join(stars, nodes["fp"] == stars["node"], "left").select(
+    rooted = nodes.join(stars.hint("merge"), nodes["fp"] == stars["node"], "left").select(
         nodes["fp"], "least", F.coalesce("root", nodes["fp"]).alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(key, "fp", "component_id")
+    named = rooted.join(lowest.hint("merge"), "root").select("fp", "component_id")
+    return prints.join(named.hint("merge"), "fp").select(key, "fp", "component_id")
 
 
 def fingerprint_hex(fp):

@@ -105,6 +105,34 @@ def test_long_chain_is_one_component(sc):
     assert all(roots[i] == 0 for i in range(301)) and roots[1001] == 1000 and len(roots) == 303
 
 
+def plan_after_run(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_links_of_few_fingerprints_broadcast_none_of_their_variants(sc):
+    rng = np.random.default_rng(2)
+    fps = rng.integers(-(1 << 62), 1 << 62, 3000)
+    df = sc.createDataFrame([(int(f) ^ b,) for f in fps for b in (0, 1)], "fp long").repartition("fp").distinct()
+    plan = plan_after_run(simhash.links(df, 3))  # 6,000 fingerprints are sized as far below the broadcast limit
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_joins_of_edges_and_groups_broadcast_nothing(sc, docs):
+    edges = sc.createDataFrame([(i + 1, i) for i in range(100)], "hi long, lo long").repartition("hi")
+    found = simhash.components(docs([(i, f"a text of {i % 7} words") for i in range(50)]))
+    for df in (connected._large_star(edges, few=False), connected._small_star(edges, few=False), found):
+        plan = plan_after_run(df)
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("few", [0, 5, 100_000])
+def test_components_are_the_same_with_and_without_broadcasts(sc, monkeypatch, few):
+    monkeypatch.setattr(connected, "FEW", few)
+    df = sc.createDataFrame([(i, i + 2) for i in range(40)], "a long, b long")
+    assert {(r.node, r.root) for r in connected.components(df).collect()} == {(i, i % 2) for i in range(42)}
+
+
 def test_distance_beyond_the_method_is_refused(sc):
     with pytest.raises(ValueError):
         simhash.links(sc.createDataFrame([(1,)], "fp long"), 4)
