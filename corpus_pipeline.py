@@ -47,7 +47,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.select(common.carried(docs).alias("row"), common.identity().alias("id"), F.col("text").alias("text"))
     groups = simhash.components(rows.select("id", "text"), size=3, distance=3, key="id")
     kept = groups.select(F.col("component_id").alias("id")).distinct()
-    return rows.select("row", "id").join(kept, "id", "left_semi").dropDuplicates(["id"]).select("row.*")
+    # Of the kept ids there may be as many as documents, however few Spark expects: never broadcast.
+    return rows.select("row", "id").join(kept.hint("merge"), "id", "left_semi").dropDuplicates(["id"]).select("row.*")
 
 
 def redacted(text: Column, found: Column) -> Column:

@@ -11,7 +11,7 @@ import corpus_pipeline
 from buoyline.llm import bpe
 from buoyline.llm.queries import vocabulary
 from tests.llm.test_langid_network import WORDS
-from tests.llm.test_simhash_components import brute_components
+from tests.llm.test_simhash_components import brute_components, plan_after_run
 
 HEX = "11acdfb36bb72224148e6160f674b4be45601bff"
 
@@ -66,6 +66,12 @@ def test_null_keys_of_different_texts_all_stay(sc, docs):
     assert sorted(r.text[0] for r in corpus_pipeline.near_dedup(sc, frame, "").collect()) == ["a", "h"]
 
 
+def test_near_dedup_broadcasts_no_groups_or_ids(sc, docs):
+    frame = docs([(i, f"a text of {i % 7} words", "aa") for i in range(50)])
+    plan = plan_after_run(corpus_pipeline.near_dedup(sc, frame, ""))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_a_secret_inside_another_leaves_no_rest(sc, docs):
     text = f'token = "{HEX[:32]}" and secret = "{HEX}" then'
     (row,) = corpus_pipeline.secrets(sc, docs([(1, text, "aa", "s0")]), "").collect()
